@@ -1,0 +1,123 @@
+import pytest
+
+from threadlake.operators.coverage import coverage_commit, coverage_plan, incremental_load
+from threadlake.operators.shards import keyset_pages, shard_bounds, shard_of
+from threadlake.schemas import COVERED, REQUESTS
+
+PLAN = "subreddit string, kind string, window_type string, ok boolean"
+
+
+def cover(spark, *rows):
+    return spark.createDataFrame([("test", "posts", s, u, 0) for s, u in rows], COVERED)
+
+
+def ask(spark, since, before):
+    return spark.createDataFrame([("test", "posts", since, before)], REQUESTS)
+
+
+def run(spark, covered, since, before, ok=True):
+    """Plan, outcome, commit: the planned windows and the cover afterwards."""
+    request = ask(spark, since, before)
+    plan = sorted((r.window_type, r.since, r.before) for r in coverage_plan(request, covered).collect())
+    outcome = spark.createDataFrame([("test", "posts", p[0], ok) for p in plan], PLAN)
+    after = coverage_commit(request, covered, outcome, now=9)
+    return plan, [(r.since, r.until) for r in after.collect()], after
+
+
+@pytest.mark.parametrize(
+    "before_run, request_, ok, plan, after",
+    [
+        ([], (0, 1000), True, [("full", 0, 1000)], [(0, 1000)]),
+        ([], (100, 1000), False, [("full", 100, 1000)], []),
+        ([(0, 1000)], (0, 2000), True, [("tail", 1000, 2000)], [(0, 2000)]),
+        ([(0, 1000)], (0, 1000), True, [], [(0, 1000)]),
+        ([(500, 1000)], (0, 1000), True, [("older", 0, 500)], [(0, 1000)]),
+        ([(500, 1000)], (0, 2000), True, [("older", 0, 500), ("tail", 1000, 2000)], [(0, 2000)]),
+        ([(500, 1000)], (0, 1000), False, [("older", 0, 500)], [(500, 1000)]),
+        ([(500, 1000)], (0, 100), True, [("older", 0, 500)], [(0, 1000)]),
+        ([(500, 1000)], (2000, 3000), True, [("tail", 1000, 3000)], [(500, 3000)]),
+        ([(500, 1000)], (600, 700), True, [], [(500, 1000)]),
+    ],
+)
+def test_cases(spark, before_run, request_, ok, plan, after):
+    got_plan, got_after, _ = run(spark, cover(spark, *before_run), *request_, ok=ok)
+    assert got_plan == plan and got_after == after
+
+
+def test_widening_twice(spark):
+    _, _, first = run(spark, cover(spark, (500, 1000)), 200, 1000)
+    plan, after, second = run(spark, first, 0, 1000)
+    assert plan == [("older", 0, 200)] and after == [(0, 1000)]
+    assert run(spark, second, 0, 1000)[0] == []
+
+
+def test_kinds_are_apart_and_other_covers_stay(spark):
+    covered = cover(spark, (0, 1000))
+    request = spark.createDataFrame([("test", "comments", 0, 1000)], REQUESTS)
+    assert [r.window_type for r in coverage_plan(request, covered).collect()] == ["full"]
+    outcome = spark.createDataFrame([("test", "comments", "full", True)], PLAN)
+    after = coverage_commit(request, covered, outcome, now=9).collect()
+    assert sorted((r.kind, r.since, r.until, r.updated_at) for r in after) == [
+        ("comments", 0, 1000, 9),
+        ("posts", 0, 1000, 0),
+    ]
+
+
+def test_incremental_load_matches_brute_force(spark):
+    month = 2_629_800
+    archive = [("Test", "posts", i * 70_000, str(i)) for i in range(1500)]
+    archive += [("test", "comments", 5, "c"), ("other", "posts", 5, "o")]
+    covered, request = cover(spark, (9 * month, 30 * month)), ask(spark, 2 * month + 3, 36 * month)
+    df = spark.createDataFrame(archive, "subreddit string, kind string, created_utc bigint, id string")
+    got = incremental_load(df, coverage_plan(request, covered)).collect()
+    want = {i for s, k, t, i in archive if s == "Test" and (2 * month + 3 <= t < 9 * month or 30 * month <= t < 36 * month)}
+    assert len(got) == len(want) and {r.id for r in got} == want
+    assert {r.window_type for r in got} == {"older", "tail"}
+
+
+@pytest.mark.parametrize(
+    "since, before, n, expected",
+    [
+        (0, 100, 1, [(0, 100)]),
+        (0, 100, 0, [(0, 100)]),
+        (0, 100, -2, [(0, 100)]),
+        (0, 100, 4, [(0, 25), (25, 50), (50, 75), (75, 100)]),
+        (0, 100, 3, [(0, 33), (33, 66), (66, 100)]),
+        (100, 100, 4, [(100, 100)]),
+        (200, 100, 4, [(200, 100)]),
+        (0, 3, 8, [(0, 0)] * 7 + [(0, 3)]),
+    ],
+)
+def test_shards(spark, since, before, n, expected):
+    df = spark.createDataFrame([(since, before, n)], "since bigint, before bigint, n int")
+    rows = shard_bounds(df).orderBy("shard").collect()
+    assert [(r.start, r.end) for r in rows] == expected
+
+
+@pytest.mark.parametrize("since, before, n", [(0, 100, 3), (10, 13, 8), (0, 50, 1), (5, 105, 10)])
+def test_every_record_is_in_the_slice_it_is_assigned_to(spark, since, before, n):
+    bounds = shard_bounds(spark.createDataFrame([(since, before, n)], "since bigint, before bigint, n int"))
+    slices = {r.shard: (r.start, r.end) for r in bounds.collect()}
+    times = spark.range(before + 5).withColumnRenamed("id", "t")
+    for r in times.select("t", shard_of("t", since, before, n).alias("s")).collect():
+        if since <= r.t < before:
+            start, end = slices[r.s]
+            assert start <= r.t < end
+        else:
+            assert r.s is None
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 3])
+def test_keyset_pages(spark, hot_rows):
+    rows = [("a", t // 4, f"{t:03d}") for t in range(10)] + [("b", 7, "x"), ("b", 7, "y"), ("b", 7, "z")]
+    df = spark.createDataFrame(rows, "subreddit string, created_utc bigint, id string")
+    got = keyset_pages(df, 2, hot_rows).orderBy("subreddit", "page").collect()
+    assert [tuple(r) for r in got] == [
+        ("a", 0, 2, 0, False, 0),
+        ("a", 1, 2, 0, False, 1),
+        ("a", 2, 2, 1, False, 0),
+        ("a", 3, 2, 1, False, 1),
+        ("a", 4, 2, 2, False, 0),
+        ("b", 0, 2, 7, False, 0),
+        ("b", 1, 1, 7, True, 1),
+    ]

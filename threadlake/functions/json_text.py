@@ -35,4 +35,6 @@ def drop_json_field(doc: Column | str, field: str) -> Column:
     doc = as_column(doc)
     fields = F.from_json(doc, "map<string,variant>")
     rest = F.to_json(F.map_filter(fields, lambda k, _: k != field))
-    return F.when(doc.contains(f'"{field}"') & F.map_contains_key(fields, field), rest).otherwise(doc)
+    # Nested, not AND: Spark would hoist a parse shared by both sides of an AND to every row.
+    checked = F.when(F.map_contains_key(fields, field), rest).otherwise(doc)
+    return F.when(doc.contains(f'"{field}"'), checked).otherwise(doc)

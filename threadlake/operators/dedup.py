@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,14 +18,18 @@ def _first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
 
 
+def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return reduce(lambda rows, key: rows.where(F.col(key).isNotNull()), keys, df)
+
+
 def first_wins(df: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
     """The earliest row per key. Rows with a NULL key are no copies of each other: see
     ``without_id``."""
-    return _first_row(df.dropna(subset=keys), keys, [F.col(c).asc() for c in arrival])
+    return _first_row(_with_keys(df, keys), keys, [F.col(c).asc() for c in arrival])
 
 
 def last_wins(df: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
-    return _first_row(df.dropna(subset=keys), keys, [F.col(c).desc() for c in arrival])
+    return _first_row(_with_keys(df, keys), keys, [F.col(c).desc() for c in arrival])
 
 
 def without_id(df: DataFrame, key: str = "id") -> DataFrame:

@@ -33,9 +33,14 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None. ``df`` should be a written table."""
-    total = df.count()
+def hot_keys(
+    df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, rows: int | None = None
+) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, or None.
+
+    ``df`` should be a written table; ``rows`` is its row count where that is known.
+    """
+    total = df.count() if rows is None else rows
     if total <= hot_rows:
         return None
     threshold = max(hot_rows, total // MAX_HOT_KEYS)
@@ -59,12 +64,13 @@ def lookup(
     keys: list[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, where ``right`` has at most one row per (non-null) key.
 
     Rows of hot keys are not shuffled on the key: the right rows of those keys are few.
     """
-    hot = hot_keys(left, keys, hot_rows)
+    hot = hot_keys(left, keys, hot_rows, rows)
     if hot is None:
         return left.join(right, keys, how)
     cold_left, hot_left = split_hot(left, hot, keys)

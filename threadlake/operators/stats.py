@@ -49,7 +49,7 @@ def ingest_report(batch: DataFrame, store: DataFrame) -> DataFrame:
     ``store`` holds (kind, id). Copies of an id are counted before they are shuffled.
     """
     per_id = (
-        batch.dropna(subset=["id"])
+        batch.where(F.col("id").isNotNull())
         .groupBy("kind", "id")
         .agg(F.count("*").alias("_n"), F.min("subreddit").alias("subreddit"))
     )

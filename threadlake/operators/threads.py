@@ -98,7 +98,7 @@ def build_forest(
     live = state.where(F.col("root_id").isNull())
     open_rows, reach = live.count(), 1
     while open_rows:
-        live = write_table(_jump(live, done, hot_rows, carry_path=reach < max_path), "jump")
+        live = write_table(_jump(live, open_rows, done, hot_rows, carry_path=reach < max_path), "jump")
         done.append(live.where(F.col("root_id").isNotNull()))
         live = live.where(F.col("root_id").isNull())
         left, reach = live.count(), reach * 2
@@ -112,7 +112,7 @@ def build_forest(
 
 
 def _jump(
-    live: DataFrame, done: list[DataFrame], hot_rows: int, carry_path: bool
+    live: DataFrame, rows: int, done: list[DataFrame], hot_rows: int, carry_path: bool
 ) -> DataFrame:
     """One round: every open reply takes over what the comment it points at knows."""
     columns = [*POST, "id", "ptr", "root_id", "depth", "dist", "path"]
@@ -122,7 +122,7 @@ def _jump(
         F.col("id").alias("ptr"),
         *[F.col(c).alias(f"_{c}") for c in ("ptr", "root_id", "depth", "dist", "path")],
     )
-    joined = lookup(live, targets, [*POST, "ptr"], "inner", hot_rows)
+    joined = lookup(live, targets, [*POST, "ptr"], "inner", hot_rows, rows)
     # NULL paths (not carried) stay NULL on everything built from them.
     path = F.concat("_path", "path") if carry_path else F.lit(None).cast(live.schema["path"].dataType)
     return joined.select(
@@ -139,7 +139,6 @@ def _jump(
 
 
 def _in_reading_order(resolved: DataFrame, hot_rows: int, deep: bool) -> DataFrame:
-    resolved = write_table(resolved, "resolved")
     out = [*POST, "id", "parent", "root_id", "depth", "pos"]
     if not deep:
         return rank_in_groups(resolved, POST, ["path"], "pos", hot_rows).select(*out)

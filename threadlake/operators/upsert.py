@@ -33,7 +33,7 @@ def merge_trees(stored: DataFrame, incoming: DataFrame, arrival: str = "seq") ->
         )
     )
     merged = (
-        rows.dropna(subset=["link_id"])
+        rows.where(F.col("link_id").isNotNull())
         .groupBy("link_id")
         .agg(
             F.min_by("subreddit", order).alias("subreddit"),

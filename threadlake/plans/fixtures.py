@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import epoch_of_ntz
 from threadlake.operators.dedup import first_wins
+from threadlake.sources import spread
 
 # The time span of the supplied orders, and the run time of the jobs.
 FIRST = 788918400  # 1995-01-01
@@ -21,7 +22,7 @@ GAP = 5000000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _text(*parts) -> Column:

@@ -5,6 +5,7 @@ from .archive import (
     rows_by_subreddit,
     scan_page,
     scan_window,
+    spread,
     thread_scan,
 )
 from .store import Store
@@ -15,5 +16,6 @@ __all__ = [
     "rows_by_subreddit",
     "scan_page",
     "scan_window",
+    "spread",
     "thread_scan",
 ]

@@ -29,6 +29,15 @@ def landed_records(spark: SparkSession, path: str, stream: bool = False, **optio
     )
 
 
+def spread(records: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than cores (a gzip dump, one row group) over all cores.
+
+    An input with enough splits stays as it is, without a shuffle.
+    """
+    cores = records.sparkSession.sparkContext.defaultParallelism
+    return records.repartition(cores) if records.rdd.getNumPartitions() < cores else records
+
+
 def _community(name: str) -> Column:
     return F.lower("subreddit") == name.lower()
 

@@ -54,7 +54,7 @@ def follow_tail(
 
     def load(batch: DataFrame, _batch_id: int) -> None:
         rows = NORMALIZE[kind](batch, F.col("subreddit"), fetched_at, keep=tuple(ARRIVAL))
-        rows = write_table(rows.dropna(subset=["id"]), "tail")
+        rows = write_table(rows.where(F.col("id").isNotNull()), "tail")
         if covered is not None:
             rows = tail_rows(rows, covered, lateness)
         store.append(kind, fresh_records(rows, store.read(kind), ARRIVAL, probe=True))

@@ -96,8 +96,11 @@ def incremental_load(archive: DataFrame, plan: DataFrame) -> DataFrame:
     Windows of one (community, kind) never overlap, so no record comes twice. Communities match
     whatever their case. An archive laid out by ``created_month`` is read only where needed.
     """
+    columns = [c for c in archive.columns if c not in ("created_month", "community")]
     if "created_month" not in archive.columns:
         archive = archive.withColumn("created_month", month_of_epoch("created_utc"))
+    if "community" not in archive.columns:
+        archive = archive.withColumn("community", F.lower("subreddit"))
     windows = windows_by_month(plan).select(
         F.lower("subreddit").alias("_community"),
         F.col("kind").alias("_kind"),
@@ -107,11 +110,10 @@ def incremental_load(archive: DataFrame, plan: DataFrame) -> DataFrame:
         F.col("before").alias("_before"),
     )
     inside = (
-        (F.lower(archive["subreddit"]) == windows["_community"])
+        (archive["community"] == windows["_community"])
         & (archive["kind"] == windows["_kind"])
         & (archive["created_month"] == windows["_month"])
         & (archive["created_utc"] >= windows["_since"])
         & (archive["created_utc"] < windows["_before"])
     )
-    columns = [archive[c] for c in archive.columns if c != "created_month"]
-    return archive.join(windows, inside, "inner").select(*columns, windows["window_type"])
+    return archive.join(windows, inside, "inner").select(*columns, "window_type")

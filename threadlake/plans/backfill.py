@@ -77,13 +77,10 @@ def run_threads(store: Store, subreddits: DataFrame | None, exports: Exports) ->
     """Rebuild the threads of the named communities (all when None); returns the totals."""
     comments = store.read("comments")
     if subreddits is not None:
-        wanted = subreddits.select(F.lower("subreddit").alias("_community")).distinct()
-        comments = (
-            comments.withColumn("_community", F.lower("subreddit"))
-            .join(wanted, "_community", "left_semi")
-            .drop("_community")
-        )
+        wanted = subreddits.select(F.lower("subreddit").alias("community")).distinct()
+        comments = comments.join(wanted, "community", "left_semi")
     forest = build_forest(comments)
+    forest = forest._replace(placed=write_table(forest.placed, "placed"))
     if exports.path:
         write_threads(thread_json(comments, forest), exports.path)
     return thread_totals(forest)

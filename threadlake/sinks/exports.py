@@ -60,7 +60,10 @@ def write_threads(lines: DataFrame, path: str) -> None:
 
 
 def write_csv(table: DataFrame, path: str, kind: str) -> None:
-    """Replace the flat export of a kind: header, quotes doubled, CRLF lines, NULL as empty."""
+    """Replace the flat export of a kind: header, quotes doubled, NULL as empty.
+
+    Lines end in LF: with CRLF the writer would turn the line breaks inside values into CRLF too.
+    """
     rows = _ordered(table, "created_utc", "id").select(
         F.col("subreddit").alias("_folder"), *CSV_COLUMNS[kind]
     )
@@ -74,6 +77,7 @@ def write_csv(table: DataFrame, path: str, kind: str) -> None:
         .option("escape", '"')
         .option("emptyValue", "")
         .option("nullValue", "")
-        .option("lineSep", "\r\n")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(f"{path}/{kind}.csv")
     )

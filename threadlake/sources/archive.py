@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlake.functions import month_of_epoch
+
 # Order in which landed lines arrived: file by file, then along the file.
 ARRIVAL = ["file_time", "file_path", "block_start", "line_place"]
 
@@ -16,17 +18,23 @@ def landed_records(spark: SparkSession, path: str, stream: bool = False, **optio
     """Landed JSON lines, one record per row in ``value``, with the columns of ARRIVAL.
 
     Lines are kept whole. A folder below ``path`` named ``subreddit=<name>`` becomes the
-    ``subreddit`` column.
+    ``subreddit`` column. A stream cannot number lines: its micro-batches are given to
+    ``with_line_place``.
     """
     reader = spark.readStream if stream else spark.read
     lines = reader.options(**options).text(path)
-    return lines.where(F.trim("value") != "").select(
+    records = lines.where(F.trim("value") != "").select(
         *lines.columns,
         F.col("_metadata.file_modification_time").alias("file_time"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_place"),
     )
+    return records if stream else with_line_place(records)
+
+
+def with_line_place(records: DataFrame) -> DataFrame:
+    """Number lines; only compared between lines of one file block, which one task reads."""
+    return records.withColumn("line_place", F.monotonically_increasing_id())
 
 
 def spread(records: DataFrame) -> DataFrame:
@@ -38,18 +46,23 @@ def spread(records: DataFrame) -> DataFrame:
     return records.repartition(cores) if records.rdd.getNumPartitions() < cores else records
 
 
-def _community(name: str) -> Column:
-    return F.lower("subreddit") == name.lower()
+def _of_community(records: DataFrame, names: list[str]) -> Column:
+    """The store keeps the lower-case name as ``community``, which the file scan can filter on."""
+    key = F.col("community") if "community" in records.columns else F.lower("subreddit")
+    return key.isin([n.lower() for n in names])
 
 
-def _in_window(since: int, before: int) -> Column:
-    return (F.col("created_utc") >= since) & (F.col("created_utc") < before)
+def _in_window(records: DataFrame, since: int, before: int) -> Column:
+    inside = (F.col("created_utc") >= since) & (F.col("created_utc") < before)
+    if "created_month" in records.columns:  # month folders: skips whole folders
+        months = month_of_epoch(F.lit(since)), month_of_epoch(F.lit(before - 1))
+        inside = inside & F.col("created_month").between(*months)
+    return inside
 
 
 def scan_window(records: DataFrame, subreddits: list[str], since: int, before: int) -> DataFrame:
     """All records of the communities in the window; the filters reach the file scan."""
-    named = F.lower("subreddit").isin([s.lower() for s in subreddits])
-    return records.where(named & _in_window(since, before))
+    return records.where(_of_community(records, subreddits) & _in_window(records, since, before))
 
 
 def scan_page(
@@ -63,12 +76,12 @@ def scan_page(
     """The first ``limit`` records of the window in time order (a top-k, not a full sort)."""
     order = ["created_utc", "id"]
     keys = [F.col(c).desc() if sort == "desc" else F.col(c).asc() for c in order]
-    return records.where(_community(subreddit) & _in_window(since, before)).orderBy(*keys).limit(limit)
+    return scan_window(records, [subreddit], since, before).orderBy(*keys).limit(limit)
 
 
 def rows_by_subreddit(table: DataFrame, subreddit: str) -> DataFrame:
     """Stored rows of a community, oldest first (range partitioned sort)."""
-    return table.where(_community(subreddit)).orderBy("created_utc", "id")
+    return table.where(_of_community(table, [subreddit])).orderBy("created_utc", "id")
 
 
 def thread_scan(comments: DataFrame, subreddit: str) -> DataFrame:
@@ -77,7 +90,7 @@ def thread_scan(comments: DataFrame, subreddit: str) -> DataFrame:
     The order is over the whole table, so even one huge post is split over several tasks.
     """
     return (
-        comments.where(_community(subreddit))
+        comments.where(_of_community(comments, [subreddit]))
         .select("link_id", "created_utc", "id", "archive_json")
         .orderBy("link_id", "created_utc", "id")
     )

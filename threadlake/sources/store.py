@@ -2,9 +2,10 @@
 
 Posts and comments are insert-only, so a run appends its fresh rows. They are laid out by
 ``created_month`` (a bounded number of folders, unlike one per community) and sorted by
-community and time inside a file, which lets month folders and row groups be skipped. Small tables
-(trees, community facts, covers) are snapshots: a new version is written beside the old one and
-named current only when it is complete.
+community and time inside a file, which lets month folders and row groups be skipped.
+``community`` is the lower-case name that filters and joins use. The other tables (trees,
+community facts, covers, refreshed counts) are snapshots: a new version is written beside the old
+one and counts only when it is complete.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from threadlake import schemas
 from threadlake.functions import month_of_epoch
@@ -37,7 +38,8 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         if table in RECORDS:
-            layout = StructType([*RECORDS[table].fields]).add("created_month", IntegerType())
+            layout = StructType([*RECORDS[table].fields])
+            layout = layout.add("community", StringType()).add("created_month", IntegerType())
             return self._read(f"{self.root}/{table}", layout)
         version = self._versions(table)
         if not version:
@@ -47,10 +49,14 @@ class Store:
     def append(self, table: str, fresh: DataFrame) -> None:
         """Append rows whose ids are not stored yet."""
         columns = RECORDS[table].names
-        rows = fresh.select(*columns).withColumn("created_month", month_of_epoch("created_utc"))
+        rows = fresh.select(
+            *columns,
+            F.lower("subreddit").alias("community"),
+            month_of_epoch("created_utc").alias("created_month"),
+        )
         (
-            rows.repartitionByRange("created_month", "subreddit", "created_utc", "id")
-            .sortWithinPartitions("created_month", "subreddit", "created_utc", "id")
+            rows.repartitionByRange("created_month", "community", "created_utc", "id")
+            .sortWithinPartitions("created_month", "community", "created_utc", "id")
             .write.mode("append")
             .partitionBy("created_month")
             .parquet(f"{self.root}/{table}")

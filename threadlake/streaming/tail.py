@@ -15,7 +15,7 @@ from threadlake.operators.normalize import normalize_comments, normalize_posts
 from threadlake.operators.skew import HOT_ROWS, lookup
 from threadlake.operators.upsert import fresh_records
 from threadlake.scratch import write_table
-from threadlake.sources.archive import ARRIVAL, landed_records
+from threadlake.sources.archive import ARRIVAL, landed_records, with_line_place
 from threadlake.sources.store import Store
 
 NORMALIZE = {"posts": normalize_posts, "comments": normalize_comments}
@@ -53,7 +53,7 @@ def follow_tail(
     stream = landed_records(store.spark, landed, stream=True, **source_options)
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        rows = NORMALIZE[kind](batch, F.col("subreddit"), fetched_at, keep=tuple(ARRIVAL))
+        rows = NORMALIZE[kind](with_line_place(batch), F.col("subreddit"), fetched_at, keep=tuple(ARRIVAL))
         rows = write_table(rows.where(F.col("id").isNotNull()), "tail")
         if covered is not None:
             rows = tail_rows(rows, covered, lateness)

@@ -10,6 +10,7 @@ from threadlake.operators.normalize import normalize_comments
 from threadlake.plans import backfill
 from threadlake.plans.backfill import Exports, run_backfill, run_export, run_meta, run_refresh, run_threads, run_trees
 from threadlake.plans.requests import expand_requests
+from threadlake.plans.stages import Landed, run_stage
 from threadlake.schemas import COVERED, REQUESTS
 from threadlake.sources import Store, landed_records, rows_by_subreddit, scan_page, scan_window, thread_scan
 from threadlake.sources.archive import ARRIVAL
@@ -128,6 +129,34 @@ def test_trees_meta_refresh_and_export(spark, tmp_path):
     assert counts == {"posts": 5, "comments": 10}
 
 
+def test_stages(spark, tmp_path):
+    store, out = Store(spark, str(tmp_path / "store")), Exports(str(tmp_path / "out"), csv=True)
+    jobs = spark.createDataFrame(
+        [("py, rust", "0", str(20 * DAY), True, True, True, True)],
+        "subreddits string, since_spec string, until_spec string, fetch_posts boolean, "
+        "fetch_comments boolean, fetch_trees boolean, fetch_meta boolean",
+    )
+    layout = "subreddit string, value string, response bigint, place bigint"
+    landed = Landed(
+        archive(spark),
+        ("arrival",),
+        spark.createDataFrame([("PY", "{}", 1, 0), ("elsewhere", "{}", 1, 0)], layout),
+        spark.createDataFrame([("p1", "Py", "[]", 1)], "link_id string, subreddit string, tree_json string, seq bigint"),
+        spark.createDataFrame([("p19", "<shreddit-post score=3>", 7)], "id string, html string, refreshed_at bigint"),
+    )
+    reports = run_stage(store, jobs, landed, 20 * DAY, exports=out, refresh=True, window_days=1)
+    assert set(reports) == {"backfill", "threads", "refresh", "export", "stats"}
+    total = reports["stats"].where("is_overall = 1").first()
+    assert (total.posts, total.comments, total.comment_trees) == (20, 40, 1)
+    assert [r.subreddit for r in store.read("subreddit_meta").collect()] == ["PY"]
+    assert [(r.id, r.live_score) for r in reports["refresh"].collect()] == [("p19", 3)]
+    assert set(run_stage(store, jobs, landed, 20 * DAY, "stats")) == {"stats"}
+    assert set(run_stage(store, jobs, landed, 20 * DAY, "threads")) == {"threads", "stats"}
+    assert set(run_stage(store, jobs, landed, 20 * DAY, "export", out)) == {"export"}
+    with pytest.raises(ValueError):
+        run_stage(store, jobs, landed, 0, "other")
+
+
 def test_expand_requests(spark):
     rows = [
         (" python, rust,,golang ", "90d", "now", True, False, False, True),

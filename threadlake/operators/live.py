@@ -9,6 +9,11 @@ from threadlake.functions import parse_count, tag_attribute
 
 from .dedup import last_wins
 
+# The element of a post's page, and its attributes, that show the counts.
+PAGE_TAG = "shreddit-post"
+PAGE_SCORE = "score"
+PAGE_COMMENTS = "comment-count"
+
 
 def refresh_worklist(
     posts: DataFrame,
@@ -42,7 +47,11 @@ def refresh_worklist(
 
 
 def page_counts(
-    pages: DataFrame, tag: str, html: str = "html", score: str = "score", comments: str = "comment-count"
+    pages: DataFrame,
+    tag: str = PAGE_TAG,
+    html: str = "html",
+    score: str = PAGE_SCORE,
+    comments: str = PAGE_COMMENTS,
 ) -> DataFrame:
     """Count texts shown by each landed page; the page text itself is dropped."""
     return pages.select(

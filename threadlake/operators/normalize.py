@@ -21,7 +21,9 @@ _META = "display_name string, subscribers string, created_utc string, public_des
 
 
 def _parsed(raw: DataFrame, value: str, layout: str) -> DataFrame:
-    return raw.withColumn("_r", F.from_json(value, layout))
+    # As a generator: later filters on parsed fields would otherwise move below the projection
+    # and parse every record once more.
+    return raw.select("*", F.explode(F.array(F.from_json(value, layout))).alias("_r"))
 
 
 def _or_default(text: Column, default: Column) -> Column:

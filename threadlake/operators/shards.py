@@ -60,12 +60,14 @@ def keyset_pages(records: DataFrame, limit: int, hot_rows: int = HOT_ROWS) -> Da
     ranked = rank_in_groups(keyed, ["subreddit"], ["created_utc", "id"], "_rn", hot_rows)
     size = F.lit(limit).cast("bigint")
     paged = ranked.withColumn("page", _div(F.col("_rn") - 1, size))
-    pages = paged.groupBy("subreddit", "page").agg(
-        F.count("*").alias("n_rows"), F.max("created_utc").alias("last_created_utc")
+    # Counted per second first: both results below read this one exchange.
+    seconds = paged.groupBy("subreddit", "page", "created_utc").agg(F.count("*").alias("_n"))
+    pages = seconds.groupBy("subreddit", "page").agg(
+        F.sum("_n").alias("n_rows"), F.max("created_utc").alias("last_created_utc")
     )
     crowded = (
-        paged.groupBy("subreddit", "created_utc")
-        .agg(F.count("*").alias("_n"), F.max("page").alias("page"))
+        seconds.groupBy("subreddit", "created_utc")
+        .agg(F.sum("_n").alias("_n"), F.max("page").alias("page"))
         .where(F.col("_n") > limit)
         .groupBy("subreddit", "page")
         .agg(F.count("*").alias("_full"))

@@ -25,11 +25,13 @@ from pyspark.sql.window import Window
 
 from threadlake.functions import drop_json_field, json_quote, parent_kind, strip_fullname
 from threadlake.functions.names import COMMENT_KIND
-from threadlake.scratch import write_table
+from threadlake.scratch import write_counted, write_table
 
 from .skew import HOT_ROWS, lookup, rank_in_groups
 
-POST = ["subreddit", "link_id"]
+# Keys run from many values to few: sorts compare the first key first, and a community name decides
+# next to nothing.
+POST = ["link_id", "subreddit"]
 MAX_PATH = 512
 PART_NODES = 10_000
 
@@ -50,23 +52,23 @@ def in_threads(comments: DataFrame) -> DataFrame:
 def link_parents(comments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each comment with the id of its ``parent`` (NULL for roots) and ``is_orphan``.
 
-    ``comments`` has unique ids. Only the key columns are read.
+    ``comments`` is a stored or written table with unique ids; only its key columns are read.
     """
     named = F.when(parent_kind("parent_id") == COMMENT_KIND, strip_fullname("parent_id"))
-    nodes = write_table(
-        in_threads(comments).select(
-            *POST,
-            "id",
-            F.coalesce("created_utc", F.lit(0)).cast("bigint").alias("created_utc"),
-            named.alias("_named"),
-        ),
-        "nodes",
+    nodes = in_threads(comments).select(
+        *POST,
+        "id",
+        F.coalesce("created_utc", F.lit(0)).cast("bigint").alias("created_utc"),
+        named.alias("_named"),
     )
-    keys = [*POST, "_named"]
+    keys = ["_named", *POST]
     known = nodes.select(*POST, F.col("id").alias("_named"), F.lit(True).alias("_found"))
-    replies = lookup(nodes.where(F.col("_named").isNotNull()), known, keys, "left", hot_rows)
+    replies = nodes.where(F.col("_named").isNotNull())
+    # All comments bound the number of replies, and are counted from the file footers.
+    linked = lookup(replies, known, keys, "left", hot_rows, rows=comments.count())
+    # Roots have no key to look up: shuffled with the rest they would all meet in one task.
     tops = nodes.where(F.col("_named").isNull()).withColumn("_found", F.lit(None).cast("boolean"))
-    return tops.unionByName(replies).select(
+    return tops.unionByName(linked).select(
         *POST,
         "id",
         "created_utc",
@@ -82,33 +84,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def build_forest(
     comments: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH
 ) -> Forest:
-    linked = write_table(
-        link_parents(comments, hot_rows).drop("is_orphan").withColumn("dist", F.lit(0)), "linked"
+    is_root = F.col("parent").isNull()
+    linked, open_rows = write_counted(
+        link_parents(comments, hot_rows).drop("is_orphan"), "linked", ~is_root
     )
-    step = F.array(F.struct("created_utc", "id"))
     state = linked.select(
         "*",
         F.col("parent").alias("ptr"),
-        F.when(F.col("parent").isNull(), F.col("id")).alias("root_id"),
-        F.when(F.col("parent").isNull(), F.lit(0)).alias("depth"),
-        step.alias("path"),
-    ).withColumn("dist", F.when(F.col("ptr").isNotNull(), 1).otherwise(0))
-
-    done = [state.where(F.col("root_id").isNotNull())]
-    live = state.where(F.col("root_id").isNull())
-    open_rows, reach = live.count(), 1
+        F.when(is_root, F.col("id")).alias("root_id"),
+        F.when(is_root, 0).alias("depth"),
+        F.when(is_root, 0).otherwise(1).alias("dist"),
+        F.array(F.struct("created_utc", "id")).alias("path"),
+    )
+    is_open = F.col("root_id").isNull()
+    done, live, reach = [state.where(is_root)], state.where(~is_root), 1
     while open_rows:
-        live = write_table(_jump(live, open_rows, done, hot_rows, carry_path=reach < max_path), "jump")
-        done.append(live.where(F.col("root_id").isNotNull()))
-        live = live.where(F.col("root_id").isNull())
-        left, reach = live.count(), reach * 2
+        step = _jump(live, open_rows, done, hot_rows, carry_path=reach < max_path)
+        step, left = write_counted(step, "jump", is_open)
+        done.append(step.where(~is_open))
+        live, reach = step.where(is_open), reach * 2
         if left == open_rows:
             break
         open_rows = left
 
-    resolved = _union([d.select(*POST, "id", "parent", "created_utc", "root_id", "depth", "path") for d in done])
-    unplaced = live.select(*POST, "id", "parent")
-    return Forest(_in_reading_order(resolved, hot_rows, deep=reach > max_path), unplaced)
+    columns = [*POST, "id", "parent", "created_utc", "root_id", "depth", "path"]
+    resolved = _union([part.select(*columns) for part in done])
+    placed = _in_reading_order(resolved, hot_rows, deep=reach > max_path)
+    return Forest(placed, live.select(*POST, "id", "parent"))
 
 
 def _jump(
@@ -122,7 +124,7 @@ def _jump(
         F.col("id").alias("ptr"),
         *[F.col(c).alias(f"_{c}") for c in ("ptr", "root_id", "depth", "dist", "path")],
     )
-    joined = lookup(live, targets, [*POST, "ptr"], "inner", hot_rows, rows)
+    joined = lookup(live, targets, ["ptr", *POST], "inner", hot_rows, rows)
     # NULL paths (not carried) stay NULL on everything built from them.
     path = F.concat("_path", "path") if carry_path else F.lit(None).cast(live.schema["path"].dataType)
     return joined.select(
@@ -159,7 +161,7 @@ def sibling_rank(nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     ``nodes`` is a written table with subreddit, link_id, id, parent, created_utc.
     """
-    return rank_in_groups(nodes, [*POST, "parent"], ["created_utc", "id"], "sibling", hot_rows)
+    return rank_in_groups(nodes, ["parent", *POST], ["created_utc", "id"], "sibling", hot_rows)
 
 
 def _walk_order(nodes: DataFrame, hot_rows: int) -> DataFrame:
@@ -179,8 +181,8 @@ def _walk_order(nodes: DataFrame, hot_rows: int) -> DataFrame:
     following = ranked.select(
         *POST, "_group", "_top", (F.col("sibling") - 1).alias("sibling"), F.col("id").alias("_next")
     )
-    ring = ranked.join(first_reply, [*POST, "id"], "left").join(
-        following, [*POST, "_group", "_top", "sibling"], "left"
+    ring = ranked.join(first_reply, ["id", *POST], "left").join(
+        following, ["_group", "sibling", *POST, "_top"], "left"
     )
 
     def stop(node, leaving) -> F.Column:
@@ -208,7 +210,7 @@ def _walk_order(nodes: DataFrame, hot_rows: int) -> DataFrame:
             *POST, F.col("at").alias("to"), F.col("to").alias("_to"), F.col("ahead").alias("_ahead")
         )
         moved = write_table(
-            live.join(beyond, [*POST, "to"], "inner").select(
+            live.join(beyond, ["to", *POST], "inner").select(
                 *POST, "at", F.col("_to").alias("to"), (F.col("ahead") + F.col("_ahead")).alias("ahead")
             ),
             "walk",
@@ -219,7 +221,7 @@ def _walk_order(nodes: DataFrame, hot_rows: int) -> DataFrame:
     entered = _union(ended).where(~F.col("at.leaving"))
     size = nodes.groupBy(*POST).agg(F.count("*").alias("_n"))
     ahead = entered.select(*POST, F.col("at.node").alias("id"), "ahead")
-    placed = write_table(nodes.drop("path").join(ahead, [*POST, "id"], "inner"), "walked")
+    placed = write_table(nodes.drop("path").join(ahead, ["id", *POST], "inner"), "walked")
     return lookup(placed, size, POST, "inner", hot_rows).withColumn(
         "pos", F.col("_n") - F.col("ahead") + 1
     )
@@ -266,7 +268,7 @@ def thread_json(comments: DataFrame, forest: Forest, part_nodes: int = PART_NODE
         )
     )
     records = comments.select(*POST, "id", "archive_json")
-    shaped = placed.join(records, [*POST, "id"], "inner").select(
+    shaped = placed.join(records, ["id", *POST], "inner").select(
         *POST,
         "pos",
         "depth",

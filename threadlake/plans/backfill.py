@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.operators.coverage import coverage_commit, coverage_plan, incremental_load
-from threadlake.operators.live import page_counts, refresh_outcome, refresh_worklist
+from threadlake.operators.live import PAGE_TAG, page_counts, refresh_outcome, refresh_worklist
 from threadlake.operators.membership import missing_trees
 from threadlake.operators.normalize import normalize_comments, normalize_meta, normalize_posts
 from threadlake.operators.stats import csv_counts, ingest_report
@@ -112,7 +112,13 @@ def run_meta(store: Store, responses: DataFrame, now: int) -> None:
 
 
 def run_refresh(
-    store: Store, pages: DataFrame, now: int, window_days: int, tag: str, base_url: str = "", **worklist
+    store: Store,
+    pages: DataFrame,
+    now: int,
+    window_days: int = 30,
+    tag: str = PAGE_TAG,
+    base_url: str = "",
+    **worklist,
 ) -> DataFrame:
     """Refresh recent posts from landed pages (id, html, refreshed_at); returns the outcome."""
     work = refresh_worklist(store.read("posts"), now, window_days, base_url, **worklist)

@@ -22,7 +22,7 @@ GAP = 5000000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _text(*parts) -> Column:
@@ -92,7 +92,7 @@ def raw_posts(spark, sf_dir) -> DataFrame:
             ' \\"q\\" é", "score": ', score, ', "is_self": ', self_post, "}",
         )
 
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     copies = F.array(
         F.struct(F.lit(1).cast("bigint").alias("arrival"), record("order ").alias("value")),
         F.struct(
@@ -127,7 +127,8 @@ def raw_comments(spark, sf_dir) -> DataFrame:
         "l_tax", "l_returnflag", "l_linestatus",
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
-    return table(spark, sf_dir, "lineitem").join(orders, k == F.col("o_orderkey")).select(
+    lines = spread(table(spark, sf_dir, "lineitem"))
+    return lines.join(orders, k == F.col("o_orderkey")).select(
         ident.alias("id"),
         link.alias("link_id"),
         parent.alias("parent_id"),

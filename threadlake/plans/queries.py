@@ -88,7 +88,7 @@ def page_attr_extract(spark, d):
     return pages.select(
         "page_id",
         tag_attribute("html", "html", "lang").alias("lang"),
-        tag_attribute("html", "shreddit-post", "score").alias("score"),
+        tag_attribute("html", live.PAGE_TAG, live.PAGE_SCORE).alias("score"),
     )
 
 
@@ -247,43 +247,49 @@ def expand_requests(spark, d):
 # Threads
 
 
+def _thread_store(spark, d, *columns: str) -> DataFrame:
+    """The comment store as the written table it is in a run."""
+    keys = ("subreddit", "link_id", "id", "parent_id", "created_utc")
+    return write_table(fx.comments(spark, d).select(*keys, *columns), "comments")
+
+
 @query
 def thread_parents(spark, d):
-    return threads.link_parents(fx.comments(spark, d)).drop("is_orphan")
+    return threads.link_parents(_thread_store(spark, d)).drop("is_orphan")
 
 
 @query
 def thread_orphans(spark, d):
-    linked = threads.link_parents(fx.comments(spark, d))
+    linked = threads.link_parents(_thread_store(spark, d))
     return linked.where("is_orphan").select("subreddit", "link_id", "id", "created_utc")
 
 
 @query
 def thread_nodes(spark, d):
-    return threads.build_forest(fx.comments(spark, d)).placed
+    return threads.build_forest(_thread_store(spark, d)).placed
 
 
 @query
 def sibling_rank(spark, d):
-    linked = write_table(threads.link_parents(fx.comments(spark, d)).drop("is_orphan"), "linked")
+    linked = write_table(threads.link_parents(_thread_store(spark, d)).drop("is_orphan"), "linked")
     return threads.sibling_rank(linked)
 
 
 @query
 def thread_unplaced(spark, d):
-    comments = fx.comments(spark, d)
+    comments = _thread_store(spark, d)
     return threads.unplaced_comments(comments, threads.build_forest(comments))
 
 
 @query
 def thread_json(spark, d):
-    comments = fx.comments(spark, d)
+    comments = _thread_store(spark, d, "archive_json")
     return threads.thread_json(comments, threads.build_forest(comments))
 
 
 @query
 def thread_totals(spark, d):
-    return threads.thread_totals(threads.build_forest(fx.comments(spark, d)))
+    return threads.thread_totals(threads.build_forest(_thread_store(spark, d)))
 
 
 # Conversations are long chains, the other shape of thread
@@ -300,7 +306,7 @@ def thread_chains(spark, d):
         F.coalesce(parent, F.concat(F.lit("t3_"), c)).alias("parent_id"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("created_utc"),
     )
-    turns = first_wins(turns, ["id"], ["created_utc"])
+    turns = write_table(first_wins(turns, ["id"], ["created_utc"]), "turns")
     return threads.build_forest(turns).placed
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +31,10 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_counted(df: DataFrame, label: str, condition: Column) -> tuple[DataFrame, int]:
+    """``write_table``, and the number of rows meeting a condition, counted by the same job."""
+    seen = Observation()
+    table = write_table(df.observe(seen, F.count_if(condition).alias("n")), label)
+    return table, seen.get.get("n", 0)  # an empty result observes nothing

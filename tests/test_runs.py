@@ -12,7 +12,7 @@ from threadlake.plans.backfill import Exports, run_backfill, run_export, run_met
 from threadlake.plans.requests import expand_requests
 from threadlake.plans.stages import Landed, run_stage
 from threadlake.schemas import COVERED, REQUESTS
-from threadlake.sources import Store, landed_records, rows_by_subreddit, scan_page, scan_window, thread_scan
+from threadlake.sources import Store, landed_archive, landed_records, rows_by_subreddit, scan_page, scan_window, thread_scan
 from threadlake.sources.archive import ARRIVAL
 from threadlake.streaming import dedup_within_watermark, follow_tail
 
@@ -89,6 +89,26 @@ def test_a_failed_run_is_repeated(spark, tmp_path, monkeypatch):
     assert store.read("posts").count() == 10 and covers(store)["posts"] == (0, 10 * DAY)
 
 
+def test_overlapping_requests_load_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    asked = spark.createDataFrame(
+        [("py", "posts", 0, 6 * DAY), ("PY", "posts", 4 * DAY, 10 * DAY), ("py", "meta", 0, 5)], REQUESTS
+    )
+    first = run_backfill(store, archive(spark, 10), asked, 5, ["arrival"])
+    assert report(first) == {"posts": (10, 10, 10)}
+    assert covers(store) == {"posts": (0, 10 * DAY)}
+
+
+def test_backfill_from_landed_files(spark, tmp_path):
+    land(tmp_path / "landed", "1.jsonl", ("a", 1, "first"), ("b", 2 * DAY, "b"), ("a", 3, "copy"))
+    land(tmp_path / "landed", "2.jsonl", ("c", 9 * DAY, "too new"))
+    store, source = Store(spark, str(tmp_path / "store")), landed_archive(spark, str(tmp_path / "landed"), "comments")
+    first = run_backfill(store, source, ask(spark, 0, 5 * DAY), 5, ARRIVAL)
+    assert report(first) == {"comments": (3, 2, 2)}
+    assert stored(store) == {"a": "first", "b": "b"}
+    assert {r.subreddit for r in store.read("comments").collect()} == {"Py"}
+
+
 def test_scans_of_the_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     run_backfill(store, archive(spark), ask(spark, 0, 60 * DAY), 5, ["arrival"])

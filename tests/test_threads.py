@@ -27,10 +27,10 @@ def comments(spark, rows, link="t3_post"):
     return spark.createDataFrame(full, LAYOUT)
 
 
-def lines(df, forest, part_nodes=10_000):
+def lines(df, forest, part_nodes=10_000, **how):
     """{(community, link): decoded line} with the parts of a post put together."""
     texts = {}
-    for r in thread_json(df, forest, part_nodes).collect():
+    for r in thread_json(df, forest, part_nodes, **how).collect():
         texts.setdefault((r.subreddit, r.link_id), {})[r.part] = r.text
         assert r.n_parts == max(r.n_parts, r.part + 1)
     return {k: json.loads("".join(parts[i] for i in sorted(parts))) for k, parts in texts.items()}
@@ -175,7 +175,7 @@ def test_one_post_with_most_comments_is_split(spark):
     hot = build_forest(df, hot_rows=100)
     assert sorted(hot.placed.collect()) == sorted(cold.placed.collect())
     assert thread_json(df, hot, 50).where("link_id = 't3_hot'").count() == 54
-    assert lines(df, hot, 50) == lines(df, cold)
+    assert lines(df, hot, 50, hot_rows=100) == lines(df, cold)
 
 
 def test_long_chain(spark):

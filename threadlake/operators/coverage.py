@@ -14,6 +14,17 @@ from threadlake.functions import month_of_epoch
 KEYS = ["subreddit", "kind"]
 
 
+def merge_requests(requests: DataFrame) -> DataFrame:
+    """One request per (lower-case community, kind): from the earliest start to the latest end.
+
+    A cover is a single interval, so loading requests one after the other fills what lies between
+    them as well.
+    """
+    return requests.groupBy(F.lower("subreddit").alias("subreddit"), "kind").agg(
+        F.min("since").alias("since"), F.max("before").alias("before")
+    )
+
+
 def _window(name: str, since: Column, before: Column, wanted: Column) -> Column:
     return F.when(
         wanted,

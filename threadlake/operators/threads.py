@@ -249,7 +249,12 @@ def thread_totals(forest: Forest) -> DataFrame:
     )
 
 
-def thread_json(comments: DataFrame, forest: Forest, part_nodes: int = PART_NODES) -> DataFrame:
+def thread_json(
+    comments: DataFrame,
+    forest: Forest,
+    part_nodes: int = PART_NODES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """The line of each post as text: (subreddit, link_id, part, n_parts, text).
 
     Posts up to ``part_nodes`` placed comments are one part, which is the whole line. A larger
@@ -257,7 +262,16 @@ def thread_json(comments: DataFrame, forest: Forest, part_nodes: int = PART_NODE
     cycles has an empty tree.
     """
     size = F.lit(part_nodes).cast("bigint")
-    placed = forest.placed.select(*POST, "id", "depth", "pos")
+    sizes = forest.placed.groupBy(*POST).agg(F.count("*").alias("_size"))
+    # Sizes meet the keys before the text does, so the text is shuffled no more for them.
+    placed = lookup(
+        forest.placed.select(*POST, "id", "depth", "pos"),
+        sizes,
+        POST,
+        "inner",
+        hot_rows,
+        rows=comments.count(),
+    )
     part = F.call_function("div", F.col("pos") - 1, size)
     # The last comment of a part is also seen by the next part, and the first by the one before.
     seen_in = F.array_compact(
@@ -272,6 +286,7 @@ def thread_json(comments: DataFrame, forest: Forest, part_nodes: int = PART_NODE
         *POST,
         "pos",
         "depth",
+        "_size",
         part.alias("_own"),
         drop_json_field("archive_json", "replies").alias("record"),
         F.explode(seen_in).alias("part"),
@@ -294,23 +309,23 @@ def thread_json(comments: DataFrame, forest: Forest, part_nodes: int = PART_NODE
         record.substr(F.lit(1), F.length(record) - 1),
         F.lit(', "replies": ['),
         F.repeat(F.lit("]}"), closed.cast("int")),
-        F.when(after.isNull(), "]}").otherwise(""),
+        F.when(F.col("pos") == F.col("_size"), "]}").otherwise(""),
     )
-    pieces = around.select(*POST, "part", "pos", text.alias("text"))
+    pieces = around.select(*POST, "part", "pos", "_size", text.alias("text"))
     parts = pieces.groupBy(*POST, "part").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_pieces")
+        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_pieces"),
+        F.max("_size").alias("_size"),
     )
-    lines = parts.select(
-        *POST, "part", F.array_join(F.col("_pieces.text"), "").alias("text")
-    )
-    counts = placed.groupBy(*POST).agg(
-        F.call_function("div", F.count("*") + size - 1, size).alias("n_parts")
+    whole = parts.select(
+        *POST,
+        "part",
+        F.call_function("div", F.col("_size") + size - 1, size).alias("n_parts"),
+        F.array_join(F.col("_pieces.text"), "").alias("text"),
     )
-    whole = lines.join(counts, POST, "inner").select(*POST, "part", "n_parts", "text")
     nothing = (
         forest.unplaced.select(*POST)
         .distinct()
-        .join(counts, POST, "left_anti")
+        .join(sizes, POST, "left_anti")
         .select(
             *POST,
             F.lit(0).cast("bigint").alias("part"),

@@ -11,7 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.operators.coverage import coverage_commit, coverage_plan, incremental_load
+from threadlake.operators.coverage import (
+    coverage_commit,
+    coverage_plan,
+    incremental_load,
+    merge_requests,
+)
 from threadlake.operators.live import PAGE_TAG, page_counts, refresh_outcome, refresh_worklist
 from threadlake.operators.membership import missing_trees
 from threadlake.operators.normalize import normalize_comments, normalize_meta, normalize_posts
@@ -49,8 +54,8 @@ def run_backfill(
 
     ``archive``: kind, subreddit, created_utc, id, value (raw JSON) and the arrival columns.
     """
-    wanted = requests.where(F.col("kind").isin(*NORMALIZE)).select("subreddit", "kind", "since", "before")
-    requests = write_table(wanted, "requests")
+    wanted = requests.where(F.col("kind").isin(*NORMALIZE))
+    requests = write_table(merge_requests(wanted), "requests")
     covered = store.read("covered_range")
     plan = write_table(coverage_plan(requests, covered), "plan")
     loaded = write_table(incremental_load(archive, plan), "loaded")

@@ -19,6 +19,7 @@ NOW = 1000000000
 HALF_YEAR = 15778800
 QUARTER = 7889400
 GAP = 5000000
+SPLIT = 883612800  # 1998-01-01: what is older counts as stored by an earlier run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,7 @@ def posts(spark, sf_dir) -> DataFrame:
         (created + 60).alias("fetched_at"),
         k.alias("k"),
         F.col("o_custkey").alias("custkey"),
+        F.col("o_orderstatus").alias("status"),
     )
 
 
@@ -97,7 +99,7 @@ def raw_posts(spark, sf_dir) -> DataFrame:
         F.struct(F.lit(1).cast("bigint").alias("arrival"), record("order ").alias("value")),
         F.struct(
             F.lit(2).cast("bigint").alias("arrival"),
-            F.when(k % 10 == 0, record("edited ")).alias("value"),
+            F.when(F.col("o_orderstatus") == "P", record("edited ")).alias("value"),
         ),
     )
     return (
@@ -156,12 +158,13 @@ def comments(spark, sf_dir) -> DataFrame:
 
 
 def stored_comments(spark, sf_dir) -> DataFrame:
-    return comments(spark, sf_dir).where(F.col("k") % 3 == 0)
+    """Comments an earlier run has stored."""
+    return comments(spark, sf_dir).where(F.col("created_utc") < SPLIT)
 
 
 def trees(spark, sf_dir) -> DataFrame:
-    """Stored trees of a third of the posts."""
-    p = posts(spark, sf_dir).where(F.col("k") % 3 == 0)
+    """Stored trees: finished orders have one."""
+    p = posts(spark, sf_dir).where(F.col("status") == "F")
     return p.select(
         F.col("id").alias("link_id"), "subreddit", _text("[", F.col("id"), "]").alias("tree_json"), "fetched_at"
     )
@@ -169,8 +172,8 @@ def trees(spark, sf_dir) -> DataFrame:
 
 def landed_trees(spark, sf_dir) -> DataFrame:
     """Newly landed trees, two for some posts, spelling the community in lower case."""
-    p = posts(spark, sf_dir).where(F.col("k") % 2 == 0)
-    versions = F.when(F.col("k") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    p = posts(spark, sf_dir).where(F.col("score") > 200000)
+    versions = F.when(F.col("num_comments") < 50, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     p = p.select("*", F.explode(versions.cast("array<bigint>")).alias("seq"))
     return p.select(
         F.col("id").alias("link_id"),
@@ -231,7 +234,7 @@ def covered(spark, sf_dir) -> DataFrame:
 
 
 def outcomes(spark, sf_dir) -> DataFrame:
-    """Some windows failed, some have no outcome."""
+    """Some windows failed, some have no outcome (NULL)."""
     rows = _customer_kinds(spark, sf_dir)
     types = F.array(
         F.struct(F.lit("full").alias("window_type"), F.lit(0).alias("i")),
@@ -239,15 +242,19 @@ def outcomes(spark, sf_dir) -> DataFrame:
         F.struct(F.lit("tail").alias("window_type"), F.lit(2).alias("i")),
     )
     rows = rows.select("subreddit", "kind", "c", F.explode(types).alias("w"))
-    return rows.where((F.col("c") + F.col("w.i")) % 6 != 0).select(
-        "subreddit", "kind", "w.window_type", ((F.col("c") + F.col("w.i")) % 4 != 0).alias("ok")
+    turn = F.col("c") + F.col("w.i")
+    return rows.select(
+        "subreddit", "kind", "w.window_type", F.when(turn % 6 != 0, turn % 4 != 0).alias("ok")
     )
 
 
 def live_counts(spark, sf_dir) -> DataFrame:
-    """Two visits of every post's page, the later one with every kind of count text."""
+    """Two visits of each post's page, the later one with every kind of count text.
+
+    Pages of pending orders were never landed.
+    """
     k = F.col("k")
-    p = posts(spark, sf_dir).select("id", "k")
+    p = posts(spark, sf_dir).where(F.col("status") != "P").select("id", "k")
     visits = F.array(
         F.struct(
             F.lit("1").alias("score_text"), F.lit("1").alias("comments_text"), F.lit(100).alias("refreshed_at")
@@ -277,6 +284,7 @@ def events(spark, sf_dir) -> DataFrame:
         epoch_of_ntz("ts").alias("created_utc"),
         F.col("props").alias("archive_json"),
         F.col("event_id").alias("k"),
+        "value",
     )
 
 

@@ -19,7 +19,7 @@ fx_posts AS (
       || CAST(floor(epoch(o_orderdate)) AS BIGINT) || ', "title": "order ' || o_orderkey || '"}'
       AS archive_json,
     CAST(floor(epoch(o_orderdate)) AS BIGINT) + 60 AS fetched_at,
-    o_orderkey AS k, o_custkey AS custkey
+    o_orderkey AS k, o_custkey AS custkey, o_orderstatus AS status
   FROM orders)"""
 
 _RAW_COMMENTS = """
@@ -44,14 +44,14 @@ fx_raw AS (
       l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS copy
   FROM fx_named)"""
 
-_COMMENTS = _RAW_COMMENTS + """,
+_COMMENTS = _RAW_COMMENTS + f""",
 fx_comments AS (SELECT * FROM fx_raw WHERE copy = 1),
-fx_stored AS (SELECT * FROM fx_comments WHERE k % 3 = 0)"""
+fx_stored AS (SELECT * FROM fx_comments WHERE created_utc < {fx.SPLIT})"""
 
 _TREES = """
 fx_trees AS (
   SELECT id AS link_id, subreddit, '[' || id || ']' AS tree_json, fetched_at
-  FROM fx_posts WHERE k % 3 = 0)"""
+  FROM fx_posts WHERE status = 'F')"""
 
 _REQUESTS = f"""
 fx_customer AS (
@@ -80,12 +80,12 @@ fx_plan AS (
 _LIVE = """
 fx_live AS (
   SELECT id, k, '1' AS score_text, '1' AS comments_text, CAST(100 AS BIGINT) AS refreshed_at
-  FROM fx_posts
+  FROM fx_posts WHERE status <> 'P'
   UNION ALL
   SELECT id, k, CASE k % 7 WHEN 0 THEN '12' WHEN 1 THEN '-3' WHEN 2 THEN '1.2k' WHEN 3 THEN NULL
       WHEN 4 THEN '--5' WHEN 5 THEN ' 5' ELSE id END,
     CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '-4' ELSE CAST(k % 300 AS VARCHAR) END, 200
-  FROM fx_posts)"""
+  FROM fx_posts WHERE status <> 'P')"""
 
 _OUTCOME = f"""
 fx_outcome AS (
@@ -100,7 +100,7 @@ fx_outcome AS (
       coalesce(p.permalink <> '' AND v.score_text IS NOT NULL
         AND NOT regexp_full_match(v.score_text, '--+[0-9]+'), false) AS ok
     FROM fx_posts p LEFT JOIN fx_live v
-      ON v.id = p.id AND v.refreshed_at = 200 AND v.k % 17 <> 0
+      ON v.id = p.id AND v.refreshed_at = 200
     WHERE p.created_utc >= {fx.NOW - REFRESH_DAYS * 86400}))"""
 
 _JOBS = """
@@ -165,7 +165,7 @@ fx_landed AS (
     CAST(floor(epoch(o_orderdate)) AS BIGINT) AS t, o_custkey,
     CASE arrival WHEN 1 THEN 'order ' ELSE 'edited ' END || o_orderkey AS name
   FROM orders, (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) AS copies(arrival)
-  WHERE arrival = 1 OR o_orderkey % 10 = 0),
+  WHERE arrival = 1 OR o_orderstatus = 'P'),
 fx_rows AS (
   SELECT CAST(k AS VARCHAR) AS id, requested AS subreddit,
     CASE WHEN k % 7 = 2 THEN 0 ELSE t END AS created_utc, 'u' || o_custkey AS author,
@@ -197,7 +197,7 @@ fx_names AS (
 _EVENTS = """
 fx_events AS (
   SELECT CAST(event_id AS VARCHAR) AS id, event_type AS subreddit,
-    CAST(floor(epoch(ts)) AS BIGINT) AS created_utc, props AS archive_json, event_id AS k
+    CAST(floor(epoch(ts)) AS BIGINT) AS created_utc, props AS archive_json, event_id AS k, value
   FROM events)"""
 
 
@@ -271,25 +271,27 @@ ORACLE: dict[str, str] = {
         _COMMENTS,
     ),
     "upsert_posts": _sql(
-        f"""SELECT id, subreddit, created_utc, title, is_self, fetched_at FROM fx_posts WHERE k % 4 = 0
+        f"""SELECT id, subreddit, created_utc, title, is_self, fetched_at FROM fx_posts
+        WHERE created_utc < {fx.SPLIT}
         UNION ALL
         SELECT id, subreddit, created_utc, title, is_self, {fx.NOW} FROM fx_rows
-        WHERE arrival = 1 AND id NOT IN (SELECT id FROM fx_posts WHERE k % 4 = 0)""",
+        WHERE arrival = 1 AND id NOT IN (SELECT id FROM fx_posts WHERE created_utc < {fx.SPLIT})""",
         _POSTS,
         _RAW_POSTS,
     ),
     "upsert_comments": _sql(
-        """SELECT id, link_id, parent_id, subreddit, created_utc,
-          CASE WHEN k % 3 = 0 THEN 'stored' ELSE author END AS author, body FROM fx_comments""",
+        f"""SELECT id, link_id, parent_id, subreddit, created_utc,
+          CASE WHEN created_utc < {fx.SPLIT} THEN 'stored' ELSE author END AS author, body FROM fx_comments""",
         _COMMENTS,
     ),
     "merge_trees": _sql(
         """SELECT id AS link_id,
-          CASE WHEN k % 3 = 0 THEN subreddit ELSE lower(subreddit) END AS subreddit,
-          CASE WHEN k % 2 <> 0 THEN '[' || id || ']' WHEN k % 4 = 0 THEN '[' || id || ',2]'
-            ELSE '[' || id || ',1]' END AS tree_json,
-          fetched_at + CASE WHEN k % 2 <> 0 THEN 0 WHEN k % 4 = 0 THEN 2 ELSE 1 END AS fetched_at
-        FROM fx_posts WHERE k % 3 = 0 OR k % 2 = 0""",
+          CASE WHEN status = 'F' THEN subreddit ELSE lower(subreddit) END AS subreddit,
+          CASE WHEN score <= 200000 THEN '[' || id || ']' WHEN num_comments < 50
+            THEN '[' || id || ',2]' ELSE '[' || id || ',1]' END AS tree_json,
+          fetched_at + CASE WHEN score <= 200000 THEN 0 WHEN num_comments < 50 THEN 2 ELSE 1 END
+            AS fetched_at
+        FROM fx_posts WHERE status = 'F' OR score > 200000""",
         _POSTS,
     ),
     "subreddit_meta": f"""WITH fx_meta AS (
@@ -502,9 +504,9 @@ ORACLE: dict[str, str] = {
     "late_records": _sql(
         """SELECT e.subreddit, count(*) AS n_late, min(e.created_utc) AS oldest
         FROM fx_events e JOIN (
-          SELECT subreddit, max(created_utc) - 86400 AS until FROM fx_events WHERE k % 2 = 0 GROUP BY 1) v
+          SELECT subreddit, max(created_utc) - 86400 AS until FROM fx_events WHERE value < 30 GROUP BY 1) v
           ON v.subreddit = e.subreddit AND e.created_utc < v.until
-        WHERE e.k % 2 = 1 GROUP BY 1""",
+        WHERE e.value >= 30 GROUP BY 1""",
         _EVENTS,
     ),
     "strip_fullname": _sql(

@@ -129,7 +129,7 @@ def fresh_records(spark, d):
 @query
 def upsert_posts(spark, d):
     batch = normalize_posts(fx.raw_posts(spark, d), "requested", fx.NOW, keep=("arrival",))
-    stored = fx.posts(spark, d).where(F.col("k") % 4 == 0).select(*[c for c in batch.columns if c != "arrival"])
+    stored = fx.posts(spark, d).where(F.col("created_utc") < fx.SPLIT).select(*[c for c in batch.columns if c != "arrival"])
     merged = upsert.upsert(stored, batch, ["arrival"])
     return merged.select("id", "subreddit", "created_utc", "title", "is_self", "fetched_at")
 
@@ -339,7 +339,7 @@ def refresh_topk(spark, d):
 
 def _outcome(spark, d) -> DataFrame:
     work = live.refresh_worklist(fx.posts(spark, d), fx.NOW, REFRESH_DAYS, BASE_URL)
-    return live.refresh_outcome(work, fx.live_counts(spark, d).where(F.col("k") % 17 != 0))
+    return live.refresh_outcome(work, fx.live_counts(spark, d))
 
 
 @query
@@ -395,9 +395,10 @@ def ingest_report(spark, d):
 @query
 def late_records(spark, d):
     events = fx.events(spark, d)
-    first_batch = events.where(F.col("k") % 2 == 0)
-    covered = first_batch.groupBy("subreddit").agg((F.max("created_utc") - 86400).alias("until"))
-    late = stats.late_records(events.where(F.col("k") % 2 == 1), covered)
+    # Events of small value land first, the others when the first are covered.
+    small = F.col("value") < 30
+    covered = events.where(small).groupBy("subreddit").agg((F.max("created_utc") - 86400).alias("until"))
+    late = stats.late_records(events.where(~small), covered)
     return late.groupBy("subreddit").agg(
         F.count("*").alias("n_late"), F.min("created_utc").alias("oldest")
     )

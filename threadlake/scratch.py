@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     if base is None:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="threadlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return base.rstrip("/")
 
 
+@cache
+def _local_folder() -> str:
+    """Stands in for the setting in local sessions, such as tests."""
+    return tempfile.mkdtemp(prefix="threadlake-")
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back; the files go when the application ends."""
     spark = df.sparkSession

@@ -1,6 +1,7 @@
 """Landed archive files and stored tables."""
 
 from .archive import (
+    landed_archive,
     landed_records,
     rows_by_subreddit,
     scan_page,
@@ -12,6 +13,7 @@ from .store import Store
 
 __all__ = [
     "Store",
+    "landed_archive",
     "landed_records",
     "rows_by_subreddit",
     "scan_page",

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.functions import month_of_epoch
+from threadlake.functions import int_or_zero, month_of_epoch
 
 # Order in which landed lines arrived: file by file, then along the file.
 ARRIVAL = ["file_time", "file_path", "block_start", "line_place"]
@@ -37,6 +37,32 @@ def with_line_place(records: DataFrame) -> DataFrame:
     return records.withColumn("line_place", F.monotonically_increasing_id())
 
 
+def landed_archive(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Landed lines of one kind as an archive to load from: kind, subreddit, created_utc, id, value
+    and the columns of ARRIVAL.
+
+    The community is the record's own, or that of its folder. The time is taken as stored rows
+    take it.
+    """
+    lines = landed_records(spark, path)
+    folder = F.col("subreddit") if "subreddit" in lines.columns else F.lit(None).cast("string")
+    fields = F.from_json("value", "id string, subreddit string, created_utc string")
+    return lines.select(
+        F.lit(kind).alias("kind"),
+        folder.alias("_folder"),
+        "value",
+        *ARRIVAL,
+        F.explode(F.array(fields)).alias("_r"),
+    ).select(
+        "kind",
+        F.coalesce(F.nullif(F.col("_r.subreddit"), F.lit("")), "_folder").alias("subreddit"),
+        int_or_zero("_r.created_utc").alias("created_utc"),
+        F.col("_r.id").alias("id"),
+        "value",
+        *ARRIVAL,
+    )
+
+
 def spread(records: DataFrame) -> DataFrame:
     """Rows of an input with fewer splits than cores (a gzip dump, one row group) over all cores.
 

@@ -32,7 +32,7 @@ from .skew import HOT_ROWS, lookup, rank_in_groups
 # Keys run from many values to few: sorts compare the first key first, and a community name decides
 # next to nothing.
 POST = ["link_id", "subreddit"]
-MAX_PATH = 512
+MAX_PATH = 64
 PART_NODES = 10_000
 
 

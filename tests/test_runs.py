@@ -102,10 +102,14 @@ def test_overlapping_requests_load_once(spark, tmp_path):
 def test_backfill_from_landed_files(spark, tmp_path):
     land(tmp_path / "landed", "1.jsonl", ("a", 1, "first"), ("b", 2 * DAY, "b"), ("a", 3, "copy"))
     land(tmp_path / "landed", "2.jsonl", ("c", 9 * DAY, "too new"))
+    with (tmp_path / "landed" / "subreddit=Py" / "1.jsonl").open("a") as f:
+        f.write('not json\n{"created_utc": 5, "body": "no id"}\n')
     store, source = Store(spark, str(tmp_path / "store")), landed_archive(spark, str(tmp_path / "landed"), "comments")
     first = run_backfill(store, source, ask(spark, 0, 5 * DAY), 5, ARRIVAL)
     assert report(first) == {"comments": (3, 2, 2)}
     assert stored(store) == {"a": "first", "b": "b"}
+    lost = spark.read.parquet(str(tmp_path / "store" / "no_id" / "comments"))
+    assert {r.archive_json for r in lost.collect()} == {"not json", '{"created_utc": 5, "body": "no id"}'}
     assert {r.subreddit for r in store.read("comments").collect()} == {"Py"}
 
 

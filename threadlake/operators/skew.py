@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from threadlake.scratch import write_table
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
+MAX_HOT_KEYS = 20_000
 
 _PARTITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 

@@ -71,6 +71,7 @@ def run_backfill(
         reports.append(write_table(report, "report"))
         fresh = write_table(fresh_records(rows, stored, arrival, probe=True), "fresh")
         store.append(kind, fresh)
+        store.set_aside(kind, rows)
         if exports.path:
             append_jsonl(fresh, exports.path, kind, exports.jsonl)
     outcomes = plan.select("subreddit", "kind", "window_type", F.lit(True).alias("ok"))

@@ -18,6 +18,7 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 
 from threadlake import schemas
 from threadlake.functions import month_of_epoch
+from threadlake.operators.dedup import without_id
 from threadlake.operators.live import merge_live_counts
 
 RECORDS = {"posts": schemas.POSTS, "comments": schemas.COMMENTS}
@@ -62,6 +63,12 @@ class Store:
             .parquet(f"{self.root}/{table}")
         )
 
+    def set_aside(self, table: str, rows: DataFrame) -> None:
+        """Keep records without an id, which cannot be keyed, beside the table."""
+        lost = without_id(rows).select(*RECORDS[table].names)
+        if not lost.isEmpty():
+            lost.write.mode("append").parquet(f"{self.root}/no_id/{table}")
+
     def replace(self, table: str, snapshot: DataFrame) -> None:
         """Write the next version of a snapshot table; the one being read stays untouched."""
         versions = self._versions(table)

@@ -54,10 +54,11 @@ def follow_tail(
 
     def load(batch: DataFrame, _batch_id: int) -> None:
         rows = NORMALIZE[kind](with_line_place(batch), F.col("subreddit"), fetched_at, keep=tuple(ARRIVAL))
-        rows = write_table(rows.where(F.col("id").isNotNull()), "tail")
+        rows = write_table(rows, "tail")
         if covered is not None:
             rows = tail_rows(rows, covered, lateness)
         store.append(kind, fresh_records(rows, store.read(kind), ARRIVAL, probe=True))
+        store.set_aside(kind, rows)
 
     return (
         stream.writeStream.foreachBatch(load)

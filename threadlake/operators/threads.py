@@ -19,7 +19,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -185,7 +185,7 @@ def _walk_order(nodes: DataFrame, hot_rows: int) -> DataFrame:
         following, ["_group", "sibling", *POST, "_top"], "left"
     )
 
-    def stop(node, leaving) -> F.Column:
+    def stop(node: Column, leaving: bool) -> Column:
         return F.struct(node.alias("node"), F.lit(leaving).alias("leaving"))
 
     reply, nxt, parent, me = (F.col(c) for c in ("_reply", "_next", "parent", "id"))

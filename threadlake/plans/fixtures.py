@@ -22,6 +22,9 @@ GAP = 5000000
 SPLIT = 883612800  # 1998-01-01: what is older counts as stored by an earlier run
 
 
+LIVE = ("live_score", "live_num_comments", "live_refreshed_at")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,10 +49,10 @@ def posts(spark, sf_dir) -> DataFrame:
         F.floor("o_totalprice").cast("bigint").alias("score"),
         (k % 100).alias("num_comments"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("is_self"),
-        _text('{"id": "', key, '", "created_utc": ', created.cast("string"), ', "title": "', title, '"}').alias(
-            "archive_json"
-        ),
-        *[F.lit(None).cast("bigint").alias(c) for c in ("live_score", "live_num_comments", "live_refreshed_at")],
+        _text(
+            '{"id": "', key, '", "created_utc": ', created.cast("string"), ', "title": "', title, '"}'
+        ).alias("archive_json"),
+        *[F.lit(None).cast("bigint").alias(c) for c in LIVE],
         (created + 60).alias("fetched_at"),
         k.alias("k"),
         F.col("o_custkey").alias("custkey"),

@@ -129,7 +129,8 @@ def fresh_records(spark, d):
 @query
 def upsert_posts(spark, d):
     batch = normalize_posts(fx.raw_posts(spark, d), "requested", fx.NOW, keep=("arrival",))
-    stored = fx.posts(spark, d).where(F.col("created_utc") < fx.SPLIT).select(*[c for c in batch.columns if c != "arrival"])
+    older = fx.posts(spark, d).where(F.col("created_utc") < fx.SPLIT)
+    stored = older.select(*batch.drop("arrival").columns)
     merged = upsert.upsert(stored, batch, ["arrival"])
     return merged.select("id", "subreddit", "created_utc", "title", "is_self", "fetched_at")
 
@@ -298,7 +299,8 @@ def thread_totals(spark, d):
 @query
 def thread_chains(spark, d):
     c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
-    parent = F.when(F.col("turn") > 0, F.concat(F.lit("t1_"), c, F.lit("-"), (F.col("turn") - 1).cast("string")))
+    before = (F.col("turn") - 1).cast("string")
+    parent = F.when(F.col("turn") > 0, F.concat(F.lit("t1_"), c, F.lit("-"), before))
     turns = fx.table(spark, d, "conversations").select(
         F.lit("talk").alias("subreddit"),
         F.concat(F.lit("t3_"), c).alias("link_id"),

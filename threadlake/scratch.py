@@ -29,14 +29,48 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="threadlake-")
 
 
+class Scratch:
+    """Tables of one job in a folder of their own, dropped once nothing reads them any more.
+
+    Whatever is not dropped goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self._spark = spark
+        self._folder = f"{shared_folder(spark)}/threadlake/{label}-{uuid.uuid4().hex}"
+        path = self._path(self._folder)
+        self._files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(path)
+        self._count = 0
+
+    def _path(self, text: str):
+        return self._spark._jvm.org.apache.hadoop.fs.Path(text)
+
+    def folder(self, name: str) -> str:
+        """A path not used before, for writers other than Parquet."""
+        self._count += 1
+        return f"{self._folder}/{name}-{self._count}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and read it back."""
+        path = self.folder(name)
+        df.write.parquet(path)
+        table = self._spark.read.schema(df.schema).parquet(path)
+        table._scratch_path = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``write`` gave; no later job may read them."""
+        for table in tables:
+            self._files.delete(self._path(table._scratch_path), True)
+
+    def drop_all(self) -> None:
+        self._files.delete(self._path(self._folder), True)
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back; the files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/threadlake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, label).write(df, "table")
 
 
 def write_counted(df: DataFrame, label: str, condition: Column) -> tuple[DataFrame, int]:

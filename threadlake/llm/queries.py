@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadlake.llm import quality
-from threadlake.llm.frames import table
+from threadlake.llm import chat, main_text, packing, pii, quality, warc
+from threadlake.llm.frames import table, text_of
 from threadlake.scratch import Scratch
 
 
+def op2_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every dialogue from the seat of each participant, one row per turn."""
+    turns = table(spark, folder, "conversations")
+    return chat.rotate_perspectives(turns, Scratch(spark, "chat"))
+
+
 def op4_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base rules and the verdict of the fitted label model for every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -25,3 +32,37 @@ def op4_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
         "kept",
         "quality",
     )
+
+
+def op5_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, keep_html=False).select("page_id", "url", "text", "n_chars")
+
+
+def op6_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives, and its record as read back from them."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    path = Scratch(spark, "warc").folder("archives")
+    warc.write_archives(warc.plan_records(pages), path)
+    return warc.read_archives(spark, path, keep_payload=False).drop("payload")
+
+
+def op9_conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every document in sequences of 2,048 words, by source and duplicate cluster."""
+    docs = table(spark, folder, "documents")
+    words = F.size(F.split(F.trim(text_of("text")), r"\s+")) - F.when(
+        F.trim(text_of("text")) == "", 1
+    ).otherwise(0)
+    sized = docs.select(
+        "doc_id", "source", words.alias("size"), packing.cluster_of("text").alias("cluster")
+    )
+    sized = Scratch(spark, "packing").write(sized, "sized")
+    return packing.pack(sized)
+
+
+def op10_information_sanitising(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data and of revealing terms in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.sanitise(docs, Scratch(spark, "pii"), keep_text=False)
+    return found.select("doc_id", *pii.digest(found))

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import queries
+from threadlake.llm import chat, queries
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_perspective_rotation": queries.op2_perspective_rotation,
     "op4_weak_supervision": queries.op4_weak_supervision,
+    "op5_tree_scoring": queries.op5_tree_scoring,
+    "op6_warc_archives": queries.op6_warc_archives,
+    "op9_conflict_packing": queries.op9_conflict_packing,
+    "op10_information_sanitising": queries.op10_information_sanitising,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {"op2_perspective_rotation": chat.SQL}

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import chat, main_text, packing, pii, quality, warc
+from threadlake.llm import chat, language, main_text, packing, pii, quality, warc
 from threadlake.llm.frames import table, text_of
 from threadlake.scratch import Scratch
 
 
+def op1_recurrent_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from the labelled ones that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out()))
+    found = language.identify(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     """Every dialogue from the seat of each participant, one row per turn."""
     turns = table(spark, folder, "conversations")

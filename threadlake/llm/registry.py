@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from threadlake.llm import chat, queries
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_recurrent_language_id": queries.op1_recurrent_language_id,
     "op2_perspective_rotation": queries.op2_perspective_rotation,
     "op4_weak_supervision": queries.op4_weak_supervision,
     "op5_tree_scoring": queries.op5_tree_scoring,

@@ -202,26 +202,37 @@ def revealing_terms(
     """
     near = scratch.write(_near(docs, text, settings), "near")
     entities = near.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    listed = near.select("entity", "around", "n", F.explode("terms").alias("term"))
+    # A term is in no fewer documents than it is near entities of any kind, which bounds its share
+    # from above and leaves out common words before any text is looked at again.
+    anywhere = listed.groupBy("term").agg(F.sum("n").alias("n_near"))
     together = (
-        near.select("entity", "around", "n", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
+        listed.groupBy("entity", "term")
         .agg(F.sum("n").alias("n_both"), F.count_distinct("around").alias("contexts"))
         .where(F.col("contexts") >= settings.least_contexts)
+        .join(entities, "entity")
+    )
+    documents = F.lit(docs.count())
+
+    def share(n_term: str) -> Column:
+        information = F.ln(documents * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
+        return information / F.greatest(F.ln(documents / F.col("n_entity")), F.lit(1e-9))
+
+    together = scratch.write(
+        together.join(anywhere, "term")
+        .where(share("n_near") >= settings.generalise_at)
+        .drop("n_near"),
+        "together",
     )
-    together = scratch.write(together.join(entities, "entity"), "together")
     if together.isEmpty():
         return None
     matches = scratch.write(
         _terms(docs, text).join(together.select("term").distinct(), "term"), "matches"
     )
-    share = F.ln(F.lit(docs.count()) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    share = share / F.greatest(
-        F.ln(F.lit(docs.count()) / F.col("n_entity")), F.lit(1e-9)
-    )
     flagged = (
         together.join(matches.groupBy("term").agg(F.count("*").alias("n_term")), "term")
         .groupBy("term")
-        .agg(F.max(share).alias("share"))
+        .agg(F.max(share("n_term")).alias("share"))
         .where(F.col("share") >= settings.generalise_at)
     )
     flagged = scratch.write(flagged, "flagged")

@@ -39,8 +39,9 @@ KINDS = ("email", "ip", "card", "phone", "term")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-# No match can start inside a run of digits: the greedy run would have started it earlier.
-_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+# Whole runs of numbers with single dots between; addresses are cut from them four numbers at a time.
+_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_DIGITS = "0123456789"
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
@@ -66,6 +67,20 @@ def _emails(text: str) -> list[Span]:
     return out
 
 
+def _addresses(text: str) -> list[Span]:
+    out = []
+    for m in _NUMBERS.finditer(text):
+        if m.end() - m.start() >= 7:
+            parts, start = m[0].split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                end = start + sum(map(len, four)) + 3
+                if all(map(_small, four)):
+                    out.append(("ip", start, end))
+                start = end + 1
+    return out
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -83,7 +98,10 @@ def base_spans(text: str | None) -> list[Span]:
     if not text:
         return []
     out = _emails(text) if "@" in text else []
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_small, m.groups()))]
+    if not any(d in text for d in _DIGITS):
+        return out
+    if "." in text:
+        out += _addresses(text)
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = _NO_DIGIT.sub("", m[0])

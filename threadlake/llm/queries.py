@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import chat, language, main_text, packing, pii, quality, warc
+from threadlake.llm import chat, language, main_text, near_duplicates, packing, pii, quality, warc
 from threadlake.llm.frames import table, text_of
 from threadlake.scratch import Scratch
 
@@ -24,6 +24,12 @@ def op2_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rotate_perspectives(turns, Scratch(spark, "chat"))
 
 
+def op3_bag_min_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document: five-word shingles, similarity of 0.8 or more."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs, Scratch(spark, "near-duplicates"))
+
+
 def op4_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base rules and the verdict of the fitted label model for every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -11,6 +11,7 @@ from threadlake.llm import chat, queries
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recurrent_language_id": queries.op1_recurrent_language_id,
     "op2_perspective_rotation": queries.op2_perspective_rotation,
+    "op3_bag_min_hash": queries.op3_bag_min_hash,
     "op4_weak_supervision": queries.op4_weak_supervision,
     "op5_tree_scoring": queries.op5_tree_scoring,
     "op6_warc_archives": queries.op6_warc_archives,

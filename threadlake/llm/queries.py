@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import chat, language, main_text, near_duplicates, packing, pii, quality, warc
+from threadlake.llm import chat, language, main_text, near_duplicates, packing, pii, quality, threshold_search, warc
 from threadlake.llm.frames import table, text_of
 from threadlake.scratch import Scratch
 
@@ -62,6 +62,12 @@ def op6_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, path, keep_payload=False).drop("payload")
 
 
+def op8_threshold_algorithm(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector by integer inner product."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return threshold_search.search(vectors, F.col("vec_id") % 50 == 0, Scratch(spark, "top-k"))
+
+
 def op9_conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every document in sequences of 2,048 words, by source and duplicate cluster."""
     docs = table(spark, folder, "documents")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import chat, queries
+from threadlake.llm import chat, queries, threshold_search
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recurrent_language_id": queries.op1_recurrent_language_id,
@@ -15,8 +15,12 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weak_supervision": queries.op4_weak_supervision,
     "op5_tree_scoring": queries.op5_tree_scoring,
     "op6_warc_archives": queries.op6_warc_archives,
+    "op8_threshold_algorithm": queries.op8_threshold_algorithm,
     "op9_conflict_packing": queries.op9_conflict_packing,
     "op10_information_sanitising": queries.op10_information_sanitising,
 }
 
-LLM_ORACLE: dict[str, str] = {"op2_perspective_rotation": chat.SQL}
+LLM_ORACLE: dict[str, str] = {
+    "op2_perspective_rotation": chat.SQL,
+    "op8_threshold_algorithm": threshold_search.SQL,
+}

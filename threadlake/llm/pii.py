@@ -10,7 +10,8 @@ the whole corpus, with p counted in documents (one with an entity in two surroun
 
 and PMI / IC is the share of the entity's information that the term discloses (1: the term occurs
 with no other document). A term counts only when it stands near the entity in at least
-``least_contexts`` different surroundings, so that copies of one text prove nothing. Terms that
+``least_contexts`` different surroundings (the three words on either side), so that copies of one
+text, and near copies with changes elsewhere, prove nothing. Terms that
 disclose ``generalise_at`` or more become ``<TERM>``; at ``remove_at`` or more they are removed.
 Base spans become ``<EMAIL>`` and so on; where spans overlap, the first one's label stands for all.
 
@@ -139,6 +140,7 @@ def in_order(spans: list[Span]) -> list[Span]:
 class Settings:
     reach_words: int = 10
     reach_chars: int = 200
+    surrounding_words: int = 3
     least_contexts: int = 3
     generalise_at: float = 0.7
     remove_at: float = 0.95
@@ -158,9 +160,12 @@ def contexts(text: str | None, settings: Settings) -> list[dict]:
     for kind, start, end in spans:
         before = max(start - settings.reach_chars, 0)
         left = list(_TERM.finditer(text, before, start))[-settings.reach_words :]
-        right = islice(_TERM.finditer(text, end, end + settings.reach_chars), settings.reach_words)
+        right = _TERM.finditer(text, end, end + settings.reach_chars)
+        right = list(islice(right, settings.reach_words))
         terms = {m[0].lower() for m in (*left, *right) if not taken.meets(*m.span())}
-        around = hashlib.blake2b("\n".join(sorted(terms)).encode(), digest_size=8).digest()
+        closest = left[-settings.surrounding_words :], right[: settings.surrounding_words]
+        closest = "\n".join(m[0].lower() for m in (*closest[0], *closest[1]))
+        around = hashlib.blake2b(closest.encode(), digest_size=8).digest()
         key = _entity(kind, text[start:end]), int.from_bytes(around, "big", signed=True)
         found.setdefault(key, set()).update(terms)
     return [{"entity": e, "around": a, "terms": sorted(t)} for (e, a), t in found.items()]

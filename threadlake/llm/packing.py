@@ -40,6 +40,15 @@ def cluster_of(text: str | Column) -> Column:
     return F.when(letters != "", F.md5(letters.cast("binary")))
 
 
+def with_sizes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns ``pack`` reads: id, source, size in words, and duplicate cluster."""
+    trimmed = F.trim(text_of(text))
+    words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    return docs.select(
+        F.col(id), "source", words.cast("bigint").alias("size"), cluster_of(text).alias("cluster")
+    )
+
+
 def _bits(values: list) -> list[int]:
     """A bit for each value that occurs twice or more; others conflict with nothing."""
     places: dict = {}

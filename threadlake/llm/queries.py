@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import chat, language, main_text, near_duplicates, packing, pii, quality, threshold_search, warc
-from threadlake.llm.frames import table, text_of
+from threadlake.llm import chat, language, main_text, near_duplicates, packing, piece_lattice, pii, quality, threshold_search, warc
+from threadlake.llm.frames import table
 from threadlake.scratch import Scratch
 
 
@@ -62,6 +62,12 @@ def op6_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, path, keep_payload=False).drop("payload")
 
 
+def op7_n_best_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The three best segmentations of every document into the pieces of a public model."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return piece_lattice.encode(docs, piece_lattice.load(), keep_text=False)
+
+
 def op8_threshold_algorithm(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest rows of every fiftieth vector by integer inner product."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
@@ -70,13 +76,7 @@ def op8_threshold_algorithm(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every document in sequences of 2,048 words, by source and duplicate cluster."""
-    docs = table(spark, folder, "documents")
-    words = F.size(F.split(F.trim(text_of("text")), r"\s+")) - F.when(
-        F.trim(text_of("text")) == "", 1
-    ).otherwise(0)
-    sized = docs.select(
-        "doc_id", "source", words.alias("size"), packing.cluster_of("text").alias("cluster")
-    )
+    sized = packing.with_sizes(table(spark, folder, "documents"))
     sized = Scratch(spark, "packing").write(sized, "sized")
     return packing.pack(sized)
 

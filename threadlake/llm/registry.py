@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from threadlake.llm import chat, queries, threshold_search
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,9 +16,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weak_supervision": queries.op4_weak_supervision,
     "op5_tree_scoring": queries.op5_tree_scoring,
     "op6_warc_archives": queries.op6_warc_archives,
+    "op7_n_best_pieces": queries.op7_n_best_pieces,
     "op8_threshold_algorithm": queries.op8_threshold_algorithm,
     "op9_conflict_packing": queries.op9_conflict_packing,
     "op10_information_sanitising": queries.op10_information_sanitising,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLE: dict[str, str] = {

@@ -166,6 +166,10 @@ def signatures(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return best.view(np.uint64), has
 
 
+def byte_lengths(texts: pa.Array) -> np.ndarray:
+    return np.diff(_buffers(texts)[1])
+
+
 def slices(lengths: np.ndarray) -> list[slice]:
     """Neighbouring texts of bounded size together; a longer text comes alone."""
     out, start, held = [], 0, 0
@@ -181,7 +185,7 @@ def bands(texts: pa.Array, n_bands: int, rows: int) -> tuple[np.ndarray, np.ndar
     """A 64-bit key for each band of each text's signature, and which texts have any."""
     parts = [
         signatures(texts.slice(s.start, s.stop - s.start), n_bands * rows)
-        for s in slices(np.diff(_buffers(texts)[1]))
+        for s in slices(byte_lengths(texts))
     ]
     values, has = (np.concatenate(x) for x in zip(*parts))
     values = values.reshape(len(texts), n_bands, rows)
@@ -192,21 +196,39 @@ def bands(texts: pa.Array, n_bands: int, rows: int) -> tuple[np.ndarray, np.ndar
     return key.view(np.int64), has
 
 
-def overlaps(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the bags of each pair of texts; 0 where one has none."""
-    both = []
+def compare(left: pa.Array, right: pa.Array) -> dict[str, np.ndarray]:
+    """The bags of each pair of texts: weighted Jaccard similarity (0 where one has none), the sum
+    of the smaller counts, both sizes, and the shingles of which the left text has more than the
+    right one, as often as it has more (all pairs' one after another, with their number by pair)."""
+    sides = []
     for texts in (left, right):
         values, doc = shingles(texts)
         order = np.lexsort((values, doc))
         values, doc = values[order], doc[order]
         new = np.append(True, (values[1:] != values[:-1]) | (doc[1:] != doc[:-1]))
         first = np.flatnonzero(new[: len(values)])
-        both.append((doc[first], values[first], np.diff(np.append(first, len(values)))))
-    doc, value, count = (np.concatenate(x) for x in zip(*both))
+        sides.append((doc[first], values[first], np.diff(np.append(first, len(values)))))
+    n, n_left = len(left), len(sides[0][0])
+    doc, value, count = (np.concatenate(x) for x in zip(*sides))
+    of_left = np.arange(len(doc)) < n_left
     order = np.lexsort((value, doc))
-    doc, value, count = doc[order], value[order], count[order]
-    n = len(left)
-    meets = np.flatnonzero((value[1:] == value[:-1]) & (doc[1:] == doc[:-1]))
-    common = np.bincount(doc[meets], np.minimum(count[meets], count[meets + 1]), n)
-    total = np.bincount(doc, count, n) - common
-    return common / np.maximum(total, 1)
+    doc, value, count, of_left = doc[order], value[order], count[order], of_left[order]
+    new = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))[: len(value)]
+    first = np.flatnonzero(new)
+    doc, value = doc[first], value[first]
+    if len(first):
+        a = np.add.reduceat(np.where(of_left, count, 0), first)
+        b = np.add.reduceat(np.where(of_left, 0, count), first)
+    else:
+        a = b = count
+    common = np.bincount(doc, np.minimum(a, b), n)
+    total = np.bincount(doc, np.maximum(a, b), n)
+    more = np.maximum(a - b, 0)
+    return {
+        "similarity": common / np.maximum(total, 1),
+        "common": common.astype(np.int64),
+        "left_size": np.bincount(doc, a, n).astype(np.int64),
+        "right_size": np.bincount(doc, b, n).astype(np.int64),
+        "rest": np.repeat(value, more),
+        "rest_counts": np.bincount(doc, more, n).astype(np.int64),
+    }

@@ -4,14 +4,13 @@
 2. Texts that agree in a whole band of their signatures share a bucket. In each bucket all members
    are compared with one of them, the hub: n - 1 comparisons, not n * n / 2.
 3. Links (similarity of ``least`` or more) are joined to classes.
-4. Buckets whose members are still in several classes go on. 1 - similarity is a metric, so two
-   members can be linked only if their distances to the hub differ by no more than 1 - ``least``;
-   members that nobody left over can be linked to drop out. Of those left over, 1, 2, 4, ... per
-   bucket become the hubs of the next rounds, until every bucket lies in one class or every pair in
-   it that could be linked has been compared. No bucket is capped, no pair emitted twice.
-
-So a group of copies with a third of all texts costs comparisons in proportion to its size, and no
-link within a bucket between texts of different classes is missed. Two texts with similarity 0.8
+4. Members that are in another class than their hub are left over; they may be linked to other
+   members of the bucket, and two exact bounds find those (see ``_left_over``): what a text shares
+   with others beyond the hub's shingles must make up for what it lacks, so only pairs that share
+   one of the rarest such shingles, or whose other text is smaller than the hub, are compared.
+
+So a group of copies with a third of all texts costs comparisons in proportion to its size, no
+bucket is capped, and no link within a bucket between texts of different classes is missed. Two texts with similarity 0.8
 share a bucket with a probability of 0.9996 (20 bands of 5 values).
 
 Results: one row for each row of the input. The class id is the smallest id in the class. A null
@@ -82,26 +81,45 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = batch.column(2), batch.column(3)
-        lengths = np.diff(bagminhash._buffers(left)[1]) + np.diff(bagminhash._buffers(right)[1])
-        similar = [
-            bagminhash.overlaps(*(x.slice(s.start, s.stop - s.start) for x in (left, right)))
-            for s in bagminhash.slices(lengths)
-        ]
-        values = pa.array(np.concatenate(similar) if similar else np.zeros(0))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), values], names=["a", "b", "similarity"]
-        )
+_NUMBERS = ("similarity", "common", "left_size", "right_size")
+_COMPARED = pa.schema(
+    [("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64()), ("common", pa.int64()),
+     ("left_size", pa.int64()), ("right_size", pa.int64()), ("rest", pa.list_(pa.int64()))]
+)
+_COMPARED_DDL = (
+    "a binary, b binary, similarity double, common bigint, left_size bigint, right_size bigint, "
+    "rest array<bigint>"
+)
+
+
+def _compare(with_rest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            lengths = bagminhash.byte_lengths(left) + bagminhash.byte_lengths(right)
+            for s in bagminhash.slices(lengths):
+                size = s.stop - s.start
+                found = bagminhash.compare(left.slice(s.start, size), right.slice(s.start, size))
+                counts = found["rest_counts"] * with_rest
+                rest = found["rest"].view(np.int64)[: counts.sum()]
+                ends = np.append(0, np.cumsum(counts))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest))
+                columns = [batch.column(i).slice(s.start, size) for i in (0, 1)]
+                columns += [pa.array(found[name]) for name in _NUMBERS]
+                yield pa.RecordBatch.from_arrays([*columns, lists], schema=_COMPARED)
 
+    return run
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Similarity of each pair (a, b) of keys in ``texts`` (key, text)."""
+
+def compare(pairs: DataFrame, texts: DataFrame, with_rest: bool = False) -> DataFrame:
+    """Similarity of each pair (a, b) of keys in ``texts`` (key, text), and what it is made of.
+
+    ``rest`` lists the shingles of which ``a`` has more than ``b``; it is empty unless asked for.
+    """
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_compare, "a binary, b binary, similarity double")
+    return both.mapInArrow(_compare(with_rest), _COMPARED_DDL)
 
 
 def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -111,6 +129,72 @@ def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _left_over(placed: DataFrame, distance: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) that may be linked although their hub does not join their classes.
+
+    Let y share ``common`` shingles with the hub, and let ``found`` of those it has beyond the hub
+    be in some other text of that hub. A text z with as many as ``size`` shingles is linked to y
+    only if they share least / (1 + least) * (size(y) + size(z)) of them.
+
+    * If z shares none of what y has beyond the hub, they share no more than ``common``, so z must
+      be no larger than common * (1 + 1 / least) - size(y). Such pairs are found by size.
+    * Otherwise they share at least ``needed`` = that number - common shingles beyond the hub, so
+      all but needed - 1 of y's found ones hold at least one that z has. The rarest ones are used.
+
+    And as 1 - similarity is a metric, their distances to the hub differ by no more than 1 - least.
+    """
+    least, reach = settings.least, 1 - settings.least + 1e-9
+    over = placed.where("over")
+    hubs = over.select("hub").distinct()
+    group = placed.join(hubs, "hub", "left_semi")
+    group = group.select("hub", "key", "d", "size", "common", "over", "component").distinct()
+    smallest = group.groupBy("hub").agg(F.min("size").alias("smallest"))
+
+    listed = distance.select("hub", "key", "rest").join(hubs, "hub", "left_semi")
+    beyond = listed.select("hub", "key", F.explode("rest").alias("shingle"))
+    held = (
+        beyond.groupBy("hub", "shingle")
+        .agg(F.count("*").alias("n"), F.min("key").alias("x"), F.max("key").alias("y"))
+        .where(F.col("x") != F.col("y"))
+        .drop("x", "y")
+    )
+    found = beyond.join(held, ["hub", "shingle"])
+    share = least / (1 + least)
+    needed = F.ceil(share * (F.col("size") + F.col("smallest")) - F.col("common") - 1e-6)
+    by_text = Window.partitionBy("hub", "key")
+    rarest = (
+        found.join(group.where("over"), ["hub", "key"])
+        .join(smallest, "hub")
+        .withColumn("found", F.count("*").over(by_text))
+        .withColumn("place", F.row_number().over(by_text.orderBy("n", "shingle")))
+        .where(F.col("place") <= F.col("found") - F.greatest(needed, F.lit(1)) + 1)
+    )
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        columns = ("key", "d", "size", "common", "component")
+        return rows.select("hub", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    linkable = (
+        (F.col("component_y") != F.col("component_z"))
+        & (F.abs(F.col("d_y") - F.col("d_z")) <= reach)
+        & (F.least("size_y", "size_z") >= least * F.greatest("size_y", "size_z") - 1e-6)
+    )
+    others = found.select("hub", "key", "shingle").distinct().join(group, ["hub", "key"])
+    sharing = side(rarest, "y", "shingle").join(side(others, "z", "shingle"), ["hub", "shingle"])
+
+    limit = F.col("common") * (1 + 1 / least) - F.col("size")
+    roomy = group.where("over").join(smallest, "hub").where(F.col("smallest") <= limit + 1e-6)
+    small = F.least("common_y", "common_z") >= share * (F.col("size_y") + F.col("size_z")) - 1e-6
+    smaller = side(roomy, "y").join(side(group, "z"), "hub").where(small)
+    return (
+        sharing.where(linkable)
+        .select("key_y", "key_z")
+        .unionByName(smaller.where(linkable).select("key_y", "key_z"))
+        .select(F.greatest("key_y", "key_z").alias("a"), F.least("key_y", "key_z").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     scratch: Scratch,
@@ -119,7 +203,6 @@ def near_duplicates(
     settings: Settings = Settings(),
 ) -> DataFrame:
     """(id, class_id) for every row of ``docs``."""
-    reach = 1 - settings.least + 1e-9
     content = text_of(text)
     given = docs.select(
         F.col(id).alias("id"),
@@ -143,10 +226,14 @@ def near_duplicates(
     )
 
     entries = texts.select("key", F.explode("bands").alias("bucket"))
-    hubs = entries.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n"))
-    members = scratch.write(
-        entries.join(hubs.where(F.col("n") > 1).drop("n"), "bucket"), "members"
-    )
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"))
+    shared = scratch.write(entries.join(sizes.where(F.col("n") > 1), "bucket"), "shared")
+    # The hub is the member with most company, so that a group of copies has one hub in all buckets.
+    company = shared.groupBy("key").agg(F.sum("n").alias("company"))
+    hubs = shared.join(company, "key").groupBy("bucket")
+    hubs = hubs.agg(F.max(F.struct("company", "key"))["key"].alias("hub"))
+    members = scratch.write(shared.drop("n").join(hubs, "bucket"), "members")
+    scratch.drop(shared)
     # One row per text that is ever compared; rows repeated under one id change nothing.
     needed = members.select("key").distinct().join(texts.select("key", "first_id"), "key")
     same_row = (given["key"] == needed["key"]) & given["id"].eqNullSafe(needed["first_id"])
@@ -154,68 +241,30 @@ def near_duplicates(
 
     pairs = members.where(F.col("key") != F.col("hub"))
     pairs = pairs.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    compared = scratch.write(compare(pairs, bodies), "compared")
+    compared = scratch.write(compare(pairs, bodies, with_rest=True), "compared")
     links = compared.where(F.col("similarity") >= settings.least).select("a", "b")
     classes = components(links, scratch)
 
     distance = compared.select(
-        F.col("a").alias("key"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("d")
-    ).distinct()
-    placed = _with_class(members, classes).join(distance, ["key", "hub"], "left")
+        F.col("a").alias("key"),
+        F.col("b").alias("hub"),
+        (1 - F.col("similarity")).alias("d"),
+        F.col("left_size").alias("size"),
+        "right_size",
+        "common",
+        "rest",
+    ).dropDuplicates(["key", "hub"])
+    placed = _with_class(members, classes).join(distance.drop("rest"), ["key", "hub"], "left")
     of_hub = _with_class(
         members.select("hub").distinct().select(F.col("hub").alias("key")), classes
     ).select(F.col("key").alias("hub"), F.col("component").alias("hub_class"))
     placed = placed.join(of_hub, "hub").where(F.col("key") != F.col("hub"))
     placed = placed.withColumn("over", F.col("component") != F.col("hub_class"))
-    # Left over: members outside the hub's class, and those inside that may be linked to one.
-    nearest = placed.where("over").groupBy("bucket").agg(F.min("d").alias("nearest"))
-    open_rows = scratch.write(
-        placed.join(nearest, "bucket")
-        .where(F.col("over") | (F.col("d") >= F.col("nearest") - reach))
-        .select("bucket", "key", "d", "over", "component"),
-        "open",
-    )
-    done = compared.select("a", "b")
-    width = 1
-    while True:
-        several = (
-            open_rows.groupBy("bucket")
-            .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            .where(F.col("x") != F.col("y"))
-            .select("bucket")
-        )
-        live = scratch.write(open_rows.join(several, "bucket"), "live")
-        if live.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy("key")
-        chosen = live.where("over").withColumn("rank", F.row_number().over(order))
-        chosen = scratch.write(
-            chosen.where(F.col("rank") <= width).select(
-                "bucket",
-                F.col("key").alias("hub"),
-                F.col("d").alias("hub_d"),
-                F.col("component").alias("hub_class"),
-            ),
-            "hubs",
-        )
-        wanted = (
-            live.join(chosen, "bucket")
-            .where(F.col("component") != F.col("hub_class"))
-            .where(F.abs(F.col("d") - F.col("hub_d")) <= reach)
-            .select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b"))
-            .distinct()
-            .join(done, ["a", "b"], "left_anti")
-        )
-        fresh = scratch.write(compare(wanted, bodies), "compared")
-        done = done.unionByName(fresh.select("a", "b"))
-        found = fresh.where(F.col("similarity") >= settings.least).select("a", "b")
-        links = links.unionByName(found)
-        classes = components(links, scratch)
-        rest = live.drop("component").join(
-            chosen.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti"
-        )
-        open_rows = _with_class(rest, classes)
-        width *= 2
+    placed = scratch.write(placed, "placed")
+    if not placed.where("over").isEmpty():
+        more = compare(_left_over(placed, distance, settings), bodies)
+        more = scratch.write(more.where(F.col("similarity") >= settings.least), "more")
+        classes = components(links.unionByName(more.select("a", "b")), scratch)
 
     named = _with_class(texts.select("key", "first_id"), classes)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("class_id"))

@@ -60,12 +60,26 @@ def test_thread_lines(spark, tmp_path):
             for n, i in enumerate(ids)
         ]
         df = spark.createDataFrame(rows, COMMENTS)
-        write_threads(thread_json(df, build_forest(df), part_nodes=2), str(tmp_path))
-        lines = "".join(content(tmp_path / "threads.jsonl" / "subreddit=S" / "*.txt")).splitlines()
-        return [json.loads(x) for x in lines]
-
-    got = build("a", "b", "c", "z")
-    assert [(x["link_id"], x.get("part"), x.get("n_parts")) for x in got] == [("p", 0, 2), ("p", 1, 2), ("q", None, None)]
-    whole = json.loads(got[0]["text"] + got[1]["text"])
-    assert [n["id"] for n in whole["tree"]] == ["a", "b", "c"] and whole["tree"][0]["b"] == 'x"\n'
+        write_threads(thread_json(df, build_forest(df), block_nodes=2), str(tmp_path))
+        lines = "".join(content(tmp_path / "threads.jsonl" / "subreddit=S" / "*.txt")).split("\n")
+        assert not lines[-1].strip()
+        return [json.loads(x) for x in lines[:-1]]
+
+    p, q = build("a", "b", "c", "z")
+    assert (p["link_id"], q["link_id"]) == ("p", "q") and set(p) == set(q) == {"link_id", "tree"}
+    assert [n["id"] for n in p["tree"]] == ["a", "b", "c"] and p["tree"][0]["b"] == 'x"\n'
     assert [x["link_id"] for x in build("a")] == ["p"]
+
+
+def test_line_of_a_large_post(spark, tmp_path):
+    """Far more comments than a block holds: one line like any other."""
+    df = spark.range(25_000).selectExpr(
+        "'S' as subreddit", "'t3_p' as link_id", "cast(id as string) as id",
+        "if(id % 5 = 0, 't3_p', concat('t1_', id - 1)) as parent_id", "id as created_utc",
+        "concat('{\"id\": \"', id, '\"}') as archive_json",
+    )
+    write_threads(thread_json(df, build_forest(df)), str(tmp_path))
+    (line, rest) = "".join(content(tmp_path / "threads.jsonl" / "subreddit=S" / "*.txt")).split("\n")
+    chain = lambda i: {"id": str(i), "replies": [chain(i + 1)] if i % 5 < 4 else []}
+    assert json.loads(line) == {"link_id": "p", "tree": [chain(i) for i in range(0, 25_000, 5)]}
+    assert not rest.strip()

@@ -106,6 +106,7 @@ def test_parse_count(spark):
         (12, False), (-3, False), (None, False), (None, False), (None, True), (None, False),
         (None, False), (None, False), (None, True),
     ]
+    assert values(spark, ["12\n", "-3\n"], lambda c: fn.parse_count(c, signed=True).value) == [None, None]
     unsigned = values(spark, texts, lambda c: fn.parse_count(c).value)
     assert unsigned == [12, None, None, None, None, None, None, None, None]
 

@@ -113,6 +113,28 @@ def test_backfill_from_landed_files(spark, tmp_path):
     assert {r.subreddit for r in store.read("comments").collect()} == {"Py"}
 
 
+def test_lines_that_no_window_holds_are_kept_once(spark, tmp_path):
+    start = 1119225600
+    folder = tmp_path / "landed" / "subreddit=007"
+    land(tmp_path / "landed", "1.jsonl", ("a", start + 5, "good"))
+    folder.mkdir()
+    (folder / "1.jsonl").write_text(
+        '{"id": "n", "created_utc": null}\n{"id": "t", "created_utc": "soon"}\nnot json\n'
+        f'{{"id": "us", "created_utc": {start}000000}}\n{{"created_utc": {start + 7}}}\n'
+        f'{{"id": "d", "created_utc": {start + 9}, "body": "digits"}}\n'
+    )
+    store, source = Store(spark, str(tmp_path / "store")), landed_archive(spark, str(tmp_path / "landed"), "comments")
+    asked = spark.createDataFrame(
+        [("py", "comments", start, 10**15), ("007", "comments", start, 10**15)], REQUESTS
+    )
+    for now in (5, 6):
+        run_backfill(store, source, asked, now, ARRIVAL)
+        kept = spark.read.parquet(str(tmp_path / "store" / "no_id" / "comments")).collect()
+        assert sorted(r.reason for r in kept) == ["no id", "no json", "no time", "no time", "time out of range"]
+        assert {r.subreddit for r in kept} == {"007"}
+    assert stored(store) == {"a": "good", "d": "digits"}
+
+
 def test_scans_of_the_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     run_backfill(store, archive(spark), ask(spark, 0, 60 * DAY), 5, ["arrival"])

@@ -27,13 +27,12 @@ def comments(spark, rows, link="t3_post"):
     return spark.createDataFrame(full, LAYOUT)
 
 
-def lines(df, forest, part_nodes=10_000, **how):
-    """{(community, link): decoded line} with the parts of a post put together."""
+def lines(df, forest, block_nodes=10_000, **how):
+    """{(community, link): decoded line} from the fragments of each post."""
     texts = {}
-    for r in thread_json(df, forest, part_nodes, **how).collect():
-        texts.setdefault((r.subreddit, r.link_id), {})[r.part] = r.text
-        assert r.n_parts == max(r.n_parts, r.part + 1)
-    return {k: json.loads("".join(parts[i] for i in sorted(parts))) for k, parts in texts.items()}
+    for r in thread_json(df, forest, block_nodes, **how).collect():
+        assert texts.setdefault((r.subreddit, r.link_id), {}).setdefault(r.pos, r.text) == r.text
+    return {k: json.loads(" ".join(t for _, t in sorted(f.items()))) for k, f in texts.items()}
 
 
 def shape(nodes):
@@ -101,8 +100,8 @@ def test_record_text(spark):
         "link_id": "p",
         "tree": [{"id": "a", "body": '"q" {é} ]', "replies": [{"id": "b", "n": 1.5, "replies": []}]}],
     }
-    text = thread_json(df, build_forest(df)).first().text
-    assert '"n": 1.50' in text and text.endswith('"replies": []}]}]}')
+    first, second = thread_json(df, build_forest(df)).orderBy("pos").collect()
+    assert '"n": 1.50' in second.text and second.text.endswith('"replies": []}]}]}\n')
 
 
 def brute_force(rows):
@@ -146,8 +145,8 @@ def test_random_trees(spark, seed, hot_rows, max_path):
     forest = build_forest(df, hot_rows=hot_rows, max_path=max_path)
     forest = forest._replace(placed=write_table(forest.placed, "placed"))
     expected = brute_force(rows)
-    for part_nodes in (10_000, 7, 1):
-        got = {k: shape(v["tree"]) for k, v in lines(df, forest, part_nodes).items()}
+    for block_nodes in (10_000, 7, 1):
+        got = {k: shape(v["tree"]) for k, v in lines(df, forest, block_nodes).items()}
         assert got == expected
     placed = forest.placed.collect()
     for link in {r[3] for r in rows}:
@@ -174,7 +173,7 @@ def test_one_post_with_most_comments_is_split(spark):
     cold = build_forest(df)
     hot = build_forest(df, hot_rows=100)
     assert sorted(hot.placed.collect()) == sorted(cold.placed.collect())
-    assert thread_json(df, hot, 50).where("link_id = 't3_hot'").count() == 54
+    assert thread_json(df, hot, 50).where("link_id = 't3_hot'").count() == 2700
     assert lines(df, hot, 50, hot_rows=100) == lines(df, cold)
 
 

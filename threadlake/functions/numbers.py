@@ -45,12 +45,12 @@ class CountText(NamedTuple):
 
 
 def parse_count(text: Column | str, signed: bool = False) -> CountText:
-    """Plain digits only (``1.2k``, blanks and '' give NULL).
+    """Plain digits only (``1.2k``, blanks, line breaks and '' give NULL).
 
     A text that looks like a number but is none (``--5``, or beyond BIGINT) is broken:
     the refresh of its row fails instead of storing NULL.
     """
     c = as_column(text)
-    looks_numeric = c.rlike("^-*[0-9]+$" if signed else "^[0-9]+$")
+    looks_numeric = c.rlike(r"^-*[0-9]+\z" if signed else r"^[0-9]+\z")
     value = F.when(looks_numeric, c.try_cast("bigint"))
     return CountText(value, F.coalesce(looks_numeric & value.isNull(), F.lit(False)))

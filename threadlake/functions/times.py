@@ -12,6 +12,7 @@ ARCHIVE_EPOCH = 1119225600
 UNIT_SECONDS = {"y": 31536000, "m": 2592000, "d": 86400, "h": 3600}
 
 DAY = 86400
+MAX_EPOCH = 253402300800  # start of the year 10000: no record is as late
 
 
 def _floor_div(value: Column, by: int) -> Column:
@@ -61,8 +62,11 @@ def epoch_date(epoch: Column | str) -> Column:
 
 
 def month_of_epoch(epoch: Column | str) -> Column:
-    """Months since 1970-01, as an INT: the layout and join bucket of the archive."""
-    date = F.date_from_unix_date(_floor_div(as_column(epoch), DAY).cast("int"))
+    """Months since 1970-01, as an INT: the layout and join bucket of the archive.
+
+    NULL where the day is beyond INT, as for a time in microseconds.
+    """
+    date = F.date_from_unix_date(_floor_div(as_column(epoch), DAY).try_cast("int"))
     return ((F.year(date) - 1970) * 12 + F.month(date) - 1).cast("int")
 
 

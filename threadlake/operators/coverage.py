@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import month_of_epoch
+from threadlake.functions.times import MAX_EPOCH
 
 KEYS = ["subreddit", "kind"]
 
@@ -95,7 +96,9 @@ def windows_by_month(plan: DataFrame) -> DataFrame:
     The month is an equality key beside the community: it prunes the archive's month folders
     and splits the records of one huge community over as many join keys as it has months.
     """
-    months = F.sequence(month_of_epoch("since"), month_of_epoch(F.col("before") - 1))
+    first = F.greatest("since", F.lit(-MAX_EPOCH))
+    last = F.least(F.col("before"), F.lit(MAX_EPOCH)) - 1
+    months = F.sequence(month_of_epoch(first), month_of_epoch(F.greatest(first, last)))
     return plan.where(F.col("before") > F.col("since")).withColumn(
         "created_month", F.explode(months)
     )

@@ -10,8 +10,8 @@ large share of all comments spreads over many tasks:
 3. Order: the path of (created_utc, id) from the root sorts a tree in reading order. Paths are
    only carried for trees up to ``max_path`` levels; deeper posts are ordered by walking the
    tree as a linked list (``_walk_order``), whose cost does not grow with depth.
-4. ``thread_json``: text fragments per comment, joined per part of a post. Parts bound what one
-   task holds; a post's parts in order are its whole line.
+4. ``thread_json``: one text fragment per comment, whatever the size of its post. A post's
+   fragments in order, with blanks between them, are its line; the sink only streams them.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .skew import HOT_ROWS, lookup, rank_in_groups
 # next to nothing.
 POST = ["link_id", "subreddit"]
 MAX_PATH = 64
-PART_NODES = 10_000
+BLOCK_NODES = 10_000  # comments whose neighbours are found in one window; results do not depend on it
 
 
 class Forest(NamedTuple):
@@ -252,18 +252,16 @@ def thread_totals(forest: Forest) -> DataFrame:
 def thread_json(
     comments: DataFrame,
     forest: Forest,
-    part_nodes: int = PART_NODES,
+    block_nodes: int = BLOCK_NODES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The line of each post as text: (subreddit, link_id, part, n_parts, text).
+    """The line of each post as fragments: (subreddit, link_id, pos, text), one per placed comment.
 
-    Posts up to ``part_nodes`` placed comments are one part, which is the whole line. A larger
-    post has more; its parts joined in order are its line. A post whose comments all hang in
-    cycles has an empty tree.
+    A post's texts in the order of ``pos``, joined with or without blanks, are its JSON object and
+    a line feed. A post whose comments all hang in cycles has one fragment, an empty tree.
     """
-    size = F.lit(part_nodes).cast("bigint")
+    size = F.lit(block_nodes).cast("bigint")
     sizes = forest.placed.groupBy(*POST).agg(F.count("*").alias("_size"))
-    # Sizes meet the keys before the text does, so the text is shuffled no more for them.
     placed = lookup(
         forest.placed.select(*POST, "id", "depth", "pos"),
         sizes,
@@ -272,32 +270,29 @@ def thread_json(
         hot_rows,
         rows=comments.count(),
     )
-    part = F.call_function("div", F.col("pos") - 1, size)
-    # The last comment of a part is also seen by the next part, and the first by the one before.
+    # Neighbours are found on narrow rows, in blocks of a post; a block also sees the row on
+    # either side of it.
+    block = F.call_function("div", F.col("pos") - 1, size)
     seen_in = F.array_compact(
         F.array(
-            part,
-            F.when((F.col("pos") - 1) % size == 0, F.when(part > 0, part - 1)),
-            F.when(F.col("pos") % size == 0, part + 1),
+            block,
+            F.when((F.col("pos") - 1) % size == 0, F.when(block > 0, block - 1)),
+            F.when(F.col("pos") % size == 0, block + 1),
         )
     )
-    records = comments.select(*POST, "id", "archive_json")
-    shaped = placed.join(records, ["id", *POST], "inner").select(
-        *POST,
-        "pos",
-        "depth",
-        "_size",
-        part.alias("_own"),
-        drop_json_field("archive_json", "replies").alias("record"),
-        F.explode(seen_in).alias("part"),
+    window = Window.partitionBy(*POST, "_block").orderBy("pos")
+    around = (
+        placed.select("*", block.alias("_own"), F.explode(seen_in).alias("_block"))
+        .select(
+            "*",
+            F.lag("depth").over(window).alias("_before"),
+            F.lead("depth").over(window).alias("_after"),
+        )
+        .where(F.col("_own") == F.col("_block"))
+        .drop("_own", "_block")
     )
-    shaped = shaped.withColumn("record", F.when(F.col("_own") == F.col("part"), F.col("record")))
-    window = Window.partitionBy(*POST, "part").orderBy("pos")
-    around = shaped.select(
-        "*",
-        F.lag("depth").over(window).alias("_before"),
-        F.lead("depth").over(window).alias("_after"),
-    ).where(F.col("_own") == F.col("part"))
+    records = comments.select(*POST, "id", drop_json_field("archive_json", "replies").alias("record"))
+    shaped = around.join(records, ["id", *POST], "inner")
 
     depth, before, after = F.col("depth"), F.col("_before"), F.col("_after")
     head = F.concat(F.lit('{"link_id": '), json_quote(strip_fullname("link_id")), F.lit(', "tree": ['))
@@ -309,28 +304,11 @@ def thread_json(
         record.substr(F.lit(1), F.length(record) - 1),
         F.lit(', "replies": ['),
         F.repeat(F.lit("]}"), closed.cast("int")),
-        F.when(F.col("pos") == F.col("_size"), "]}").otherwise(""),
+        F.when(F.col("pos") == F.col("_size"), "]}\n").otherwise(""),
     )
-    pieces = around.select(*POST, "part", "pos", "_size", text.alias("text"))
-    parts = pieces.groupBy(*POST, "part").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_pieces"),
-        F.max("_size").alias("_size"),
-    )
-    whole = parts.select(
-        *POST,
-        "part",
-        F.call_function("div", F.col("_size") + size - 1, size).alias("n_parts"),
-        F.array_join(F.col("_pieces.text"), "").alias("text"),
-    )
-    nothing = (
-        forest.unplaced.select(*POST)
-        .distinct()
-        .join(sizes, POST, "left_anti")
-        .select(
-            *POST,
-            F.lit(0).cast("bigint").alias("part"),
-            F.lit(1).cast("bigint").alias("n_parts"),
-            F.concat(head, F.lit("]}")).alias("text"),
+    nothing = forest.unplaced.select(*POST).distinct().join(sizes, POST, "left_anti")
+    return shaped.select(*POST, "pos", text.alias("text")).unionByName(
+        nothing.select(
+            *POST, F.lit(1).cast("bigint").alias("pos"), F.concat(head, F.lit("]}\n")).alias("text")
         )
     )
-    return whole.unionByName(nothing)

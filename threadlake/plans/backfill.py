@@ -52,8 +52,14 @@ def run_backfill(
 ) -> DataFrame:
     """Bring the store up to ``requests``; returns the report of fetched and new rows.
 
-    ``archive``: kind, subreddit, created_utc, id, value (raw JSON) and the arrival columns.
+    ``archive``: kind, subreddit, created_utc, id, value (raw JSON) and the arrival columns. Lines
+    with a ``problem`` are set aside with it before anything is loaded.
     """
+    if "problem" in archive.columns:
+        for kind in NORMALIZE:
+            odd = archive.where(F.col("problem").isNotNull() & (F.col("kind") == kind))
+            store.set_aside_landed(kind, odd, now, arrival)
+        archive = archive.where(F.col("problem").isNull()).drop("problem")
     wanted = requests.where(F.col("kind").isin(*NORMALIZE))
     requests = write_table(merge_requests(wanted), "requests")
     covered = store.read("covered_range")
@@ -71,7 +77,7 @@ def run_backfill(
         reports.append(write_table(report, "report"))
         fresh = write_table(fresh_records(rows, stored, arrival, probe=True), "fresh")
         store.append(kind, fresh)
-        store.set_aside(kind, rows)
+        store.set_aside(kind, rows, arrival)
         if exports.path:
             append_jsonl(fresh, exports.path, kind, exports.jsonl)
     outcomes = plan.select("subreddit", "kind", "window_type", F.lit(True).alias("ok"))

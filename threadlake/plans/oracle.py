@@ -431,16 +431,16 @@ ORACLE: dict[str, str] = {
           SELECT n.*, c.archive_json, lag(n.depth) OVER w AS before, lead(n.depth) OVER w AS after
           FROM fx_nodes n JOIN fx_comments c USING (id)
           WINDOW w AS (PARTITION BY n.subreddit, n.link_id ORDER BY n.pos)),
-        built AS (
-          SELECT subreddit, link_id, string_agg(
-            CASE WHEN before >= depth THEN ', ' ELSE '' END || rtrim(archive_json, '}')
-            || ', "replies": [' || repeat(']}', CAST(greatest(
-              depth - coalesce(after, 0) + 1, 0) AS BIGINT)), '' ORDER BY pos) AS tree
-          FROM shaped GROUP BY 1, 2)
-        SELECT subreddit, link_id, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts,
-          '{"link_id": "' || substr(link_id, 4) || '", "tree": [' || coalesce(tree, '') || ']}' AS text
-        FROM (SELECT DISTINCT subreddit, link_id FROM fx_comments) LEFT JOIN built
-          USING (subreddit, link_id)"""
+        heads AS (
+          SELECT DISTINCT subreddit, link_id,
+            '{"link_id": "' || substr(link_id, 4) || '", "tree": [' AS head FROM fx_comments)
+        SELECT subreddit, link_id, coalesce(pos, 1) AS pos,
+          CASE WHEN pos IS NULL THEN head || ']}' || chr(10) ELSE
+            CASE WHEN pos = 1 THEN head WHEN before >= depth THEN ', ' ELSE '' END
+            || rtrim(archive_json, '}') || ', "replies": [' || repeat(']}', CAST(greatest(
+              depth - coalesce(after, 0) + 1, 0) AS BIGINT))
+            || CASE WHEN after IS NULL THEN ']}' || chr(10) ELSE '' END END AS text
+        FROM heads LEFT JOIN shaped USING (subreddit, link_id)"""
     ),
     "thread_totals": _threads(
         """SELECT subreddit, CAST(grouping(subreddit) AS INTEGER) AS is_overall,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.functions import json_quote, strip_fullname
+from threadlake.functions import json_quote
 from threadlake.schemas import COMMENT_CSV, POST_CSV
 
 CSV_COLUMNS = {"posts": POST_CSV, "comments": COMMENT_CSV}
@@ -39,21 +39,20 @@ def append_trees(trees: DataFrame, path: str, enabled: bool = True) -> None:
     rows.write.mode("append").partitionBy("subreddit").text(f"{path}/comment_trees.jsonl")
 
 
-def write_threads(lines: DataFrame, path: str) -> None:
-    """Replace the thread lines of the communities in ``lines`` (from ``thread_json``).
+def write_threads(fragments: DataFrame, path: str) -> None:
+    """Replace the thread lines of the communities in ``fragments`` (from ``thread_json``).
 
-    A post in one part is its plain line. The parts of a larger post follow each other as
-    ``{"link_id": ..., "part": ..., "n_parts": ..., "text": ...}``; their texts joined in order
-    are its line.
+    One line of JSON per post, whatever its size: a post's fragments are sorted in the task that
+    writes them and streamed to the file one after another, with a blank between them; the last
+    one brings the line feed. So every line but a file's first begins with a blank.
     """
-    piece = F.to_json(
-        F.struct(strip_fullname("link_id").alias("link_id"), "part", "n_parts", "text")
-    )
-    value = F.when(F.col("n_parts") == 1, F.col("text")).otherwise(piece)
-    rows = _ordered(lines, "link_id", "part").select("subreddit", value.alias("value"))
+    rows = fragments.repartitionByRange("subreddit", "link_id")
+    rows = rows.sortWithinPartitions("subreddit", "link_id", "pos")
     (
-        rows.write.mode("overwrite")
+        rows.select("subreddit", F.col("text").alias("value"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("lineSep", " ")
         .partitionBy("subreddit")
         .text(f"{path}/threads.jsonl")
     )

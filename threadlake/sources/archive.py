@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import int_or_zero, month_of_epoch
+from threadlake.functions.times import MAX_EPOCH
 
 # Order in which landed lines arrived: file by file, then along the file.
 ARRIVAL = ["file_time", "file_path", "block_start", "line_place"]
@@ -21,8 +22,10 @@ def landed_records(spark: SparkSession, path: str, stream: bool = False, **optio
     ``subreddit`` column. A stream cannot number lines: its micro-batches are given to
     ``with_line_place``.
     """
-    reader = spark.readStream if stream else spark.read
-    lines = reader.options(**options).text(path)
+    reader = (spark.readStream if stream else spark.read).options(**options)
+    if "subreddit" in spark.read.text(path).columns:  # else a name of digits would be a number
+        reader = reader.schema("value string, subreddit string")
+    lines = reader.text(path)
     records = lines.where(F.trim("value") != "").select(
         *lines.columns,
         F.col("_metadata.file_modification_time").alias("file_time"),
@@ -38,16 +41,17 @@ def with_line_place(records: DataFrame) -> DataFrame:
 
 
 def landed_archive(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Landed lines of one kind as an archive to load from: kind, subreddit, created_utc, id, value
-    and the columns of ARRIVAL.
+    """Landed lines of one kind as an archive to load from: kind, subreddit, created_utc, id, value,
+    problem and the columns of ARRIVAL.
 
     The community is the record's own, or that of its folder. The time is taken as stored rows
-    take it.
+    take it. ``problem`` says why a line can be placed in no window (NULL for all others): no JSON
+    object, no readable time, a time out of range, or no community.
     """
     lines = landed_records(spark, path)
     folder = F.col("subreddit") if "subreddit" in lines.columns else F.lit(None).cast("string")
     fields = F.from_json("value", "id string, subreddit string, created_utc string")
-    return lines.select(
+    records = lines.select(
         F.lit(kind).alias("kind"),
         folder.alias("_folder"),
         "value",
@@ -57,10 +61,19 @@ def landed_archive(spark: SparkSession, path: str, kind: str) -> DataFrame:
         "kind",
         F.coalesce(F.nullif(F.col("_r.subreddit"), F.lit("")), "_folder").alias("subreddit"),
         int_or_zero("_r.created_utc").alias("created_utc"),
+        F.col("_r.created_utc").try_cast("double").alias("_time"),
         F.col("_r.id").alias("id"),
         "value",
         *ARRIVAL,
     )
+    no_time = F.col("_time").isNull()
+    problem = (
+        F.when(no_time & F.get_json_object("value", "$").isNull(), "no json")
+        .when(no_time, "no time")
+        .when(~F.col("created_utc").between(0, MAX_EPOCH - 1), "time out of range")
+        .when(F.coalesce("subreddit", F.lit("")) == "", "no community")
+    )
+    return records.withColumn("problem", problem).drop("_time")
 
 
 def spread(records: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ one and counts only when it is complete.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from threadlake import schemas
 from threadlake.functions import month_of_epoch
 from threadlake.operators.dedup import without_id
 from threadlake.operators.live import merge_live_counts
+from threadlake.scratch import write_table
 
 RECORDS = {"posts": schemas.POSTS, "comments": schemas.COMMENTS}
 SNAPSHOTS = {
@@ -63,11 +66,35 @@ class Store:
             .parquet(f"{self.root}/{table}")
         )
 
-    def set_aside(self, table: str, rows: DataFrame) -> None:
+    def set_aside(self, table: str, rows: DataFrame, arrival: list[str]) -> None:
         """Keep records without an id, which cannot be keyed, beside the table."""
-        lost = without_id(rows).select(*RECORDS[table].names)
-        if not lost.isEmpty():
-            lost.write.mode("append").parquet(f"{self.root}/no_id/{table}")
+        lost = without_id(rows).select(*RECORDS[table].names, *arrival, F.lit("no id").alias("reason"))
+        self._keep_aside(table, lost, arrival)
+
+    def set_aside_landed(self, table: str, lines: DataFrame, fetched_at: int, arrival: list[str]) -> None:
+        """Keep landed lines (subreddit, value, problem, arrival) that no window can hold."""
+        known = {
+            "subreddit": F.col("subreddit"),
+            "archive_json": F.col("value"),
+            "fetched_at": F.lit(fetched_at),
+        }
+        fields = [
+            known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORDS[table]
+        ]
+        self._keep_aside(table, lines.select(*fields, *arrival, F.col("problem").alias("reason")), arrival)
+
+    def _keep_aside(self, table: str, rows: DataFrame, arrival: list[str]) -> None:
+        """Append rows that are not kept yet; a repeated run finds its own rows there."""
+        path = f"{self.root}/no_id/{table}"
+        keys = [c for c in arrival if c != "line_place"] + ["archive_json", "reason"]
+        if self._exists(path):
+            kept = self.spark.read.option("mergeSchema", True).parquet(path)
+            if set(keys) <= set(kept.columns):
+                same = [rows[k].eqNullSafe(kept[k]) for k in keys]
+                rows = rows.join(kept, reduce(and_, same), "left_anti")
+        rows = write_table(rows, "aside")
+        if not rows.isEmpty():
+            rows.write.mode("append").parquet(path)
 
     def replace(self, table: str, snapshot: DataFrame) -> None:
         """Write the next version of a snapshot table; the one being read stays untouched."""

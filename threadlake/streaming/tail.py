@@ -58,7 +58,7 @@ def follow_tail(
         if covered is not None:
             rows = tail_rows(rows, covered, lateness)
         store.append(kind, fresh_records(rows, store.read(kind), ARRIVAL, probe=True))
-        store.set_aside(kind, rows)
+        store.set_aside(kind, rows, ARRIVAL)
 
     return (
         stream.writeStream.foreachBatch(load)

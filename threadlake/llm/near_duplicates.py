@@ -139,7 +139,8 @@ def _left_over(placed: DataFrame, distance: DataFrame, settings: Settings) -> Da
     * If z shares none of what y has beyond the hub, they share no more than ``common``, so z must
       be no larger than common * (1 + 1 / least) - size(y). Such pairs are found by size.
     * Otherwise they share at least ``needed`` = that number - common shingles beyond the hub, so
-      all but needed - 1 of y's found ones hold at least one that z has. The rarest ones are used.
+      all but needed - 1 of y's found ones hold at least one that z has. The rarest ones are used,
+      and behind their first common one both must still hold as many as the pair needs.
 
     And as 1 - similarity is a metric, their distances to the hub differ by no more than 1 - least.
     """
@@ -158,29 +159,36 @@ def _left_over(placed: DataFrame, distance: DataFrame, settings: Settings) -> Da
         .where(F.col("x") != F.col("y"))
         .drop("x", "y")
     )
-    found = beyond.join(held, ["hub", "shingle"])
     share = least / (1 + least)
-    needed = F.ceil(share * (F.col("size") + F.col("smallest")) - F.col("common") - 1e-6)
     by_text = Window.partitionBy("hub", "key")
-    rarest = (
-        found.join(group.where("over"), ["hub", "key"])
-        .join(smallest, "hub")
+    found = (
+        beyond.join(held, ["hub", "shingle"])
         .withColumn("found", F.count("*").over(by_text))
         .withColumn("place", F.row_number().over(by_text.orderBy("n", "shingle")))
-        .where(F.col("place") <= F.col("found") - F.greatest(needed, F.lit(1)) + 1)
+        .groupBy("hub", "key", "shingle", "found")
+        .agg(F.min("place").alias("place"))
+        .join(group, ["hub", "key"])
     )
+    needed = F.ceil(share * (F.col("size") + F.col("smallest")) - F.col("common") - 1e-6)
+    rarest = found.where("over").join(smallest, "hub")
+    rarest = rarest.where(F.col("place") <= F.col("found") - F.greatest(needed, F.lit(1)) + 1)
 
-    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        columns = ("key", "d", "size", "common", "component")
-        return rows.select("hub", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    def side(rows: DataFrame, name: str, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
+        columns = ("key", "d", "size", "common", "component", *more)
+        return rows.select("hub", *keys, *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     linkable = (
         (F.col("component_y") != F.col("component_z"))
         & (F.abs(F.col("d_y") - F.col("d_z")) <= reach)
         & (F.least("size_y", "size_z") >= least * F.greatest("size_y", "size_z") - 1e-6)
     )
-    others = found.select("hub", "key", "shingle").distinct().join(group, ["hub", "key"])
-    sharing = side(rarest, "y", "shingle").join(side(others, "z", "shingle"), ["hub", "shingle"])
+    # From their first common shingle on, both must hold as many as the pair needs.
+    places = ("found", "place")
+    needed = share * (F.col("size_y") + F.col("size_z")) - F.least("common_y", "common_z")
+    behind = F.least(F.col("found_y") - F.col("place_y"), F.col("found_z") - F.col("place_z"))
+    sharing = side(rarest, "y", "shingle", more=places)
+    sharing = sharing.join(side(found, "z", "shingle", more=places), ["hub", "shingle"])
+    sharing = sharing.where(behind + 1 >= needed - 1e-6)
 
     limit = F.col("common") * (1 + 1 / least) - F.col("size")
     roomy = group.where("over").join(smallest, "hub").where(F.col("smallest") <= limit + 1e-6)

@@ -252,12 +252,9 @@ def outcomes(spark, sf_dir) -> DataFrame:
 
 
 def live_counts(spark, sf_dir) -> DataFrame:
-    """Two visits of each post's page, the later one with every kind of count text.
-
-    Pages of pending orders were never landed.
-    """
+    """Two visits of each post's page, the later one with every kind of count text."""
     k = F.col("k")
-    p = posts(spark, sf_dir).where(F.col("status") != "P").select("id", "k")
+    p = posts(spark, sf_dir).select("id", "k", "status")
     visits = F.array(
         F.struct(
             F.lit("1").alias("score_text"), F.lit("1").alias("comments_text"), F.lit(100).alias("refreshed_at")
@@ -275,8 +272,8 @@ def live_counts(spark, sf_dir) -> DataFrame:
             F.lit(200).alias("refreshed_at"),
         ),
     )
-    return p.select("id", "k", F.explode(visits).alias("v")).select(
-        "id", "k", "v.score_text", "v.comments_text", F.col("v.refreshed_at").cast("bigint").alias("refreshed_at")
+    return p.select("id", "k", "status", F.explode(visits).alias("v")).select(
+        "id", "k", "status", "v.score_text", "v.comments_text", F.col("v.refreshed_at").cast("bigint").alias("refreshed_at")
     )
 
 

@@ -79,13 +79,13 @@ fx_plan AS (
 
 _LIVE = """
 fx_live AS (
-  SELECT id, k, '1' AS score_text, '1' AS comments_text, CAST(100 AS BIGINT) AS refreshed_at
-  FROM fx_posts WHERE status <> 'P'
+  SELECT id, k, status, '1' AS score_text, '1' AS comments_text, CAST(100 AS BIGINT) AS refreshed_at
+  FROM fx_posts
   UNION ALL
-  SELECT id, k, CASE k % 7 WHEN 0 THEN '12' WHEN 1 THEN '-3' WHEN 2 THEN '1.2k' WHEN 3 THEN NULL
+  SELECT id, k, status, CASE k % 7 WHEN 0 THEN '12' WHEN 1 THEN '-3' WHEN 2 THEN '1.2k' WHEN 3 THEN NULL
       WHEN 4 THEN '--5' WHEN 5 THEN ' 5' ELSE id END,
     CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '-4' ELSE CAST(k % 300 AS VARCHAR) END, 200
-  FROM fx_posts WHERE status <> 'P')"""
+  FROM fx_posts)"""
 
 _OUTCOME = f"""
 fx_outcome AS (
@@ -100,7 +100,7 @@ fx_outcome AS (
       coalesce(p.permalink <> '' AND v.score_text IS NOT NULL
         AND NOT regexp_full_match(v.score_text, '--+[0-9]+'), false) AS ok
     FROM fx_posts p LEFT JOIN fx_live v
-      ON v.id = p.id AND v.refreshed_at = 200
+      ON v.id = p.id AND v.refreshed_at = 200 AND v.status <> 'P'
     WHERE p.created_utc >= {fx.NOW - REFRESH_DAYS * 86400}))"""
 
 _JOBS = """
@@ -251,7 +251,7 @@ ORACLE: dict[str, str] = {
     ),
     "page_attr_extract": """SELECT page_id,
         nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang,
-        CAST(NULL AS VARCHAR) AS score FROM pages""",
+        nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset FROM pages""",
     "normalize_posts": _sql(f"SELECT *, CAST({fx.NOW} AS BIGINT) AS fetched_at FROM fx_rows", _RAW_POSTS),
     "normalize_comments": _sql(
         f"""SELECT id, link_id, parent_id, subreddit, created_utc, author, score, body, archive_json,
@@ -376,7 +376,7 @@ ORACLE: dict[str, str] = {
             FROM (
               SELECT subreddit, since, c % 9 AS n,
                 CASE WHEN c % 13 = 0 THEN since - c % 2 ELSE before END AS before
-              FROM fx_customer WHERE kind = 'posts')))""",
+              FROM fx_customer)))""",
         _REQUESTS,
     ),
     "shard_assign": _sql(

@@ -88,7 +88,7 @@ def page_attr_extract(spark, d):
     return pages.select(
         "page_id",
         tag_attribute("html", "html", "lang").alias("lang"),
-        tag_attribute("html", live.PAGE_TAG, live.PAGE_SCORE).alias("score"),
+        tag_attribute("html", "meta", "charset").alias("charset"),
     )
 
 
@@ -201,7 +201,7 @@ def incremental_load(spark, d):
 @query
 def shard_bounds(spark, d):
     c = F.substring("subreddit", 2, 20).cast("bigint")
-    rows = fx.requests(spark, d).where("kind = 'posts'").select(
+    rows = fx.requests(spark, d).select(
         "subreddit",
         "since",
         F.when(c % 13 == 0, F.col("since") - c % 2).otherwise(F.col("before")).alias("before"),
@@ -341,7 +341,8 @@ def refresh_topk(spark, d):
 
 def _outcome(spark, d) -> DataFrame:
     work = live.refresh_worklist(fx.posts(spark, d), fx.NOW, REFRESH_DAYS, BASE_URL)
-    return live.refresh_outcome(work, fx.live_counts(spark, d))
+    landed = fx.live_counts(spark, d).where("status <> 'P'").drop("status")  # some never landed
+    return live.refresh_outcome(work, landed)
 
 
 @query
@@ -435,9 +436,9 @@ def json_path_default(spark, d):
     k = F.col("k")
     doc = (
         F.when(k % 4 == 0, F.concat(F.lit('{"a": {"b": '), "archive_json", F.lit("}}")))
-        .when(k % 4 == 1, '{"a": {"b": {}}}')
-        .when(k % 4 == 2, '{"a": 5}')
-        .otherwise("{}")
+        .when(k % 4 == 1, F.concat(F.lit('{"a": {"b": {"c": '), "archive_json", F.lit("}}}")))
+        .when(k % 4 == 2, F.concat(F.lit('{"a": 5, "d": '), "archive_json", F.lit("}")))
+        .otherwise(F.col("archive_json"))
     )
     return fx.events(spark, d).select(
         "id", json_default(doc, "a.b.k", "x").alias("found"), json_default(doc, "z", None).alias("missing")

@@ -1,5 +1,8 @@
 """Every query against its SQL, over the whole tables of the smallest scale."""
 
+import importlib
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -25,3 +28,16 @@ def test_query(spark, con, small, name):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("missing", ["threadlake.llm.registry", "threadlake.llm", "corpus_pipeline"])
+def test_works_without_the_training_data_operators(monkeypatch, missing):
+    for name in [m for m in sys.modules if m.startswith("threadlake.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    try:
+        alone = importlib.reload(entry)
+        assert alone.queries() == QUERIES and alone.oracle_sql() == ORACLE
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)

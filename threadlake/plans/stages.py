@@ -22,6 +22,7 @@ from .backfill import (
 )
 from .requests import expand_requests
 
+# The names a job may ask for.
 STAGES = ("all", "backfill", "threads", "refresh", "stats", "export")
 
 

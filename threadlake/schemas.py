@@ -9,6 +9,7 @@ def _layout(*columns: tuple[str, type]) -> StructType:
     return StructType([StructField(name, kind()) for name, kind in columns])
 
 
+# Names and order of the stored columns.
 POSTS = _layout(
     ("id", StringType),
     ("subreddit", StringType),
@@ -72,28 +73,6 @@ REQUESTS = _layout(
 )
 
 # CSV exports carry the scalar columns only.
-POST_CSV = [
-    "id",
-    "subreddit",
-    "created_utc",
-    "author",
-    "title",
-    "permalink",
-    "url",
-    "score",
-    "num_comments",
-    "is_self",
-    "live_score",
-    "live_num_comments",
-    "live_refreshed_at",
-]
-COMMENT_CSV = [
-    "id",
-    "link_id",
-    "parent_id",
-    "subreddit",
-    "created_utc",
-    "author",
-    "score",
-    "body",
-]
+_NOT_IN_CSV = ("archive_json", "fetched_at")
+POST_CSV = [name for name in POSTS.names if name not in _NOT_IN_CSV]
+COMMENT_CSV = [name for name in COMMENTS.names if name not in _NOT_IN_CSV]

@@ -141,9 +141,15 @@ def run_refresh(
     return outcome
 
 
-def run_export(store: Store, path: str) -> DataFrame:
-    """Flat exports of the whole store; returns the row counts."""
+def run_export(store: Store, path: str, subreddits: DataFrame | None = None) -> DataFrame:
+    """Flat exports of the named communities (all when None); returns the row counts."""
     posts, comments = store.posts_with_live_counts(), store.read("comments")
+    if subreddits is not None:
+        wanted = subreddits.select(F.lower("subreddit").alias("_asked")).distinct()
+        posts, comments = (
+            t.join(wanted, F.lower(t["subreddit"]) == wanted["_asked"], "left_semi")
+            for t in (posts, comments)
+        )
     write_csv(posts, path, "posts")
     write_csv(comments, path, "comments")
     return csv_counts(posts, comments)

@@ -54,17 +54,21 @@ def run_stage(
     threads: bool = True,
     refresh: bool = False,
     window_days: int = 30,
+    limit: int = 0,
+    base_url: str = "",
 ) -> dict[str, DataFrame]:
     """Run a stage; returns its reports by name. ``jobs`` as for ``expand_requests``.
 
-    ``all`` is backfill and threads, and with ``refresh`` also the refresh of recent posts.
+    ``all`` is backfill and threads, and with ``refresh`` also the refresh of recent posts, at most
+    ``limit`` of them (0: all). Exports replace the files of the asked communities only.
     """
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage!r}: one of {', '.join(STAGES)}")
     reports: dict[str, DataFrame] = {}
-    if stage == "export":
-        return {"export": run_export(store, exports.path)}
     requests = write_table(expand_requests(jobs, now), "requests")
+    names = requests.select("subreddit").distinct()
+    if stage == "export":
+        return {"export": run_export(store, exports.path, names)}
     if stage in ("all", "backfill"):
         if landed.meta is not None:
             run_meta(store, _asked(landed.meta, requests, "meta"), now)
@@ -77,10 +81,11 @@ def run_stage(
         commented = requests.where(F.col("kind") == "comments").select("subreddit")
         reports["threads"] = run_threads(store, commented, exports)
     if stage == "refresh" or (stage == "all" and refresh):
-        names = requests.select("subreddit").distinct()
-        reports["refresh"] = run_refresh(store, landed.pages, now, window_days, subreddits=names)
+        reports["refresh"] = run_refresh(
+            store, landed.pages, now, window_days, base_url=base_url, subreddits=names, limit=limit
+        )
     if exports.csv and stage in ("all", "backfill"):
-        reports["export"] = run_export(store, exports.path)
+        reports["export"] = run_export(store, exports.path, names)
     reports["stats"] = stats_rollup(
         store.read("posts"), store.read("comments"), store.read("comment_trees")
     )

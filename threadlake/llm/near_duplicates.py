@@ -273,6 +273,8 @@ def near_duplicates(
         more = compare(_left_over(placed, distance, settings), bodies)
         more = scratch.write(more.where(F.col("similarity") >= settings.least), "more")
         classes = components(links.unionByName(more.select("a", "b")), scratch)
+        scratch.drop(more)
+    scratch.drop(members, bodies, compared, placed)  # what follows reads none of them
 
     named = _with_class(texts.select("key", "first_id"), classes)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("class_id"))

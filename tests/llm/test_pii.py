@@ -93,6 +93,17 @@ def test_copies_of_one_text_reveal_nothing(spark, documents):
     assert pii.sanitise(documents([]), Scratch(spark, "t")).count() == 0
 
 
+def test_name_beside_three_entities_of_many_documents(spark, documents):
+    rows = []
+    for i in range(12):
+        a, b, c, d = (f"{x}{'abcdefghijkl'[i]}word" for x in "qrst")
+        rows.append((i, f"{a} {b} Zebulon zz@host.example {c} +1 386 555 3733 {d} 10.0.0.7 {b} {a} {d}"))
+    rows += [(100 + i, "plain words of no one") for i in range(188)]
+    out = pii.sanitise(documents(rows), Scratch(spark, "t")).where("doc_id < 100").collect()
+    assert len(out) == 12 and not any("Zebulon" in r.sanitised for r in out)
+    assert all("<EMAIL>" in r.sanitised and "aword" in r.sanitised for r in out if r.doc_id == 0)
+
+
 def test_digest(spark, documents):
     docs = documents([(1, "x a@b.cd y"), (2, None)])
     found = pii.sanitise(docs, Scratch(spark, "t"))

@@ -181,10 +181,18 @@ def _row_key(text: str) -> Column:
 
 
 def _near(docs: DataFrame, text: str, settings: Settings) -> DataFrame:
-    """Documents (key) with the terms near their entities: entity, around, term, n."""
+    """Terms near entities, with the number of documents: entity, around, terms, n.
+
+    Rows without an entity hold all terms that a document has near any entity, each once.
+    """
+
+    def with_union(found: list[dict]) -> list[dict]:
+        terms = sorted({t for c in found for t in c["terms"]})
+        return [*found, {"entity": None, "around": None, "terms": terms}] if terms else found
 
     def collect(texts: pa.Array) -> list[pa.Array]:
-        return [pa.array([contexts(t, settings) for t in texts.to_pylist()], _CONTEXTS)]
+        found = [with_union(contexts(t, settings)) for t in texts.to_pylist()]
+        return [pa.array(found, _CONTEXTS)]
 
     found = add_columns(
         docs.select(text),
@@ -223,12 +231,14 @@ def revealing_terms(
 
     None where the corpus has no such term.
     """
-    near = scratch.write(_near(docs, text, settings), "near")
+    written = scratch.write(_near(docs, text, settings), "near")
+    near = written.where(F.col("entity").isNotNull())
     entities = near.groupBy("entity").agg(F.sum("n").alias("n_entity"))
     listed = near.select("entity", "around", "n", F.explode("terms").alias("term"))
-    # A term is in no fewer documents than it is near entities of any kind, which bounds its share
-    # from above and leaves out common words before any text is looked at again.
-    anywhere = listed.groupBy("term").agg(F.sum("n").alias("n_near"))
+    # A term is in no fewer documents than have it near an entity of any kind (each counts once),
+    # which bounds its share from above and leaves out common words before any text is read again.
+    unions = written.where(F.col("entity").isNull()).select("n", F.explode("terms").alias("term"))
+    anywhere = unions.groupBy("term").agg(F.sum("n").alias("n_near"))
     together = (
         listed.groupBy("entity", "term")
         .agg(F.sum("n").alias("n_both"), F.count_distinct("around").alias("contexts"))

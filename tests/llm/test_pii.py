@@ -104,6 +104,28 @@ def test_name_beside_three_entities_of_many_documents(spark, documents):
     assert all("<EMAIL>" in r.sanitised and "aword" in r.sanitised for r in out if r.doc_id == 0)
 
 
+def unlike(i, n):
+    """Words of a text that shares none with other numbers' texts."""
+    return " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[i]}x{'abcdefghij'[j // 10]}{'abcdefghij'[j % 10]}" for j in range(n))
+
+
+def test_fixed_signature_in_unrelated_texts(spark, documents):
+    rows = [(i, f"{unlike(i, 40)} kind regards Jane Doe jane@host.example") for i in range(20)]
+    rows += [(100 + i, "kind regards plain words of no one") for i in range(80)]
+    out = {r.doc_id: r.sanitised for r in pii.sanitise(documents(rows), Scratch(spark, "t")).collect()}
+    assert all(out[i].split()[-3:] == ["kind", "regards", "<EMAIL>"] for i in range(20))
+    assert all(out[i].startswith(unlike(i, 40)) and "regards" in out[100 + i] for i in range(20))
+
+
+def test_near_copies_reveal_nothing_but_surroundings_of_one_text_do(spark, documents):
+    near = [(i, f"{unlike(0, 80)} {unlike(i + 1, 1)} Jane jane@host.example") for i in range(12)]
+    one = " ".join(f"{unlike(20 + i, 30)} Zebulon zz@host.example" for i in range(3))
+    rows = [*near, (50, one), *[(100 + i, "plain words of no one") for i in range(80)]]
+    out = {r.doc_id: r.sanitised for r in pii.sanitise(documents(rows), Scratch(spark, "t")).collect()}
+    assert all("Jane <EMAIL>" in out[i] for i in range(12))
+    assert "Zebulon" not in out[50] and unlike(20, 30) in out[50]
+
+
 def test_digest(spark, documents):
     docs = documents([(1, "x a@b.cd y"), (2, None)])
     found = pii.sanitise(docs, Scratch(spark, "t"))

@@ -10,8 +10,10 @@ the whole corpus, with p counted in documents (one with an entity in two surroun
 
 and PMI / IC is the share of the entity's information that the term discloses (1: the term occurs
 with no other document). A term counts only when it stands near the entity in at least
-``least_contexts`` different surroundings (the three words on either side), so that copies of one
-text, and near copies with changes elsewhere, prove nothing. Terms that
+``least_contexts`` independent places. Near-duplicate texts (see ``near_duplicates``; the classes are
+made of the texts that hold entities in question) count as one, so that copies prove nothing, while
+a fixed phrase in unrelated texts does; a text counts as often as it has the term near the entity in
+different surroundings (the three words on either side), and a class as its richest text. Terms that
 disclose ``generalise_at`` or more become ``<TERM>``; at ``remove_at`` or more they are removed.
 Base spans become ``<EMAIL>`` and so on; where spans overlap, the first one's label stands for all.
 
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.frames import add_columns, text_of
+from threadlake.llm.near_duplicates import near_duplicates
 from threadlake.scratch import Scratch
 
 #: In the order that breaks ties between spans with one start.
@@ -181,9 +184,9 @@ def _row_key(text: str) -> Column:
 
 
 def _near(docs: DataFrame, text: str, settings: Settings) -> DataFrame:
-    """Terms near entities, with the number of documents: entity, around, terms, n.
+    """Terms near entities per text (key), with its number of documents: entity, around, terms, n.
 
-    Rows without an entity hold all terms that a document has near any entity, each once.
+    Rows without an entity hold all terms that a text has near any entity, each once.
     """
 
     def with_union(found: list[dict]) -> list[dict]:
@@ -195,15 +198,15 @@ def _near(docs: DataFrame, text: str, settings: Settings) -> DataFrame:
         return [pa.array(found, _CONTEXTS)]
 
     found = add_columns(
-        docs.select(text),
+        docs.select(text, F.unhex(_row_key(text)).alias("key")),
         collect,
         [text],
         "found array<struct<entity:string,around:bigint,terms:array<string>>>",
         (text,),
     )
     return (
-        found.select(F.inline("found"))
-        .groupBy("entity", "around", "terms")
+        found.select("key", F.inline("found"))
+        .groupBy("key", "entity", "around", "terms")
         .agg(F.count("*").alias("n"))
     )
 
@@ -224,6 +227,29 @@ def _terms(docs: DataFrame, text: str) -> DataFrame:
     return listed.select("key", F.explode("terms").alias("term"))
 
 
+def _evidence(
+    docs: DataFrame, text: str, near: DataFrame, together: DataFrame, scratch: Scratch
+) -> DataFrame:
+    """In how many independent places the terms stand near the entities of ``together``.
+
+    entity, term, contexts; further terms of these entities are listed, too.
+    """
+    near = near.join(together.select("entity").distinct(), "entity", "left_semi")
+    keyed = docs.select(F.unhex(_row_key(text)).alias("key"), F.col(text).alias("text"))
+    texts = keyed.join(near.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    texts = scratch.write(texts, "texts")
+    inner = Scratch(docs.sparkSession, "pii-classes")
+    classes = scratch.write(near_duplicates(texts, inner, "key", "text"), "classes")
+    inner.drop_all()
+    scratch.drop(texts)
+    in_text = near.join(classes, "key").select(
+        "entity", "class_id", "key", F.explode("terms").alias("term")
+    )
+    in_text = in_text.groupBy("entity", "term", "class_id", "key").agg(F.count("*").alias("n"))
+    in_class = in_text.groupBy("entity", "term", "class_id").agg(F.max("n").alias("n"))
+    return in_class.groupBy("entity", "term").agg(F.sum("n").alias("contexts"))
+
+
 def revealing_terms(
     docs: DataFrame, text: str, settings: Settings, scratch: Scratch
 ) -> DataFrame | None:
@@ -234,15 +260,16 @@ def revealing_terms(
     written = scratch.write(_near(docs, text, settings), "near")
     near = written.where(F.col("entity").isNotNull())
     entities = near.groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    listed = near.select("entity", "around", "n", F.explode("terms").alias("term"))
+    listed = near.select("entity", "n", F.explode("terms").alias("term"))
     # A term is in no fewer documents than have it near an entity of any kind (each counts once),
     # which bounds its share from above and leaves out common words before any text is read again.
     unions = written.where(F.col("entity").isNull()).select("n", F.explode("terms").alias("term"))
     anywhere = unions.groupBy("term").agg(F.sum("n").alias("n_near"))
     together = (
         listed.groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_both"), F.count_distinct("around").alias("contexts"))
-        .where(F.col("contexts") >= settings.least_contexts)
+        .agg(F.sum("n").alias("n_both"), F.count("*").alias("places"))
+        .where(F.col("places") >= settings.least_contexts)
+        .drop("places")
         .join(entities, "entity")
     )
     documents = F.lit(docs.count())
@@ -257,6 +284,12 @@ def revealing_terms(
         .drop("n_near"),
         "together",
     )
+    if together.isEmpty():
+        return None
+    proven = _evidence(docs, text, near, together, scratch)
+    proven = proven.where(F.col("contexts") >= settings.least_contexts).select("entity", "term")
+    together = scratch.write(together.join(proven, ["entity", "term"]), "proven")
+    scratch.drop(written)
     if together.isEmpty():
         return None
     matches = scratch.write(

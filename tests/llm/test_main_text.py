@@ -30,6 +30,23 @@ def test_container_without_article_and_its_siblings():
     assert main_text.main_text(html) == " ".join([PROSE.strip()] * 3)
 
 
+def test_names_and_forms_around_the_content_do_not_lose_it():
+    side = "<div class=sidebar><p>Side, bar, of the site</p></div>"
+    talk = f"<div id=comments><ol><li class=comment><article class=comment-body><p>{PROSE}{PROSE}</p></article></ol></div>"
+    for open_, close in (
+        ("<div class='site has-sidebar'>", "</div>"),
+        ("<div class='elementor-widget elementor-widget-theme-post-content'>", "</div>"),
+        ("<div id=no-sidebar><div class='post comments-open widget'>", "</div></div>"),
+        ("<form><input value=x><button>Go, now</button>", "</form>"),
+    ):
+        for content in (f"<article><p>{PROSE}</p></article>", f"<main><div class=widget><p>{PROSE}</p></div></main>", f"<div><p>{PROSE}</p></div>"):
+            for html in (page(f"{open_}{content}{side}{close}"), page(f"{side}{open_}{content}{close}")):
+                assert main_text.main_text(html) == PROSE.strip(), html
+    wrapped = f"<div class='site has-sidebar'><article><p>{PROSE}</p></article>{side}{talk}</div>"
+    assert main_text.main_text(page(wrapped)) == PROSE.strip()
+    assert main_text.main_text(page(f"<div><p>{PROSE}</p></div>{talk}")) == PROSE.strip()
+
+
 def test_text_straight_in_a_block_and_unusual_pages():
     assert main_text.main_text(page(f"<div>{PROSE}<br>{PROSE}</div>")) == (PROSE * 2).strip()
     assert main_text.main_text("just text &lt;x&gt; 1 < 2") == "just text <x> 1 < 2"

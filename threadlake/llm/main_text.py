@@ -2,7 +2,8 @@
 
 Markup is read into a tree of elements (unclosed and wrongly closed tags included). Subtrees that
 are never article text (menus, adverts, forms, comments and the like, by tag, role, class or id)
-are set aside. Every paragraph earns points for its length and commas; they go to the element that
+are set aside. What only a class, an id or a form tells is taken back where it holds most of the
+paragraph points, or the page's only article (see ``_take_back``). Every paragraph earns points for its length and commas; they go to the element that
 holds it in full, and up the tree halved at every level. An element's points are discounted by its
 link density. The best container is kept (the whole article, where it lies in one) with those of
 its siblings that score alike; blocks inside it that are mostly links are left out.
@@ -35,7 +36,7 @@ INLINE = frozenset(
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td h1 h2 h3 h4 h5 h6 figcaption".split())
 ASIDE = frozenset(
     "script style textarea title iframe noembed noframes xmp noscript template head nav aside "
-    "footer form button select option input menu dialog svg math canvas object audio video "
+    "footer button select option input menu dialog svg math canvas object audio video "
     "map datalist".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
@@ -48,6 +49,10 @@ NAMES = frozenset(
     "breadcrumbs pagination pager widget masthead toolbar tooltip skip".split()
 )
 HEADER = frozenset(["header"])
+#: Those of NAMES that hold long text which is not the article.
+TALK = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: With one of these, a name says something about the element ("comments-open"), not what it is.
+STATES = frozenset("has no with without open closed".split())
 
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
@@ -72,13 +77,14 @@ _SCOPES = frozenset("ul ol dl table body article section main div".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "block", "aside", "linked", "article", "own", "chars",
+    __slots__ = ("tag", "parent", "block", "aside", "named", "linked", "article", "own", "chars",
                  "commas", "links", "points", "kept")
 
     def __init__(self, tag: str, parent: _Element | None, aside: bool) -> None:
         self.tag, self.parent = tag, parent
         self.block = parent.block if parent is not None and tag in INLINE else self
         self.aside = aside or (parent is not None and parent.aside)
+        self.named = ""
         self.linked = tag == "a" or (parent is not None and parent.linked)
         self.article = self if tag in ("article", "main") else parent and parent.article
         self.own = self.chars = self.commas = self.links = 0
@@ -98,13 +104,27 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = set(_SPLIT.split(value.lower()))
-            if words & NAMES or (not in_article and words & HEADER):
-                return True
     return False
 
 
+def _named(tag: str, attributes: str, in_article: bool) -> str:
+    """Whether a class or id, or being a form, speaks against an element: "", "block" or "talk"."""
+    named = "block" if tag == "form" else ""
+    if len(attributes) < 3 or tag in ("html", "body", "article", "main"):
+        return named
+    for name, *values in _MARKS.findall(attributes):
+        if name.lower() in ("class", "id"):
+            value = next((v for v in values if v), "").lower()
+            words = set(_SPLIT.split(value))
+            if words & TALK:
+                parts = (set(_SPLIT.split(v)) for v in value.split())
+                if any(v & TALK and not v & STATES for v in parts):
+                    return "talk"
+            if words & NAMES or (not in_article and words & HEADER):
+                named = "block"
+    return named
+
+
 def _parse(html: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
     """Elements in page order, and the text pieces with their element; " " parts blocks."""
     root = _Element("html", None, False)
@@ -180,6 +200,7 @@ def _parse(html: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
             continue
         parent = stack[-1]
         element = _Element(tag, parent, _set_aside(tag, attributes, parent.article is not None))
+        element.named = _named(tag, attributes, parent.article is not None)
         elements.append(element)
         if tag in RAW:
             found = _RAW_END[tag].search(html, at)
@@ -197,10 +218,82 @@ def _density(element: _Element) -> float:
     return element.links / element.chars if element.chars else 0.0
 
 
+def _prose(chars: int, commas: int) -> float:
+    return commas + min(chars / 100, 3) + (chars >= 25)
+
+
+def _take_back(elements: list[_Element], pieces: list[tuple[_Element, str]]) -> None:
+    """Set elements aside by name, unless their paragraph points tell that they hold the content.
+
+    A named element stays when it has over twice the points of what else stays in its article or
+    main element, or on the page (if no article stays there); when it holds an article or main
+    element and none stays, a quarter of them is enough. Talk is looked at last and needs 20 times
+    the points. Outer elements come first.
+    """
+    if not any(e.named for e in elements):
+        return
+    counts: dict[_Element, list[int]] = {}  # per block: characters, those in links, commas
+    for element, text in pieces:
+        if text != " " and not element.aside:
+            count = counts.setdefault(element.block, [0, 0, 0])
+            chars = len(text) - text.count(" ")
+            count[0] += chars
+            count[1] += chars * element.linked
+            count[2] += text.count(",")
+    # Points under each named element (None: the page) with none nearer, and in its articles; sums
+    # with named elements inside, but talk; points in each article that no name in it holds.
+    near: dict[_Element, _Element | None] = {}
+    direct: dict[_Element | None, float] = {None: 0.0}
+    articles: dict[_Element | None, float] = {None: 0.0}
+    stays: dict[_Element, float] = {}
+    for element in elements:
+        parent = element.parent
+        near[element] = element if element.named else parent and near[parent]
+        chars, linked, commas = counts.get(element, (0, 0, 0))
+        points = _prose(chars, commas) * (1 - linked / chars) if chars else 0.0
+        name, article = near[element], element.article
+        direct[name] = direct.get(name, 0.0) + points
+        if article is not None:
+            articles[name] = articles.get(name, 0.0) + points
+            if near[article] is name:
+                stays[article] = stays.get(article, 0.0) + points
+    gain, holds = dict(direct), dict(articles)
+    named = [e for e in elements if e.named]
+    for element in reversed(named):
+        outer = near[element.parent]
+        if outer is not None and element.named != "talk":
+            gain[outer] += gain[element]
+            holds[outer] = holds.get(outer, 0.0) + holds.get(element, 0.0)
+    back: set[_Element | None] = {None}
+    page, in_articles = direct[None], articles[None]
+    for kind in ("block", "talk"):
+        for element in named:
+            article, points = element.article, gain[element]
+            if element.named != kind or near[element.parent] not in back or not points:
+                continue
+            rest = page if article is None else stays.get(article, 0.0)
+            much = points > (20 if kind == "talk" else 2) * rest
+            if article is None and holds.get(element) and kind != "talk":
+                much = much or (not in_articles and points * 4 >= rest)
+            elif article is None:
+                much = much and not in_articles
+            if much:
+                back.add(element)
+                page += direct[element]
+                in_articles += articles.get(element, 0.0)
+                if article is not None:
+                    stays[article] = stays.get(article, 0.0) + direct[element]
+    for element in elements:
+        parent = element.parent
+        gone = bool(element.named) and element not in back
+        element.aside = element.aside or gone or (parent is not None and parent.aside)
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     elements, pieces = _parse(html)
+    _take_back(elements, pieces)
     for element, text in pieces:
         if text != " " and not element.aside:
             chars = len(text) - text.count(" ")
@@ -212,7 +305,7 @@ def main_text(html: str | None) -> str:
                 block.links += chars
     for element in reversed(elements):  # children before parents
         parent, block = element.parent, element.block
-        points = element.commas + min(element.own / 100, 3) + (element.own >= 25)
+        points = _prose(element.own, element.commas)
         points *= 1 - _density(element)
         if block is not element or not element.own:
             pass

@@ -69,6 +69,18 @@ def test_whole_table(spark):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
+def test_repeated_rows_longer_than_a_bin(spark):
+    rows = [(7, 250, "s", "c", "x")] * 300 + [(None, 200, "s", None, None)] * 20
+    rows += [(None, 200, None, "s", None)] * 20
+    out = packing.pack(spark.createDataFrame(rows, SCHEMA), capacity=100, shard_documents=64).collect()
+    assert sum(r.length for r in out) == 300 * 250 + 40 * 200
+    assert len({r.bin_id for r in out}) == len(out) == 300 * 3 + 40 * 2
+    shards = defaultdict(int)
+    for r in out:
+        shards[r.bin_id.removeprefix("f-").split("-")[0]] += r.piece == 0
+    assert len(shards) == 6 and max(shards.values()) < 120
+
+
 def test_no_rows_and_clusters(spark, documents):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
     docs = documents([(1, "A b, C!"), (2, "a  B c"), (3, "abd"), (4, None), (5, "?!")])

@@ -12,8 +12,8 @@ one until it finds a compatible one, which is the tightest. A hot source fills a
 shard, not one task.
 
 A null source or cluster conflicts with nothing. Null sizes count as 0. Ties are broken by the
-order of (size, id, row), so equal input gives equal bins; repeated rows are packed as separate
-documents. An empty table gives an empty result.
+order of (size, id, row), so equal input gives equal bins; repeated rows are numbered and packed as
+separate documents, each with bins and a shard of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -121,6 +121,22 @@ def _whole_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _numbered(narrow: DataFrame) -> DataFrame:
+    """Every row, with its number among equal ones (_copy).
+
+    Equal rows are counted and dealt out again in two steps, so none of them meet in a sort or a
+    large array.
+    """
+    counted = narrow.groupBy(*narrow.columns).agg(F.count("*").alias("_n"))
+    blocks = counted.select(
+        "*", F.explode(F.expr(f"sequence(0L, (_n - 1) div {SHARD_DOCUMENTS})")).alias("_block")
+    )
+    first = f"_block * {SHARD_DOCUMENTS}"
+    last = f"least(_n, {first} + {SHARD_DOCUMENTS}) - 1"
+    copies = F.explode(F.expr(f"sequence({first}, {last})")).alias("_copy")
+    return blocks.select(*narrow.columns, copies)
+
+
 def pack(
     docs: DataFrame,
     id: str = "doc_id",
@@ -142,8 +158,10 @@ def pack(
         F.col(cluster).cast("string").alias("_cluster"),
     )
     shards = max(1, -(-narrow.count() // shard_documents))
-    key = F.xxhash64(F.col("_id"), "_size", "_source", "_cluster")
-    dealt = narrow.select(
+    # The hash passes over nulls, so it also takes which values are null.
+    values = ("_id", "_size", "_source", "_cluster", "_copy")
+    key = F.xxhash64(*values, *[F.col(c).isNull() for c in ("_id", "_source", "_cluster")])
+    dealt = _numbered(narrow).select(
         "*",
         (F.col("_size") % capacity).alias("_rest"),
         F.pmod(key, F.lit(shards)).alias("_shard"),

@@ -291,3 +291,14 @@ def test_month_folders(spark, tmp_path):
     run_backfill(store, archive(spark), ask(spark, 0, 60 * DAY), 5, ["arrival"])
     wrong = store.read("posts").where(F.col("created_month") != month_of_epoch("created_utc"))
     assert wrong.count() == 0
+
+
+def test_times_that_no_number_holds_are_set_aside(spark, tmp_path):
+    from threadlake.sources.archive import landed_archive
+
+    times = {"NaN": "no time", "Infinity": "no time", "1e33": "time out of range", "9e18": "time out of range",
+             "x": "no time", "-5": "time out of range", "1700000000.5": None, "1.7e9": None}
+    lines = [f'{{"id": "{i}", "subreddit": "s", "created_utc": "{t}"}}' for i, t in enumerate(times)]
+    (tmp_path / "landed.jsonl").write_text("\n".join(lines))
+    rows = landed_archive(spark, str(tmp_path / "landed.jsonl"), "comments").collect()
+    assert {r.id: r.problem for r in rows} == {str(i): p for i, p in enumerate(times.values())}

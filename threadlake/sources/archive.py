@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import int_or_zero, month_of_epoch
+from threadlake.functions.numbers import to_bigint
 from threadlake.functions.times import MAX_EPOCH
 
 # Order in which landed lines arrived: file by file, then along the file.
@@ -61,19 +62,24 @@ def landed_archive(spark: SparkSession, path: str, kind: str) -> DataFrame:
         "kind",
         F.coalesce(F.nullif(F.col("_r.subreddit"), F.lit("")), "_folder").alias("subreddit"),
         int_or_zero("_r.created_utc").alias("created_utc"),
+        to_bigint("_r.created_utc").isNull().alias("_unread"),
         F.col("_r.created_utc").try_cast("double").alias("_time"),
         F.col("_r.id").alias("id"),
         "value",
         *ARRIVAL,
     )
-    no_time = F.col("_time").isNull()
+    # Infinite and NaN times are none; finite ones beyond BIGINT are out of range.
+    finite = F.coalesce(F.abs("_time") < float("inf"), F.lit(False))
+    no_time = F.col("_unread") & ~finite
     problem = (
         F.when(no_time & F.get_json_object("value", "$").isNull(), "no json")
         .when(no_time, "no time")
-        .when(~F.col("created_utc").between(0, MAX_EPOCH - 1), "time out of range")
+        .when(
+            F.col("_unread") | ~F.col("created_utc").between(0, MAX_EPOCH - 1), "time out of range"
+        )
         .when(F.coalesce("subreddit", F.lit("")) == "", "no community")
     )
-    return records.withColumn("problem", problem).drop("_time")
+    return records.withColumn("problem", problem).drop("_unread", "_time")
 
 
 def spread(records: DataFrame) -> DataFrame:

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import chat, language, main_text, near_duplicates, packing, piece_lattice, pii, quality, threshold_search, warc
+from threadlake.llm import (
+    chat,
+    fill_middle,
+    language,
+    main_text,
+    near_duplicates,
+    packing,
+    piece_lattice,
+    pii,
+    quality,
+    threshold_search,
+    warc,
+)
 from threadlake.llm.frames import table
 from threadlake.scratch import Scratch
 
@@ -86,3 +98,18 @@ def op10_information_sanitising(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pii.sanitise(docs, Scratch(spark, "pii"), keep_text=False)
     return found.select("doc_id", *pii.digest(found))
+
+
+def op13_repeated_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut between lines into prefix, middle and suffix, and rebuilt."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = fill_middle.rearrange(docs)
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(), 256).alias("restored_sha256"),
+    )

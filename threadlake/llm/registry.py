@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from threadlake.llm import chat, queries, threshold_search
+from threadlake.llm import chat, fill_middle, queries, threshold_search
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recurrent_language_id": queries.op1_recurrent_language_id,
@@ -20,10 +20,12 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_threshold_algorithm": queries.op8_threshold_algorithm,
     "op9_conflict_packing": queries.op9_conflict_packing,
     "op10_information_sanitising": queries.op10_information_sanitising,
+    "op13_repeated_captures": queries.op13_repeated_captures,
     "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLE: dict[str, str] = {
     "op2_perspective_rotation": chat.SQL,
     "op8_threshold_algorithm": threshold_search.SQL,
+    "op13_repeated_captures": fill_middle.SQL,
 }

@@ -16,6 +16,7 @@ from threadlake.llm import (
     pii,
     quality,
     threshold_search,
+    turn_repair,
     warc,
 )
 from threadlake.llm.frames import table
@@ -100,6 +101,13 @@ def op10_information_sanitising(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *pii.digest(found))
 
 
+def op12_block_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation damaged by rule, then repaired at least cost."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = turn_repair.repair(turn_repair.damage(turns), Scratch(spark, "turn-repair"))
+    return turn_repair.digest(*repaired, turns)
+
+
 def op13_repeated_captures(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut between lines into prefix, middle and suffix, and rebuilt."""
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -18,6 +18,7 @@ from threadlake.llm import (
     threshold_search,
     turn_repair,
     warc,
+    word_model,
 )
 from threadlake.llm.frames import table
 from threadlake.scratch import Scratch
@@ -101,6 +102,13 @@ def op10_information_sanitising(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *pii.digest(found))
 
 
+def op11_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under the restaurant model of six in seven of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    learns = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return word_model.score(docs, learns, Scratch(spark, "word-model"))
+
+
 def op12_block_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation damaged by rule, then repaired at least cost."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")

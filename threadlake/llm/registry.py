@@ -20,6 +20,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_threshold_algorithm": queries.op8_threshold_algorithm,
     "op9_conflict_packing": queries.op9_conflict_packing,
     "op10_information_sanitising": queries.op10_information_sanitising,
+    "op11_pitman_yor": queries.op11_pitman_yor,
     "op12_block_repair": queries.op12_block_repair,
     "op13_repeated_captures": queries.op13_repeated_captures,
     "pipeline": corpus_pipeline.run,

@@ -32,6 +32,7 @@ from threadlake.llm.frames import text_of
 
 SHARD_DOCUMENTS = 4096
 CAPACITY = 2048
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def cluster_of(text: str | Column) -> Column:
@@ -41,9 +42,12 @@ def cluster_of(text: str | Column) -> Column:
 
 
 def with_sizes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns ``pack`` reads: id, source, size in words, and duplicate cluster."""
-    trimmed = F.trim(text_of(text))
-    words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    """The columns ``pack`` reads: id, source, size in words, and duplicate cluster.
+
+    Words are runs of other characters than the six ASCII blanks; a text of blanks only has none.
+    """
+    trimmed = F.btrim(text_of(text), F.lit(_BLANKS))
+    words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     return docs.select(
         F.col(id), "source", words.cast("bigint").alias("size"), cluster_of(text).alias("cluster")
     )

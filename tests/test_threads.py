@@ -2,10 +2,12 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadlake.operators.threads import (
     build_forest,
     link_parents,
+    resolve,
     sibling_rank,
     thread_json,
     thread_totals,
@@ -15,7 +17,7 @@ from threadlake.scratch import write_table
 
 LAYOUT = "subreddit string, link_id string, id string, parent_id string, created_utc bigint, archive_json string"
 HOT = [1_000_000, 4]
-DEPTHS = [512, 2]
+SPACINGS = [64, 2]
 
 
 def record(i, parent, t, **more):
@@ -137,13 +139,12 @@ def random_rows(seed):
 
 
 @pytest.mark.parametrize("hot_rows", HOT)
-@pytest.mark.parametrize("max_path", DEPTHS)
+@pytest.mark.parametrize("spacing", SPACINGS)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_random_trees(spark, seed, hot_rows, max_path):
+def test_random_trees(spark, seed, hot_rows, spacing):
     rows = random_rows(seed)
     df = comments(spark, rows)
-    forest = build_forest(df, hot_rows=hot_rows, max_path=max_path)
-    forest = forest._replace(placed=write_table(forest.placed, "placed"))
+    forest = build_forest(df, hot_rows=hot_rows, spacing=spacing)
     expected = brute_force(rows)
     for block_nodes in (10_000, 7, 1):
         got = {k: shape(v["tree"]) for k, v in lines(df, forest, block_nodes).items()}
@@ -154,8 +155,12 @@ def test_random_trees(spark, seed, hot_rows, max_path):
         assert [p for p, _ in mine] == list(range(1, len(mine) + 1))
         assert all(d2 <= d1 + 1 for (_, d1), (_, d2) in zip(mine, mine[1:]))
     assert len(placed) + forest.unplaced.count() == len(rows)
-    total = thread_totals(forest).where("is_overall = 1").first()
-    assert (total.posts_with_threads, total.comments_total, total.comments_in_tree) == (4, len(rows), len(placed))
+    resolved = resolve(df, hot_rows)
+    for found in (forest, resolved):
+        total = thread_totals(found).where("is_overall = 1").first()
+        assert (total.posts_with_threads, total.comments_total, total.comments_in_tree) == (4, len(rows), len(placed))
+    loose = [sorted(r.id for r in f.unplaced.collect()) for f in (forest, resolved)]
+    assert loose[0] == loose[1]
 
 
 def test_one_post_with_most_comments_is_split(spark):
@@ -177,15 +182,27 @@ def test_one_post_with_most_comments_is_split(spark):
     assert lines(df, hot, 50, hot_rows=100) == lines(df, cold)
 
 
-def test_long_chain(spark):
-    """Deeper than any path is carried."""
-    df = spark.range(3000).selectExpr(
+def test_a_long_chain_and_a_flat_post(spark):
+    """Both ways of being long are ordered by the same steps."""
+    df = spark.range(5000).selectExpr(
         "'s' as subreddit", "'t3_p' as link_id", "cast(id as string) as id",
         "if(id = 0, 't3_p', concat('t1_', id - 1)) as parent_id", "id as created_utc",
         "concat('{\"id\": \"', id, '\"}') as archive_json",
     )
     placed = build_forest(df).placed.orderBy("pos").collect()
-    assert [(r.id, r.depth, r.pos, r.root_id) for r in placed] == [(str(i), i, i + 1, "0") for i in range(3000)]
+    assert [(r.id, r.depth, r.pos, r.root_id) for r in placed] == [(str(i), i, i + 1, "0") for i in range(5000)]
+
+
+    flat = df.withColumn("parent_id", F.lit("t3_p")).withColumn("created_utc", -F.col("created_utc"))
+    placed = build_forest(flat).placed.orderBy("pos").collect()
+    assert [(r.id, r.depth, r.pos, r.root_id) for r in placed] == [(str(4999 - i), 0, i + 1, str(4999 - i)) for i in range(5000)]
+
+
+def test_one_thread_whatever_the_spelling(spark):
+    df = comments(spark, [("a", "t3_p", 1, "t3_p"), ("b", "t1_a", 2, "t3_p"), ("c", "t1_b", 3, "t3_p")])
+    df = df.withColumn("subreddit", F.when(F.col("id") == "b", "Pics").otherwise("pics"))
+    assert trees(df) == {("pics", "t3_p"): [("a", [("b", [("c", [])])])]}
+    assert thread_totals(resolve(df)).where("is_overall = 0").collect()[0].posts_with_threads == 1
 
 
 def test_sibling_rank(spark):

@@ -1,7 +1,8 @@
 """Column functions: every scalar rule of the engine as a native Spark expression."""
 
-from .html import tag_attribute
+from .html import attribute_of, opening_tags, tag_attribute, with_attributes
 from .json_text import drop_json_field, json_default, json_quote
+from .lines import line_problem
 from .names import parent_kind, split_list, strip_fullname
 from .numbers import CountText, int_or_zero, parse_count, to_bigint, truthy
 from .times import (
@@ -16,13 +17,16 @@ from .times import (
 __all__ = [
     "ARCHIVE_EPOCH",
     "CountText",
+    "attribute_of",
     "drop_json_field",
     "epoch_date",
     "epoch_of_ntz",
     "int_or_zero",
     "json_default",
     "json_quote",
+    "line_problem",
     "month_of_epoch",
+    "opening_tags",
     "parent_kind",
     "parse_count",
     "parse_timespec",
@@ -32,4 +36,5 @@ __all__ = [
     "to_bigint",
     "truthy",
     "window_days",
+    "with_attributes",
 ]

@@ -1,4 +1,4 @@
-"""JSON kept as text: lookups with defaults, quoting, and removing one field."""
+"""JSON kept as text: lookups with defaults, quoting, and cutting out one field."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ._columns import as_column, as_literal
 
+# A JSON text as a row of tokens that leaves nothing out: strings, brackets, marks, blanks, the rest.
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|\s++|[^\s"\[\]{}:,]++|"'
+
 
 def json_default(doc: Column | str, path: str, default) -> Column:
     """Value at a dotted path; the default when a step is missing or no object.
@@ -27,14 +30,69 @@ def json_quote(text: Column | str) -> Column:
     return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
+def _field_places(doc: Column, field: str) -> Column:
+    """Where a field of the outermost object begins and ends: (start, end) pairs of characters.
+
+    A pass over the tokens that remembers the depth, the last comma at depth 1, whether a key is
+    due, and where the field in hand began. The field goes with the comma before it or, if it is
+    the first one, with the comma behind it and the blanks that follow.
+    """
+    state = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(0).alias("depth"),
+        F.lit(-1).alias("comma"),
+        F.lit(False).alias("key_due"),
+        F.lit(-1).alias("start"),
+        F.lit(False).alias("trims"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("found"),
+    )
+
+    def step(s: Column, token: Column) -> Column:
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        outer = s["depth"] == 1
+        comma, blank = outer & (token == ","), F.trim(token, F.lit(" \t\r\n")) == ""
+        ends = outer & ((token == ",") | (token == "}")) & (s["start"] >= 0) & ~s["trims"]
+        first = s["comma"] < 0
+        begins = outer & s["key_due"] & (token == f'"{field}"')
+        # The first field also takes the comma behind it and the blanks after that.
+        trims = ends & first & (token == ",")
+        trimmed = s["trims"] & ~blank
+        cut = F.when(
+            ends & ~trims, F.struct(s["start"].alias("start"), s["at"].alias("end"))
+        ).when(trimmed, F.struct(s["start"].alias("start"), s["at"].alias("end")))
+        start = F.when(ends & ~trims, -1).when(trimmed, -1).otherwise(s["start"])
+        return F.struct(
+            (s["at"] + F.length(token)).alias("at"),
+            (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(comma & ~trims, s["at"]).otherwise(s["comma"]).alias("comma"),
+            F.when((opens & (s["depth"] == 0)) | comma, F.lit(True))
+            .when(blank, s["key_due"])
+            .otherwise(F.lit(False))
+            .alias("key_due"),
+            F.when(begins, F.when(first, s["at"]).otherwise(s["comma"])).otherwise(start).alias("start"),
+            F.when(trims, F.lit(True)).when(trimmed, F.lit(False)).otherwise(s["trims"]).alias("trims"),
+            F.when(cut.isNotNull(), F.concat(s["found"], F.array(cut))).otherwise(s["found"]).alias("found"),
+        )
+
+    tokens = F.regexp_extract_all(doc, F.lit(_TOKENS), F.lit(0))
+    return F.aggregate(tokens, state, step, lambda s: s["found"])
+
+
 def drop_json_field(doc: Column | str, field: str) -> Column:
-    """The same object without one top-level field.
+    """The same text without one field of the outermost object; every other character stays.
 
-    Documents that do not mention the field keep their exact text.
+    A key is found as it is usually written: spelled with escapes it is another one. Documents that
+    do not mention the field are not scanned.
     """
     doc = as_column(doc)
-    fields = F.from_json(doc, "map<string,variant>")
-    rest = F.to_json(F.map_filter(fields, lambda k, _: k != field))
-    # Nested, not AND: Spark would hoist a parse shared by both sides of an AND to every row.
-    checked = F.when(F.map_contains_key(fields, field), rest).otherwise(doc)
-    return F.when(doc.contains(f'"{field}"'), checked).otherwise(doc)
+    places = _field_places(doc, field)
+    end = F.struct(F.length(doc).alias("start"), F.lit(0).alias("end"))
+    kept = F.aggregate(
+        F.concat(places, F.array(end)),
+        F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
+        lambda s, p: F.struct(
+            F.concat(s["text"], doc.substr(s["at"] + 1, p["start"] - s["at"])).alias("text"), p["end"].alias("at")
+        ),
+        lambda s: s["text"],
+    )
+    return F.when(doc.contains(f'"{field}"'), kept).otherwise(doc)

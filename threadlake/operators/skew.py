@@ -1,9 +1,15 @@
-"""Ranking and lookup that stay balanced when one key holds a large share of all rows.
+"""Ranking, neighbours and lookup that stay balanced when one key holds a large share of all rows.
 
-Both count rows per key first (partial aggregation on the map side) and treat the keys above
-``hot_rows`` apart. There can be at most ``rows / threshold`` such keys, and the threshold
-rises with the table so that this never passes MAX_HOT_KEYS: the hot key table is the only
-thing broadcast, and its size is bounded whatever the data looks like.
+All count rows per key first (partial aggregation on the map side) and treat the keys above
+``hot_rows``, at any table size the same number, apart. Their rows are not brought together:
+
+* with at most MAX_HOT_KEYS such keys, the table of these keys is broadcast to tell their rows from
+  the others, and only they are dealt by ranges;
+* with more, all rows are dealt by ranges.
+
+Dealt by ranges means range partitioned by the key and what orders its rows: a key spreads over as many
+tasks as it needs, and one task's part of a key is a group of its own. What the parts have to know
+of each other is one row per part.
 """
 
 from __future__ import annotations
@@ -36,21 +42,25 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def hot_keys(
     df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, rows: int | None = None
 ) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None.
+    """Keys with more than ``hot_rows`` rows, written, or None.
 
     ``df`` should be a written table; ``rows`` is its row count where that is known.
     """
     total = df.count() if rows is None else rows
     if total <= hot_rows:
         return None
-    threshold = max(hot_rows, total // MAX_HOT_KEYS)
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = write_table(counted.where(F.col("_n") > threshold).select(*keys), "hot-keys")
+    hot = write_table(counted.where(F.col("_n") > hot_rows).select(*keys), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
-def split_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys, and rows of hot keys."""
+def split_hot(
+    df: DataFrame, hot: DataFrame, keys: list[str], most: int | None = None
+) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of ordinary keys, and rows of hot keys; (None, all rows) if there are too many hot keys
+    to tell them apart by a broadcast."""
+    if hot.count() > (MAX_HOT_KEYS if most is None else most):
+        return None, df
     marked = F.broadcast(hot)
     return (
         _join_null_safe(df, marked, keys, "left_anti"),
@@ -58,6 +68,19 @@ def split_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame
     )
 
 
+def _dealt_by_ranges(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_place``, its row's place in the order of (group, order), and ``_range``, the
+    part it lies in; written, as places must not change."""
+    keys = [*group, *order]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_table(
+        df.repartitionByRange(ranges, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "ranges",
+    ).withColumn("_range", F.shiftright("_place", _PARTITION_BITS))
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -68,16 +91,22 @@ def lookup(
 ) -> DataFrame:
     """Join ``left`` to ``right``, where ``right`` has at most one row per (non-null) key.
 
-    Rows of hot keys are not shuffled on the key: the right rows of those keys are few.
+    A hot key's row of ``right`` is looked up once for each part the key is dealt to.
     """
     hot = hot_keys(left, keys, hot_rows, rows)
     if hot is None:
         return left.join(right, keys, how)
-    cold_left, hot_left = split_hot(left, hot, keys)
-    hot_right = _join_null_safe(right, F.broadcast(hot), keys, "left_semi")
-    return cold_left.join(right, keys, how).unionByName(
-        hot_left.join(F.broadcast(hot_right), keys, how)
-    )
+    cold, warm = split_hot(left, hot, keys)
+    joined = _lookup_by_ranges(warm, right, keys, how)
+    return joined if cold is None else cold.join(right, keys, how).unionByName(joined)
+
+
+def _lookup_by_ranges(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    numbered = left.withColumn("_row", F.monotonically_increasing_id())  # splits equal keys
+    dealt = _dealt_by_ranges(numbered, keys, ["_row"])
+    asked = dealt.select(*keys, "_range").distinct().join(right, keys)
+    joined = dealt.join(asked, [*keys, "_range"], how)
+    return joined.select(*keys, *[c for c in [*left.columns, *right.columns] if c not in keys])
 
 
 def rank_in_groups(
@@ -89,29 +118,22 @@ def rank_in_groups(
 ) -> DataFrame:
     """``row_number()`` per group (1, 2, ...); ``order`` must be unique inside a group.
 
-    Ordinary groups use a window. Hot groups are range partitioned by (group, order), so one
-    group spreads over many tasks; each row's rank is then its place in its range plus the
-    counts of the earlier ranges of its group. ``df`` should be a written table.
+    Ordinary groups use a window. A hot group's row has its place in its part, plus the counts of
+    the group's earlier parts. ``df`` should be a written table.
     """
     window = Window.partitionBy(*group).orderBy(*order)
     hot = hot_keys(df, group, hot_rows)
     if hot is None:
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     cold, warm = split_hot(df, hot, group)
-    return cold.withColumn(out, F.row_number().over(window).cast("bigint")).unionByName(
-        _rank_by_ranges(warm, group, order, out)
-    )
+    ranked = _rank_by_ranges(warm, group, order, out)
+    if cold is None:
+        return ranked
+    return cold.withColumn(out, F.row_number().over(window).cast("bigint")).unionByName(ranked)
 
 
 def _rank_by_ranges(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
-    keys = [*group, *order]
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = write_table(
-        df.repartitionByRange(ranges, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_place", F.monotonically_increasing_id()),
-        "ranges",
-    ).withColumn("_range", F.shiftright("_place", _PARTITION_BITS))
+    placed = _dealt_by_ranges(df, group, order)
     runs = placed.groupBy(*group, "_range").agg(
         F.count("*").alias("_n"), F.min("_place").alias("_first")
     )
@@ -125,3 +147,46 @@ def _rank_by_ranges(df: DataFrame, group: list[str], order: list[str], out: str)
     joined = _join_null_safe(placed, runs, [*group, "_range"], "inner")
     rank = F.col("_before") + F.col("_place") - F.col("_first") + 1
     return joined.select(*df.columns, rank.cast("bigint").alias(out))
+
+
+def neighbours_in_groups(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    value: str,
+    hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
+) -> DataFrame:
+    """``df`` with ``_before``, the value of the row before in its group (NULL for the first), and
+    ``_is_last``. ``value`` is never NULL; ``order`` must be unique inside a group.
+
+    The first and last row of a hot group's part look beyond it by one row per part. ``df`` should
+    be a written table.
+    """
+
+    def marked(rows: DataFrame, *keys: str) -> DataFrame:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn("_before", F.lag(value).over(window)).withColumn(
+            "_is_last", F.lead(value).over(window).isNull()
+        )
+
+    hot = hot_keys(df, group, hot_rows, rows)
+    if hot is None:
+        return marked(df, *group)
+    cold, warm = split_hot(df, hot, group)
+    dealt = _dealt_by_ranges(warm, group, order)
+    runs = dealt.groupBy(*group, "_range").agg(F.max_by(value, "_place").alias("_end"))
+    by_range = Window.partitionBy(*group).orderBy("_range")
+    runs = runs.select(
+        *group,
+        "_range",
+        F.lag("_end").over(by_range).alias("_end_before"),
+        F.lead("_end").over(by_range).isNull().alias("_ends_group"),
+    )
+    inside = _join_null_safe(marked(dealt, *group, "_range"), runs, [*group, "_range"], "inner")
+    inside = inside.select(
+        *df.columns,
+        F.coalesce("_before", "_end_before").alias("_before"),
+        (F.col("_is_last") & F.col("_ends_group")).alias("_is_last"),
+    )
+    return inside if cold is None else marked(cold, *group).unionByName(inside)

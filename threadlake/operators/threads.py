@@ -1,17 +1,26 @@
 """Reply trees from flat comments.
 
-Joins run on (community, post, comment id), never on the post alone, so a post that holds a
-large share of all comments spreads over many tasks:
+Joins run on a comment's number, never on the post alone, so a post that holds a large share of all
+comments spreads over many tasks; keys that many rows share (a comment with very many replies) are
+dealt by ``skew``.
 
 1. ``link_parents``: a reply finds its parent inside its post; without one it is a root.
-2. ``build_forest``: depth and root by pointer jumping. Every round doubles the distance each
-   open reply looks up, so depth d takes log2(d) rounds over a shrinking set. A round that
-   resolves nothing means only cycles, and replies below them, are left: these are unplaced.
-3. Order: the path of (created_utc, id) from the root sorts a tree in reading order. Paths are
-   only carried for trees up to ``max_path`` levels; deeper posts are ordered by walking the
-   tree as a linked list (``_walk_order``), whose cost does not grow with depth.
+2. ``resolve``: which comments a root leads to. Open replies jump over one another, the distance
+   doubling every round; a reply whose target is not open has been led to. Only open replies are
+   looked at, so what is left when a round frees none are cycles and what hangs below them.
+3. ``build_forest``: order, depth and root by one walk. The walk enters and leaves every comment
+   once; each of its steps knows the step before it. Sums along the walk back to its start (comments
+   entered; entered less left; nearest top comment) are place, depth and root. They are found by
+   list ranking: about one step in ``SPACING`` is a splitter, picked by a hash; every step jumps, in
+   doubling distances, until it meets a splitter or the start; then the splitters, which are few, do
+   the same among themselves, and each step adds what its splitter has found. Neither trees of any
+   depth nor flat posts of any size are treated in a way of their own, and nothing but numbers and
+   the id of the top comment is carried along.
 4. ``thread_json``: one text fragment per comment, whatever the size of its post. A post's
    fragments in order, with blanks between them, are its line; the sink only streams them.
+
+Communities match whatever their case: a post's comments are one thread however they spell it, and
+results name the community in lower case.
 """
 
 from __future__ import annotations
@@ -25,135 +34,203 @@ from pyspark.sql.window import Window
 
 from threadlake.functions import drop_json_field, json_quote, parent_kind, strip_fullname
 from threadlake.functions.names import COMMENT_KIND
-from threadlake.scratch import write_counted, write_table
+from threadlake.scratch import Scratch
 
-from .skew import HOT_ROWS, lookup, rank_in_groups
+from .skew import HOT_ROWS, lookup, neighbours_in_groups, rank_in_groups
 
 # Keys run from many values to few: sorts compare the first key first, and a community name decides
 # next to nothing.
 POST = ["link_id", "subreddit"]
-MAX_PATH = 64
+SPACING = 64  # steps of a walk between splitters, on average; results do not depend on it
 BLOCK_NODES = 10_000  # comments whose neighbours are found in one window; results do not depend on it
 
 
 class Forest(NamedTuple):
     """``placed``: subreddit, link_id, id, parent, root_id, depth, pos (1.. in reading order).
-    ``unplaced``: subreddit, link_id, id, parent of comments no root leads to."""
+    ``unplaced``: subreddit, link_id, id, parent of comments no root leads to. Both are written, in
+    ``scratch``. From ``resolve``, ``placed`` has no root, depth and place."""
 
     placed: DataFrame
     unplaced: DataFrame
+    scratch: Scratch
 
 
-def in_threads(comments: DataFrame) -> DataFrame:
-    """Comments that name a post."""
-    return comments.where(F.coalesce(strip_fullname("link_id"), F.lit("")) != "")
+def _community() -> Column:
+    return F.lower("subreddit").alias("subreddit")
 
 
-def link_parents(comments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each comment with the id of its ``parent`` (NULL for roots) and ``is_orphan``.
+def in_threads(comments: DataFrame) -> DataFrame:
+    """Comments that name a post, their community folded."""
+    named = comments.where(F.coalesce(strip_fullname("link_id"), F.lit("")) != "")
+    return named.withColumn("subreddit", F.lower("subreddit"))
 
-    ``comments`` is a stored or written table with unique ids; only its key columns are read.
-    """
+
+def _linked(comments: DataFrame, scratch: Scratch, hot_rows: int) -> tuple[DataFrame, int]:
+    """Numbered comments (POST, id, created_utc, node), the node and id of their parent (NULL for
+    roots) and ``is_orphan``, written; and their number."""
     named = F.when(parent_kind("parent_id") == COMMENT_KIND, strip_fullname("parent_id"))
     nodes = in_threads(comments).select(
         *POST,
         "id",
         F.coalesce("created_utc", F.lit(0)).cast("bigint").alias("created_utc"),
         named.alias("_named"),
+        F.monotonically_increasing_id().alias("node"),
     )
-    keys = ["_named", *POST]
-    known = nodes.select(*POST, F.col("id").alias("_named"), F.lit(True).alias("_found"))
+    nodes, n_replies = scratch.write_counted(nodes, "nodes", F.col("_named").isNotNull())
+    known = nodes.select(*POST, F.col("id").alias("_named"), F.col("node").alias("_parent"))
     replies = nodes.where(F.col("_named").isNotNull())
-    # All comments bound the number of replies, and are counted from the file footers.
-    linked = lookup(replies, known, keys, "left", hot_rows, rows=comments.count())
+    linked = lookup(replies, known, ["_named", *POST], "left", hot_rows, n_replies)
     # Roots have no key to look up: shuffled with the rest they would all meet in one task.
-    tops = nodes.where(F.col("_named").isNull()).withColumn("_found", F.lit(None).cast("boolean"))
-    return tops.unionByName(linked).select(
-        *POST,
-        "id",
-        "created_utc",
-        F.when(F.col("_found"), F.col("_named")).alias("parent"),
-        (F.col("_named").isNotNull() & F.col("_found").isNull()).alias("is_orphan"),
+    tops = nodes.where(F.col("_named").isNull()).withColumn("_parent", F.lit(None).cast("bigint"))
+    columns = [*POST, "id", "created_utc", "node"]
+    linked = tops.unionByName(linked).select(
+        *columns,
+        F.col("_parent").alias("parent_node"),
+        F.when(F.col("_parent").isNotNull(), F.col("_named")).alias("parent"),
+        (F.col("_named").isNotNull() & F.col("_parent").isNull()).alias("is_orphan"),
     )
+    return scratch.write_counted(linked, "linked", F.col("parent_node").isNotNull())
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
+def link_parents(comments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Each comment with the id of its ``parent`` (NULL for roots) and ``is_orphan``.
 
-def build_forest(
-    comments: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH
-) -> Forest:
-    is_root = F.col("parent").isNull()
-    linked, open_rows = write_counted(
-        link_parents(comments, hot_rows).drop("is_orphan"), "linked", ~is_root
+    ``comments`` has unique ids; only its key columns are read.
+    """
+    linked, _ = _linked(comments, Scratch(comments.sparkSession, "links"), hot_rows)
+    return linked.drop("node", "parent_node")
+
+
+def _open_replies(linked: DataFrame, replies: int, scratch: Scratch, hot_rows: int) -> DataFrame:
+    """Nodes that no root leads to."""
+    live = linked.where(F.col("parent_node").isNotNull()).select("node", F.col("parent_node").alias("ahead"))
+    n, written = replies, None
+    while n:
+        targets = live.select(F.col("node").alias("ahead"), F.col("ahead").alias("_beyond"))
+        step = lookup(live, targets, ["ahead"], "inner", hot_rows, n).select("node", F.col("_beyond").alias("ahead"))
+        step, left = scratch.write_counted(step, "open", F.lit(True))
+        if written is not None:
+            scratch.drop(written)
+        live = written = step
+        if left == n:
+            break
+        n = left
+    return live.select("node")
+
+
+def resolve(comments: DataFrame, hot_rows: int = HOT_ROWS) -> Forest:
+    """Which comments are in a tree, without their order."""
+    scratch = Scratch(comments.sparkSession, "threads")
+    linked, replies = _linked(comments, scratch, hot_rows)
+    loose = _open_replies(linked, replies, scratch, hot_rows)
+    columns = [*POST, "id", "parent"]
+    placed = linked.join(loose, "node", "left_anti").select(*columns)
+    return Forest(placed, linked.join(loose, "node", "left_semi").select(*columns), scratch)
+
+
+def build_forest(comments: DataFrame, hot_rows: int = HOT_ROWS, spacing: int = SPACING) -> Forest:
+    scratch = Scratch(comments.sparkSession, "threads")
+    linked, _ = _linked(comments, scratch, hot_rows)
+    steps = scratch.write(_walk(linked, scratch, hot_rows), "steps")
+    ranked = _ranked(steps, scratch, spacing)
+    entered = ranked.where(F.col("at") % 2 == 0).select(
+        F.call_function("div", F.col("at"), F.lit(2).cast("bigint")).alias("node"),
+        F.col("entered").alias("pos"),
+        (F.col("level") - 1).cast("int").alias("depth"),
+        F.col("top").alias("root_id"),
     )
-    state = linked.select(
-        "*",
-        F.col("parent").alias("ptr"),
-        F.when(is_root, F.col("id")).alias("root_id"),
-        F.when(is_root, 0).alias("depth"),
-        F.when(is_root, 0).otherwise(1).alias("dist"),
-        F.array(F.struct("created_utc", "id")).alias("path"),
+    placed = linked.join(entered, "node").select(*POST, "id", "parent", "root_id", "depth", "pos")
+    placed = scratch.write(placed, "placed")
+    loose = linked.join(entered.select("node"), "node", "left_anti").select(*POST, "id", "parent")
+    loose = scratch.write(loose, "unplaced")
+    return Forest(placed, loose, scratch)
+
+
+def _walk(linked: DataFrame, scratch: Scratch, hot_rows: int) -> DataFrame:
+    """Steps of the walk: ``at`` is 2 * node for entering a comment, 2 * node + 1 for leaving it;
+    ``to`` is the step before (NULL at the start of a post), and what this step itself adds to the
+    sums."""
+    family = ["parent_node", *POST]
+    kin = linked.select(*family, "node", "id", "created_utc")
+    kin = scratch.write(
+        neighbours_in_groups(kin, family, ["created_utc", "id"], "node", hot_rows, rows=linked.count()).select(
+            "node", "parent_node", "_before", "_is_last", "id"
+        ),
+        "kin",
     )
-    is_open = F.col("root_id").isNull()
-    done, live, reach = [state.where(is_root)], state.where(~is_root), 1
-    while open_rows:
-        step = _jump(live, open_rows, done, hot_rows, carry_path=reach < max_path)
-        step, left = write_counted(step, "jump", is_open)
-        done.append(step.where(~is_open))
-        live, reach = step.where(is_open), reach * 2
-        if left == open_rows:
-            break
-        open_rows = left
-
-    columns = [*POST, "id", "parent", "created_utc", "root_id", "depth", "path"]
-    resolved = _union([part.select(*columns) for part in done])
-    placed = _in_reading_order(resolved, hot_rows, deep=reach > max_path)
-    return Forest(placed, live.select(*POST, "id", "parent"))
+    last_replies = kin.where(F.col("_is_last") & F.col("parent_node").isNotNull()).select(
+        F.col("parent_node").alias("node"), F.col("node").alias("_reply")
+    )
+    both = kin.join(last_replies, "node", "left")
+    enter, leave = F.col("node") * 2, F.col("node") * 2 + 1
+    one, top = F.lit(1).cast("bigint"), F.when(F.col("parent_node").isNull(), F.col("id"))
+    steps = F.array(
+        F.struct(
+            enter.alias("at"),
+            F.coalesce(F.col("_before") * 2 + 1, F.col("parent_node") * 2).alias("to"),
+            one.alias("entered"),
+            one.alias("level"),
+            top.alias("top"),
+        ),
+        F.struct(
+            leave.alias("at"),
+            F.coalesce(F.col("_reply") * 2 + 1, enter).alias("to"),
+            (one - 1).alias("entered"),
+            (-one).alias("level"),
+            F.lit(None).cast("string").alias("top"),
+        ),
+    )
+    return both.select(F.explode(steps).alias("s")).select("s.*")
 
 
-def _jump(
-    live: DataFrame, rows: int, done: list[DataFrame], hot_rows: int, carry_path: bool
-) -> DataFrame:
-    """One round: every open reply takes over what the comment it points at knows."""
-    columns = [*POST, "id", "ptr", "root_id", "depth", "dist", "path"]
-    known = _union([part.select(*columns) for part in [*done, live]])
-    targets = known.select(
-        *POST,
-        F.col("id").alias("ptr"),
-        *[F.col(c).alias(f"_{c}") for c in ("ptr", "root_id", "depth", "dist", "path")],
+def _beyond(steps: DataFrame) -> DataFrame:
+    """Steps as the targets of others: what is added by going on from ``to``."""
+    return steps.select(
+        F.col("at").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("to", "entered", "level", "top")]
     )
-    joined = lookup(live, targets, ["ptr", *POST], "inner", hot_rows, rows)
-    # NULL paths (not carried) stay NULL on everything built from them.
-    path = F.concat("_path", "path") if carry_path else F.lit(None).cast(live.schema["path"].dataType)
+
+
+def _added(joined: DataFrame) -> DataFrame:
     return joined.select(
-        *POST,
-        "id",
-        "created_utc",
-        "parent",
-        F.col("_ptr").alias("ptr"),
-        F.col("_root_id").alias("root_id"),
-        (F.col("_depth") + F.col("dist")).alias("depth"),
-        (F.col("dist") + F.col("_dist")).alias("dist"),
-        path.alias("path"),
+        "at",
+        F.col("_to").alias("to"),
+        (F.col("entered") + F.col("_entered")).alias("entered"),
+        (F.col("level") + F.col("_level")).alias("level"),
+        F.coalesce("top", "_top").alias("top"),
     )
 
 
-def _in_reading_order(resolved: DataFrame, hot_rows: int, deep: bool) -> DataFrame:
-    out = [*POST, "id", "parent", "root_id", "depth", "pos"]
-    if not deep:
-        return rank_in_groups(resolved, POST, ["path"], "pos", hot_rows).select(*out)
-    # Posts with a comment below max_path levels.
-    deep_posts = resolved.where(F.col("path").isNull()).select(*POST).distinct()
-    marked = lookup(
-        resolved, deep_posts.withColumn("_deep", F.lit(True)), POST, "left", hot_rows
-    ).withColumn("_deep", F.coalesce("_deep", F.lit(False)))
-    marked = write_table(marked, "by-depth")
-    shallow = marked.where(~F.col("_deep")).drop("_deep")
-    steep = marked.where("_deep").drop("_deep")
-    ranked = rank_in_groups(shallow, POST, ["path"], "pos", hot_rows).select(*out)
-    return ranked.unionByName(_walk_order(steep, hot_rows).select(*out))
+def _jump_until(steps: DataFrame, arrived: Column, targets: Column, scratch: Scratch) -> list[DataFrame]:
+    """Steps moved back along the walk in doubling distances until ``arrived``; those that never do
+    (the walk is a ring there) are left out. Only steps that are ``targets`` are jumped to. No two
+    steps have the same target, so no join key repeats."""
+    done, live = [steps.where(arrived)], steps.where(~arrived)
+    n = None
+    while True:
+        pool = reduce(DataFrame.unionByName, [*done, live])
+        moved = live.join(_beyond(pool.where(targets)), "to")
+        moved, left = scratch.write_counted(_added(moved), "steps", ~arrived)
+        done.append(moved.where(arrived))
+        if not left or left == n:
+            return done
+        live, n = moved.where(~arrived), left
+
+
+def _ranked(steps: DataFrame, scratch: Scratch, spacing: int) -> DataFrame:
+    """Sums from each step back to the start of its walk; steps on rings are left out."""
+
+    def splits(step: str) -> Column:
+        return F.pmod(F.xxhash64(step), F.lit(spacing)) == 0
+
+    start = F.col("to").isNull()
+    near = reduce(
+        DataFrame.unionByName,
+        _jump_until(steps, F.coalesce(splits("to"), F.lit(False)) | start, ~splits("at"), scratch),
+    )
+    splitters = scratch.write(near.where(splits("at")), "splitters")
+    far = reduce(DataFrame.unionByName, _jump_until(splitters, start, F.lit(True), scratch))
+    rest = near.where(~start)
+    return near.where(start).unionByName(_added(rest.join(_beyond(far), "to")))
 
 
 def sibling_rank(nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -164,91 +241,37 @@ def sibling_rank(nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return rank_in_groups(nodes, ["parent", *POST], ["created_utc", "id"], "sibling", hot_rows)
 
 
-def _walk_order(nodes: DataFrame, hot_rows: int) -> DataFrame:
-    """Reading order of trees of any depth.
-
-    A walk enters and leaves every comment once. Each of these steps knows the next one, and
-    pointer jumping sums up how many comments are still entered after it. No two open steps
-    point at the same step, so no join key repeats.
-    """
-    ranked = write_table(sibling_rank(nodes, hot_rows), "siblings")
-    first_reply = ranked.where(F.col("parent").isNotNull() & (F.col("sibling") == 1)).select(
-        *POST, F.col("parent").alias("id"), F.col("id").alias("_reply")
-    )
-    group = F.coalesce("parent", F.lit(""))
-    top = F.col("parent").isNull()
-    ranked = ranked.withColumn("_group", group).withColumn("_top", top)
-    following = ranked.select(
-        *POST, "_group", "_top", (F.col("sibling") - 1).alias("sibling"), F.col("id").alias("_next")
-    )
-    ring = ranked.join(first_reply, ["id", *POST], "left").join(
-        following, ["_group", "sibling", *POST, "_top"], "left"
-    )
-
-    def stop(node: Column, leaving: bool) -> Column:
-        return F.struct(node.alias("node"), F.lit(leaving).alias("leaving"))
-
-    reply, nxt, parent, me = (F.col(c) for c in ("_reply", "_next", "parent", "id"))
-    entering = F.struct(
-        stop(me, False).alias("at"),
-        F.when(reply.isNotNull(), stop(reply, False)).otherwise(stop(me, True)).alias("to"),
-        F.lit(1).cast("bigint").alias("ahead"),
-    )
-    leaving = F.struct(
-        stop(me, True).alias("at"),
-        F.when(nxt.isNotNull(), stop(nxt, False)).when(parent.isNotNull(), stop(parent, True)).alias("to"),
-        F.lit(0).cast("bigint").alias("ahead"),
-    )
-    steps = write_table(
-        ring.select(*POST, F.explode(F.array(entering, leaving)).alias("s")).select(*POST, "s.*"),
-        "walk",
-    )
-    ended = [steps.where(F.col("to").isNull())]
-    live = steps.where(F.col("to").isNotNull())
-    while not live.isEmpty():
-        beyond = _union([*ended, live]).select(
-            *POST, F.col("at").alias("to"), F.col("to").alias("_to"), F.col("ahead").alias("_ahead")
-        )
-        moved = write_table(
-            live.join(beyond, ["to", *POST], "inner").select(
-                *POST, "at", F.col("_to").alias("to"), (F.col("ahead") + F.col("_ahead")).alias("ahead")
-            ),
-            "walk",
-        )
-        ended.append(moved.where(F.col("to").isNull()))
-        live = moved.where(F.col("to").isNotNull())
-
-    entered = _union(ended).where(~F.col("at.leaving"))
-    size = nodes.groupBy(*POST).agg(F.count("*").alias("_n"))
-    ahead = entered.select(*POST, F.col("at.node").alias("id"), "ahead")
-    placed = write_table(nodes.drop("path").join(ahead, ["id", *POST], "inner"), "walked")
-    return lookup(placed, size, POST, "inner", hot_rows).withColumn(
-        "pos", F.col("_n") - F.col("ahead") + 1
-    )
-
-
 def unplaced_comments(comments: DataFrame, forest: Forest) -> DataFrame:
     """Comments in no tree and why: in or below a reply cycle, or without a post."""
     loose = comments.where(F.coalesce(strip_fullname("link_id"), F.lit("")) == "")
+    loose = loose.withColumn("subreddit", F.lower("subreddit"))
     return forest.unplaced.select(*POST, "id", F.lit("cycle").alias("reason")).unionByName(
         loose.select(*POST, "id", F.lit("no post").alias("reason"))
     )
 
 
-def thread_totals(forest: Forest) -> DataFrame:
-    """Threads and comments per community, and overall (``is_overall`` = 1)."""
+def post_counts(forest: Forest) -> DataFrame:
+    """Comments of each post, and those in a tree."""
     marked = forest.placed.select(*POST, F.lit(1).alias("_in")).unionAll(
         forest.unplaced.select(*POST, F.lit(0).alias("_in"))
     )
-    per_post = marked.groupBy(*POST).agg(F.count("*").alias("_n"), F.sum("_in").alias("_in"))
+    return marked.groupBy(*POST).agg(F.count("*").alias("comments"), F.sum("_in").alias("in_tree"))
+
+
+def rolled_up(per_post: DataFrame) -> DataFrame:
+    """Threads and comments per community, and overall (``is_overall`` = 1)."""
     return per_post.rollup("subreddit").agg(
         F.grouping("subreddit").cast("int").alias("is_overall"),
         F.count("*").alias("posts_with_threads"),
-        F.sum("_n").alias("comments_total"),
-        F.sum("_in").alias("comments_in_tree"),
+        F.sum("comments").alias("comments_total"),
+        F.sum("in_tree").alias("comments_in_tree"),
     )
 
 
+def thread_totals(forest: Forest) -> DataFrame:
+    return rolled_up(post_counts(forest))
+
+
 def thread_json(
     comments: DataFrame,
     forest: Forest,
@@ -291,7 +314,7 @@ def thread_json(
         .where(F.col("_own") == F.col("_block"))
         .drop("_own", "_block")
     )
-    records = comments.select(*POST, "id", drop_json_field("archive_json", "replies").alias("record"))
+    records = in_threads(comments).select(*POST, "id", drop_json_field("archive_json", "replies").alias("record"))
     shaped = around.join(records, ["id", *POST], "inner")
 
     depth, before, after = F.col("depth"), F.col("_before"), F.col("_after")

@@ -59,6 +59,12 @@ class Scratch:
         table._scratch_path = path
         return table
 
+    def write_counted(self, df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+        """``write``, and the number of rows meeting a condition, counted by the same job."""
+        seen = Observation()
+        table = self.write(df.observe(seen, F.count_if(condition).alias("n")), name)
+        return table, seen.get.get("n", 0)  # an empty result observes nothing
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that ``write`` gave; no later job may read them."""
         for table in tables:
@@ -71,10 +77,3 @@ class Scratch:
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back; the files go when the application ends."""
     return Scratch(df.sparkSession, label).write(df, "table")
-
-
-def write_counted(df: DataFrame, label: str, condition: Column) -> tuple[DataFrame, int]:
-    """``write_table``, and the number of rows meeting a condition, counted by the same job."""
-    seen = Observation()
-    table = write_table(df.observe(seen, F.count_if(condition).alias("n")), label)
-    return table, seen.get.get("n", 0)  # an empty result observes nothing

@@ -12,8 +12,10 @@ from threadlake.operators.dedup import first_wins
 from threadlake.operators.membership import absent_from, existing_ids
 from threadlake.operators.normalize import normalize_posts
 from threadlake.operators.upsert import fresh_records
+from threadlake.plans.queries import QUERIES
 from threadlake.scratch import write_table
 from threadlake.sources import Store, scan_window
+from threadlake.sources.sliced import read_slice, write_slices
 
 # §2.14 of the blueprint, and two more shapes.
 KEYS = """
@@ -25,7 +27,7 @@ incremental_load merge_live_counts shard_assign coverage_commit stats_overall st
 stats_rollup ingest_report dedup_first_wins thread_totals csv_counts thread_nodes sibling_rank
 thread_unplaced shard_bounds keyset_pages refresh_topk strip_fullname parent_kind timespec_parse
 request_windows epoch_date parse_counts json_path_default json_roundtrip late_records
-refresh_totals thread_chains
+refresh_totals thread_chains set_aside_rows slice_plan
 """.split()
 
 
@@ -41,14 +43,14 @@ def plan(df) -> str:
 
 
 def test_every_key_is_registered():
-    assert set(entry.queries()) == set(KEYS)
+    assert set(QUERIES) == set(KEYS) and set(KEYS) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", KEYS)
 def test_no_cross_join_no_python_no_single_task(spark, small, name):
     text = plan(entry.queries()[name](spark, small))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|EvalPython|InPandas|InArrow", text)
-    if name != "stats_overall":  # three counts
+    if name not in ("stats_overall", "slice_plan"):  # three counts; a row per day
         assert "SinglePartition" not in text
 
 
@@ -117,6 +119,39 @@ def test_records_are_parsed_once(spark):
     assert plan(first_wins(rows, ["id"], ["t"])).count("from_json") == 1
 
 
+def test_trees_and_reports_are_not_sorted(spark, small):
+    for name in ("merge_trees", "ingest_report"):
+        assert "SortAggregate" not in plan(entry.queries()[name](spark, small))
+
+
+def test_totals_carry_no_paths_and_pages_are_passed_once(spark, small):
+    assert "path" not in plan(entry.queries()["thread_totals"](spark, small))
+    text = plan(entry.queries()["page_attr_extract"](spark, small))
+    assert text.count("regexp_extract_all(html") == 1 and "ReadSchema: struct<page_id:bigint,html:string>" in text
+
+
+def test_one_slice_reads_its_own_files(spark, tmp_path):
+    rows = spark.range(5000).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, F.col("id") % 90).otherwise(F.col("id") % 10).alias("day"),
+    )
+    rows = rows.withColumn("created_utc", F.col("day") * 86400 + F.col("id") % 1000)
+    slices = write_slices(rows, str(tmp_path), 3 * 86400, 80 * 86400, 4).orderBy("slice").collect()
+    assert slices[0].start == 3 * 86400 and slices[-1].end == 80 * 86400
+    assert [s.end for s in slices[:-1]] == [s.start for s in slices[1:]]
+    inside = rows.where(f"created_utc >= {3 * 86400} and created_utc < {80 * 86400}")
+    assert sum(s.n_rows for s in slices) == inside.count()
+    for s in slices:
+        found = read_slice(spark, str(tmp_path), s.slice)
+        assert sorted(r.id for r in found.collect()) == sorted(
+            r.id for r in inside.where(f"created_utc >= {s.start} and created_utc < {s.end}").collect()
+        )
+    text = plan(read_slice(spark, str(tmp_path), slices[1].slice))
+    assert re.search(rf"PartitionFilters: \[[^]]*\(slice#\d+ = {slices[1].slice}\)", text)
+    assert len(read_slice(spark, str(tmp_path), 1).inputFiles()) < len(spark.read.parquet(f"{tmp_path}/rows").inputFiles())
+    assert write_slices(rows.limit(0), str(tmp_path / "none"), 0, 10, 3).count() == 0
+
+
 def test_months_of_a_window(spark):
     months = spark.range(1).select(month_of_epoch(F.lit(0)), month_of_epoch(F.lit(31 * 86400)))
     assert tuple(months.first()) == (0, 1)

@@ -14,7 +14,7 @@ from threadlake.plans.stages import Landed, run_stage
 from threadlake.schemas import COVERED, REQUESTS
 from threadlake.sources import Store, landed_archive, landed_records, rows_by_subreddit, scan_page, scan_window, thread_scan
 from threadlake.sources.archive import ARRIVAL
-from threadlake.streaming import dedup_within_watermark, follow_tail
+from threadlake.streaming import dedup_within_watermark, follow_tail, run_tail
 
 DAY = 86400
 
@@ -80,7 +80,7 @@ def test_a_failed_run_is_repeated(spark, tmp_path, monkeypatch):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(Store, "replace", dies)
+        m.setattr(Store, "change", dies)
         with pytest.raises(RuntimeError):
             run_backfill(store, source, ask(spark, 0, 10 * DAY), 5, ["arrival"])
     assert covers(store) == {} and store.read("posts").count() == 10
@@ -274,6 +274,82 @@ def test_late_records_are_not_revisited(spark, tmp_path):
     assert set(stored(overlap)) == {"late", "edge", "new"}
 
 
+def test_stream_sets_aside_what_no_window_holds(spark, tmp_path):
+    """Six lines under a cover ending at 500: each is stored or set aside with a reason."""
+    folder = tmp_path / "landed" / "subreddit=Py"
+    folder.mkdir(parents=True)
+    (folder / "1.jsonl").write_text(
+        '{"id": "n", "created_utc": null}\n{"id": "t", "created_utc": "soon"}\nnot json\n'
+        '{"id": "us", "created_utc": 1700000000000000}\n{"id": "old", "created_utc": 499}\n'
+        '{"id": "new", "created_utc": 500}\n{"created_utc": 501}\n'
+    )
+    covered = spark.createDataFrame([("py", "comments", 0, 500, 0)], COVERED)
+    for name, cover in (("a", covered), ("b", None)):
+        store = Store(spark, str(tmp_path / name))
+        for check in ("one", "two"):  # a lost checkpoint changes nothing
+            follow(spark, store, tmp_path, f"{name}-{check}", covered=cover)
+        assert set(stored(store)) == ({"new"} if cover else {"new", "old"})
+        aside = spark.read.parquet(str(tmp_path / name / "no_id" / "comments")).collect()
+        reasons = ["no id", "no json", "no time", "no time", "time out of range"]
+        assert sorted(r.reason for r in aside) == reasons
+
+
+def tail(spark, store, tmp_path, now, **how):
+    return run_tail(store, str(tmp_path / "landed"), "comments", str(tmp_path / "check"), now, **how)
+
+
+def test_a_tail_advances_the_cover(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.change("covered_range", spark.createDataFrame([("py", "comments", 0, 100, 0), ("go", "comments", 0, 100, 0)], COVERED))
+    land(tmp_path / "landed", "1.jsonl", ("late", 95, "x"), ("edge", 100, "x"))
+    land(tmp_path / "landed", "2.jsonl", ("new", 400, "x"), ("edge", 100, "copy"))
+    assert tail(spark, store, tmp_path, 500, maxFilesPerTrigger=1) == {"lines": 4, "fresh": 2, "problems": 0}
+    assert set(stored(store)) == {"edge", "new"}
+    found = {r.subreddit: (r.since, r.until, r.updated_at) for r in store.read("covered_range").collect()}
+    assert found == {"py": (0, 500, 500), "go": (0, 100, 0)}  # no file of the other one was followed
+    # Stream, then backfill: nothing is missing.
+    source = landed_archive(spark, str(tmp_path / "landed"), "comments")
+    asked = spark.createDataFrame([("py", "comments", 0, 500)], REQUESTS)
+    assert report(run_backfill(store, source, asked, 600, ARRIVAL)) == {}
+    # A run that finds no new file has still looked: the cover moves on, and never back.
+    for now, until in ((700, 700), (650, 700)):
+        assert tail(spark, store, tmp_path, now)["lines"] == 0
+        assert {r.until for r in store.read("covered_range").where("subreddit = 'py'").collect()} == {until}
+    land(tmp_path / "landed", "3.jsonl", ("c", 750, "x"), ("slow", 690, "x"))
+    tail(spark, store, tmp_path, 800, lateness=20)
+    assert set(stored(store)) == {"edge", "new", "c", "slow"}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    """A batch that died before its entry is done again, one that died after it is skipped."""
+    store = Store(spark, str(tmp_path / "store"))
+    store.change("covered_range", spark.createDataFrame([("py", "comments", 0, 100, 0)], COVERED))
+    land(tmp_path / "landed", "1.jsonl", ("a", 100, "x"), ("b", 200, "x"))
+    (tmp_path / "landed" / "subreddit=Py" / "0.jsonl").write_text("no json\n")
+    finish = type(store.commits).finish
+
+    def before(*_):
+        raise RuntimeError("lost")
+
+    def after(*how):
+        finish(*how)
+        raise RuntimeError("lost")
+
+    for dies in (before, after):
+        with monkeypatch.context() as m:
+            m.setattr(type(store.commits), "finish", dies)
+            with pytest.raises(Exception):
+                tail(spark, store, tmp_path, 500)
+        assert covers(store) == {"comments": (0, 100)}  # not before all that had landed is loaded
+    appends = []
+    with monkeypatch.context() as m:
+        m.setattr(Store, "append", lambda *how: appends.append(how))
+        tail(spark, store, tmp_path, 600)
+    assert appends == [] and set(stored(store)) == {"a", "b"} and store.read("comments").count() == 2
+    assert covers(store) == {"comments": (0, 600)}
+    assert spark.read.parquet(str(tmp_path / "store" / "no_id" / "comments")).count() == 1
+
+
 def test_watermark_dedup(spark, tmp_path):
     land(tmp_path / "landed", "1.jsonl", ("a", 1, "x"), ("a", 2, "y"), ("b", 3, "x"))
     stream = landed_records(spark, str(tmp_path / "landed"), stream=True)

@@ -90,6 +90,34 @@ def coverage_commit(
     ).where(F.col("since").isNotNull())
 
 
+def widest_covers(covers: DataFrame) -> DataFrame:
+    """One cover per (community, kind) of several that were each grown from an earlier one."""
+    return covers.groupBy(*KEYS).agg(
+        F.min("since").alias("since"), F.max("until").alias("until"), F.max("updated_at").alias("updated_at")
+    )
+
+
+def changed_covers(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Covers of ``after`` that are new or wider: the rows to write."""
+    return after.join(before.select(*KEYS, "since", "until"), [*KEYS, "since", "until"], "left_anti").select(*after.columns)
+
+
+def tail_commit(followed: DataFrame, covered: DataFrame, kind: str, before: int, now: int) -> DataFrame:
+    """Covers of the followed communities, ``before`` which all their records have been loaded.
+
+    A tail starts where a cover ends; a community without a cover has no start to vouch for.
+    """
+    names = followed.select(F.lower("subreddit").alias("subreddit")).distinct()
+    grown = covered.where((F.col("kind") == kind) & (F.col("until") < before))
+    return grown.join(names, "subreddit", "left_semi").select(
+        "subreddit",
+        "kind",
+        "since",
+        F.lit(before).cast("bigint").alias("until"),
+        F.lit(now).cast("bigint").alias("updated_at"),
+    )
+
+
 def windows_by_month(plan: DataFrame) -> DataFrame:
     """One row per planned window and calendar month it touches.
 

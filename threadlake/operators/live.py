@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.functions import parse_count, tag_attribute
+from threadlake.functions import parse_count, with_attributes
 
 from .dedup import last_wins
 
@@ -54,11 +54,7 @@ def page_counts(
     comments: str = PAGE_COMMENTS,
 ) -> DataFrame:
     """Count texts shown by each landed page; the page text itself is dropped."""
-    return pages.select(
-        *[c for c in pages.columns if c != html],
-        tag_attribute(html, tag, score).alias("score_text"),
-        tag_attribute(html, tag, comments).alias("comments_text"),
-    )
+    return with_attributes(pages, html, {"score_text": (tag, score), "comments_text": (tag, comments)})
 
 
 def refresh_outcome(worklist: DataFrame, counts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake import schemas
-from threadlake.functions import int_or_zero, to_bigint, truthy
+from threadlake.functions import int_or_zero, line_problem, to_bigint, truthy
 from threadlake.functions._columns import as_column, as_literal
 
 _POST = (
@@ -26,6 +26,12 @@ def _parsed(raw: DataFrame, value: str, layout: str) -> DataFrame:
     return raw.select("*", F.explode(F.array(F.from_json(value, layout))).alias("_r"))
 
 
+def with_problem(rows: DataFrame, raw_time: str = "_time") -> DataFrame:
+    """Rows that kept ``raw_time``, with the reason why no window holds them in its place."""
+    problem = line_problem("archive_json", raw_time, "subreddit")
+    return rows.withColumn("problem", problem).drop(raw_time)
+
+
 def _or_default(text: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), default)
 
@@ -37,7 +43,8 @@ def normalize_posts(
     value: str = "value",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Posts rows; ``keep`` names columns of ``raw`` to carry along (arrival order)."""
+    """Posts rows; ``keep`` names columns of ``raw`` to carry along (arrival order). ``_time`` among
+    them is the time as the record has it."""
     r = F.col("_r")
     nothing = F.lit(None).cast("bigint")
     columns = {
@@ -104,4 +111,5 @@ def normalize_meta(
 
 
 def _select(df, layout, columns: dict[str, Column], keep: tuple[str, ...]) -> DataFrame:
-    return df.select(*[columns[f.name].alias(f.name) for f in layout], *keep)
+    kept = [F.col("_r.created_utc").alias(c) if c == "_time" else F.col(c) for c in keep]
+    return df.select(*[columns[f.name].alias(f.name) for f in layout], *kept)

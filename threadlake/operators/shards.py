@@ -51,12 +51,12 @@ def shard_of(created: Column | str, since, before, n) -> Column:
 
 
 def keyset_pages(records: DataFrame, limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pages of ``limit`` records per community in (created_utc, id) order.
+    """Pages of ``limit`` records per community, whatever its case, in (created_utc, id) order.
 
     ``full_seconds`` counts the seconds ending in the page that hold more records than a page,
     which a cursor that only remembers the last second could not step through.
     """
-    keyed = write_table(records.select("subreddit", "created_utc", "id"), "pages")
+    keyed = write_table(records.select(F.lower("subreddit").alias("subreddit"), "created_utc", "id"), "pages")
     ranked = rank_in_groups(keyed, ["subreddit"], ["created_utc", "id"], "_rn", hot_rows)
     size = F.lit(limit).cast("bigint")
     paged = ranked.withColumn("page", _div(F.col("_rn") - 1, size))

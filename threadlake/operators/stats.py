@@ -1,4 +1,6 @@
-"""Counts. Partial aggregation runs before every shuffle, so a huge community is no hot spot."""
+"""Counts. Partial aggregation runs before every shuffle, so a huge community is no hot spot.
+
+Communities count as one whatever their case, under the lower-case name."""
 
 from __future__ import annotations
 
@@ -13,7 +15,7 @@ TABLES = ("posts", "comments", "comment_trees")
 def _tagged(**tables: DataFrame) -> DataFrame:
     rows = None
     for name in TABLES:
-        part = tables[name].select("subreddit", F.lit(name).alias("_table"))
+        part = tables[name].select(F.lower("subreddit").alias("subreddit"), F.lit(name).alias("_table"))
         rows = part if rows is None else rows.unionAll(part)
     return rows
 
@@ -44,23 +46,21 @@ def stats_rollup(posts: DataFrame, comments: DataFrame, trees: DataFrame) -> Dat
 
 
 def ingest_report(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """Per (community, kind): records fetched, distinct ids, and ids new to the store.
+    """Per (community, kind): records fetched (with an id or without), distinct ids, and ids new to
+    the store.
 
-    ``store`` holds (kind, id). Copies of an id are counted before they are shuffled.
+    ``store`` holds (kind, id). Copies of an id are counted before they are shuffled; an id that
+    comes under two communities counts in both.
     """
-    per_id = (
-        batch.where(F.col("id").isNotNull())
-        .groupBy("kind", "id")
-        .agg(F.count("*").alias("_n"), F.min("subreddit").alias("subreddit"))
-    )
+    per_id = batch.groupBy("kind", "id", F.lower("subreddit").alias("subreddit")).agg(F.count("*").alias("_n"))
     known = store.select("kind", "id", F.lit(True).alias("_known"))
     return (
         per_id.join(known, ["kind", "id"], "left")
         .groupBy("subreddit", "kind")
         .agg(
             F.sum("_n").alias("fetched"),
-            F.count("*").alias("distinct_ids"),
-            F.count_if(F.col("_known").isNull()).alias("new_rows"),
+            F.count("id").alias("distinct_ids"),
+            F.count_if(F.col("_known").isNull() & F.col("id").isNotNull()).alias("new_rows"),
         )
     )
 
@@ -70,7 +70,7 @@ def csv_counts(posts: DataFrame, comments: DataFrame) -> DataFrame:
     return (
         posts.select("subreddit", F.lit("posts").alias("export"))
         .unionAll(comments.select("subreddit", F.lit("comments").alias("export")))
-        .groupBy("subreddit", "export")
+        .groupBy(F.lower("subreddit").alias("subreddit"), "export")
         .agg(F.count("*").alias("n_rows"))
     )
 
@@ -78,6 +78,7 @@ def csv_counts(posts: DataFrame, comments: DataFrame) -> DataFrame:
 def late_records(records: DataFrame, covered: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Records older than the end of their cover (one per community): a tail run never revisits
     them."""
-    ends = covered.select("subreddit", F.col("until").alias("_until"))
-    matched = lookup(records, ends, ["subreddit"], "inner", hot_rows)
-    return matched.where(F.col("created_utc") < F.col("_until"))
+    ends = covered.groupBy(F.lower("subreddit").alias("_community")).agg(F.max("until").alias("_until"))
+    keyed = records.withColumn("_community", F.lower("subreddit"))
+    matched = lookup(keyed, ends, ["_community"], "inner", hot_rows)
+    return matched.where(F.col("created_utc") < F.col("_until")).drop("_community")

@@ -23,24 +23,28 @@ def upsert(store: DataFrame, batch: DataFrame, arrival: list[str]) -> DataFrame:
     return store.unionByName(fresh.select(*store.columns))
 
 
-def merge_trees(stored: DataFrame, incoming: DataFrame, arrival: str = "seq") -> DataFrame:
-    """Last tree wins, but a post keeps the community it was first stored under."""
-    order = F.struct("_batch", "_seq")
-    rows = stored.select("*", F.lit(0).alias("_batch"), F.lit(None).cast("bigint").alias("_seq"))
-    rows = rows.unionByName(
-        incoming.select(
-            *stored.columns, F.lit(1).alias("_batch"), F.col(arrival).cast("bigint").alias("_seq")
-        )
+def tree_changes(stored: DataFrame, incoming: DataFrame, arrival: str = "seq") -> DataFrame:
+    """The rows to write: the last tree of each incoming post, under the community the post was first
+    stored under. Of ``stored`` only the two names are read, and only of these posts."""
+    batch = incoming.where(F.col("link_id").isNotNull())
+    known = stored.select("link_id", F.col("subreddit").alias("_stored"), F.lit(True).alias("_known"))
+    known = known.join(batch.select("link_id").distinct(), "link_id", "left_semi")
+    first = first_wins(batch, ["link_id"], [arrival]).select("link_id", F.col("subreddit").alias("_first"))
+    named = first.join(known, "link_id", "left").select(
+        "link_id", F.when(F.col("_known"), F.col("_stored")).otherwise(F.col("_first")).alias("subreddit")
     )
-    merged = (
-        rows.where(F.col("link_id").isNotNull())
-        .groupBy("link_id")
-        .agg(
-            F.min_by("subreddit", order).alias("subreddit"),
-            F.max_by(F.struct("tree_json", "fetched_at"), order).alias("_last"),
-        )
+    last = last_wins(batch, ["link_id"], [arrival]).drop("subreddit")
+    return last.join(named, "link_id").select(*stored.columns)
+
+
+def merge_trees(stored: DataFrame, incoming: DataFrame, arrival: str = "seq") -> DataFrame:
+    """Last tree wins, but a post keeps the community it was first stored under. The stored trees are
+    neither sorted nor aggregated."""
+    changes = tree_changes(stored, incoming, arrival)
+    untouched = stored.where(F.col("link_id").isNotNull()).join(
+        incoming.select("link_id").distinct(), "link_id", "left_anti"
     )
-    return merged.select("link_id", "subreddit", "_last.tree_json", "_last.fetched_at")
+    return untouched.select(*stored.columns).unionByName(changes)
 
 
 def merge_meta(responses: DataFrame, response: str = "response", place: str = "place") -> DataFrame:

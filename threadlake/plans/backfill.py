@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.operators.coverage import (
+    changed_covers,
     coverage_commit,
     coverage_plan,
     incremental_load,
     merge_requests,
 )
+from threadlake.operators.dedup import first_wins
 from threadlake.operators.live import PAGE_TAG, page_counts, refresh_outcome, refresh_worklist
-from threadlake.operators.membership import missing_trees
+from threadlake.operators.membership import absent_from, missing_trees
 from threadlake.operators.normalize import normalize_comments, normalize_meta, normalize_posts
 from threadlake.operators.stats import csv_counts, ingest_report
-from threadlake.operators.threads import build_forest, thread_json, thread_totals
-from threadlake.operators.upsert import fresh_records, merge_meta, merge_trees
-from threadlake.scratch import write_table
+from threadlake.operators.threads import build_forest, post_counts, rolled_up, thread_json
+from threadlake.operators.upsert import merge_meta, tree_changes
+from threadlake.scratch import Scratch, write_table
 from threadlake.sinks import append_jsonl, append_trees, write_csv, write_threads
 from threadlake.sources.store import Store
 
@@ -53,74 +55,98 @@ def run_backfill(
     """Bring the store up to ``requests``; returns the report of fetched and new rows.
 
     ``archive``: kind, subreddit, created_utc, id, value (raw JSON) and the arrival columns. Lines
-    with a ``problem`` are set aside with it before anything is loaded.
+    with a ``problem`` are set aside with it before anything is loaded. Each loaded record is parsed
+    once.
     """
+    scratch = Scratch(store.spark, "backfill")
     if "problem" in archive.columns:
+        odd = scratch.write(archive.where(F.col("problem").isNotNull()), "odd")
         for kind in NORMALIZE:
-            odd = archive.where(F.col("problem").isNotNull() & (F.col("kind") == kind))
-            store.set_aside_landed(kind, odd, now, arrival)
+            store.set_aside_landed(kind, odd.where(F.col("kind") == kind), now, arrival)
         archive = archive.where(F.col("problem").isNull()).drop("problem")
     wanted = requests.where(F.col("kind").isin(*NORMALIZE))
-    requests = write_table(merge_requests(wanted), "requests")
-    covered = store.read("covered_range")
-    plan = write_table(coverage_plan(requests, covered), "plan")
-    loaded = write_table(incremental_load(archive, plan), "loaded")
+    requests = scratch.write(merge_requests(wanted), "requests")
+    covered = scratch.write(store.read("covered_range"), "covered")
+    plan = scratch.write(coverage_plan(requests, covered), "plan")
+    loaded = scratch.write(incremental_load(archive, plan), "loaded")
     reports = []
     for kind, normalize in NORMALIZE.items():
         raw = loaded.where(F.col("kind") == kind)
-        rows = normalize(raw, F.col("subreddit"), now, keep=tuple(arrival))
-        stored = store.read(kind)
-        report = ingest_report(
-            rows.withColumn("kind", F.lit(kind)), stored.select(F.lit(kind).alias("kind"), "id")
-        )
-        # Both are written before the append makes the batch part of the store.
+        rows = scratch.write(normalize(raw, F.col("subreddit"), now, keep=tuple(arrival)), "rows")
+        known = scratch.write(store.known_ids(kind, rows), "known")
+        tagged = rows.withColumn("kind", F.lit(kind))
+        report = ingest_report(tagged, known.withColumn("kind", F.lit(kind)))
         reports.append(write_table(report, "report"))
-        fresh = write_table(fresh_records(rows, stored, arrival, probe=True), "fresh")
+        fresh = scratch.write(absent_from(first_wins(rows, ["id"], arrival), known), "fresh")
         store.append(kind, fresh)
         store.set_aside(kind, rows, arrival)
         if exports.path:
             append_jsonl(fresh, exports.path, kind, exports.jsonl)
     outcomes = plan.select("subreddit", "kind", "window_type", F.lit(True).alias("ok"))
-    store.replace("covered_range", coverage_commit(requests, covered, outcomes, now))
+    grown = changed_covers(coverage_commit(requests, covered, outcomes, now), covered)
+    store.change("covered_range", grown)
+    scratch.drop_all()
     return reports[0].unionByName(reports[1])
 
 
-def run_threads(store: Store, subreddits: DataFrame | None, exports: Exports) -> DataFrame:
-    """Rebuild the threads of the named communities (all when None); returns the totals."""
-    comments = store.read("comments")
-    if subreddits is not None:
-        wanted = subreddits.select(F.lower("subreddit").alias("community")).distinct()
-        comments = comments.join(wanted, "community", "left_semi")
-    forest = build_forest(comments)
-    forest = forest._replace(placed=write_table(forest.placed, "placed"))
+def _of_communities(rows: DataFrame, subreddits: DataFrame | None, column: str) -> DataFrame:
+    if subreddits is None:
+        return rows
+    wanted = subreddits.select(F.lower("subreddit").alias(column)).distinct()
+    return rows.join(wanted, column, "left_semi")
+
+
+def run_threads(
+    store: Store, subreddits: DataFrame | None, exports: Exports, rebuild: bool = False
+) -> DataFrame:
+    """Bring the threads of the named communities (all when None) up to date; returns their totals.
+
+    Only posts that got comments since the last time are resolved, ordered and written, each with
+    all its comments; ``rebuild`` takes all posts. The lines of all posts lie in ``thread_lines``.
+    """
+    keys = ["community", "link_id"]
+    scratch = Scratch(store.spark, "thread-run")
+    comments = _of_communities(store.read("comments"), subreddits, "community")
+    marks, touched = store.touched_posts()
+    touched = scratch.write(touched, "touched")
+    mine = scratch.write(_of_communities(touched, subreddits, "community"), "mine")
+    if rebuild or not mine.isEmpty():
+        if not rebuild:
+            columns = ["subreddit", "community", "link_id", "id", "parent_id", "created_utc", "archive_json"]
+            comments = scratch.write(comments.select(*columns).join(mine, keys, "left_semi"), "comments")
+        forest = build_forest(comments)
+        named = F.col("subreddit").alias("community")  # threads name a community in lower case
+        store.change("thread_lines", thread_json(comments, forest).select(named, "*"))
+        store.change("thread_posts", post_counts(forest).select(named, "*"))
+        forest.scratch.drop_all()
+    # The marks go when what they ask for is written; other communities' posts are marked anew.
+    store.untouch(marks, touched.join(mine, keys, "left_anti"))
     if exports.path:
-        write_threads(thread_json(comments, forest), exports.path)
-    return thread_totals(forest)
+        lines = _of_communities(store.read("thread_lines"), subreddits, "community")
+        write_threads(lines.select("subreddit", "link_id", "pos", "text"), exports.path)
+    scratch.drop_all()
+    return rolled_up(_of_communities(store.read("thread_posts"), subreddits, "community"))
 
 
 def run_trees(store: Store, landed: DataFrame, now: int, exports: Exports = Exports()) -> None:
-    """Take landed trees (link_id, subreddit, tree_json, seq) of posts that have none yet."""
+    """Take landed trees (link_id, subreddit, tree_json, seq) of posts that have none yet; as many
+    trees are written as have landed."""
     stored = store.read("comment_trees")
     lacking = missing_trees(store.read("posts"), stored).select(F.col("id").alias("link_id"))
     taken = landed.join(lacking, "link_id", "left_semi").withColumn(
         "fetched_at", F.lit(now).cast("bigint")
     )
     taken = write_table(taken, "trees")
-    store.replace("comment_trees", merge_trees(stored, taken))
+    store.change("comment_trees", tree_changes(stored, taken))
     if exports.path:
         append_trees(taken, exports.path, exports.jsonl)
 
 
 def run_meta(store: Store, responses: DataFrame, now: int) -> None:
-    """Community facts from landed responses (subreddit, value, response, place)."""
+    """Community facts from landed responses (subreddit, value, response, place): the last one of
+    each community replaces what is stored."""
     rows = normalize_meta(responses, "subreddit", now, keep=("response", "place"))
-    stored = store.read("subreddit_meta").select(
-        "*",
-        F.lit(-1).cast("bigint").alias("response"),
-        F.lit(0).cast("bigint").alias("place"),
-    )
-    merged = merge_meta(stored.unionByName(rows))
-    store.replace("subreddit_meta", merged)
+    store.change("subreddit_meta", merge_meta(rows))
 
 
 def run_refresh(
@@ -136,8 +162,7 @@ def run_refresh(
     work = refresh_worklist(store.read("posts"), now, window_days, base_url, **worklist)
     outcome = write_table(refresh_outcome(work, page_counts(pages, tag)), "outcome")
     fresh = outcome.where(F.col("outcome") == "refreshed")
-    kept = store.read("live_counts").join(fresh.select("id"), "id", "left_anti")
-    store.replace("live_counts", kept.unionByName(fresh.select(*kept.columns)))
+    store.change("live_counts", fresh)
     return outcome
 
 

@@ -112,6 +112,36 @@ def raw_posts(spark, sf_dir) -> DataFrame:
     )
 
 
+def landed_lines(spark, sf_dir) -> DataFrame:
+    """Lines as they land, one per order, most of them with something that no window can hold;
+    ``line_place`` is the order's number."""
+    k = F.col("o_orderkey")
+    key, t = k.cast("string"), epoch_of_ntz("o_orderdate").cast("string")
+
+    def record(time: Column | str, community: str = ', "subreddit": "s"') -> Column:
+        return _text('{"id": "', key, '"', community, ', "created_utc": ', time, "}")
+
+    value = (
+        F.when(k % 11 == 0, record("null"))
+        .when(k % 11 == 1, record('"soon"'))
+        .when(k % 11 == 2, _text("no json ", key))
+        .when(k % 11 == 3, record(_text(t, "000000")))
+        .when(k % 11 == 4, record(t, ""))
+        .when(k % 11 == 5, record(t, ', "subreddit": ""'))
+        .when(k % 11 == 6, record("-5"))
+        .when(k % 11 == 7, record('"NaN"'))
+        .when(k % 11 == 8, record(_text(t, ".25")))
+        .otherwise(record(t))
+    )
+    return table(spark, sf_dir, "orders").select(
+        value.alias("value"),
+        F.lit(None).cast("timestamp").alias("file_time"),
+        F.lit("landed").alias("file_path"),
+        F.lit(0).cast("bigint").alias("block_start"),
+        k.alias("line_place"),
+    )
+
+
 def raw_comments(spark, sf_dir) -> DataFrame:
     """Comment rows as landed, copies of an id included; ``arrival`` orders the copies."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
@@ -125,7 +155,15 @@ def raw_comments(spark, sf_dir) -> DataFrame:
         .otherwise(_text("t1_", key, "-", above))
     )
     created = epoch_of_ntz("l_shipdate")
+    spelling = F.when((k + n) % 10 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority"))
     author = _text("u", F.col("l_suppkey").cast("string"))
+    # Numbers in more than one form, and replies as they land: empty, or a whole tree.
+    extra = (
+        F.when(n % 4 == 0, _text(', "replies": ""'))
+        .when(n % 4 == 1, _text(', "edited": 1e2, "replies": {"kind": "Listing", "data": [{"body": "a \\"]} b", "replies": {}}, 1.50]}'))
+        .when(n % 4 == 2, _text(', "z": ', created.cast("string"), '.0, "a": [1.50, {"replies": 2}]'))
+        .otherwise("")
+    )
     body = _text("line ", line, " of order ", key)
     arrival = F.struct(
         "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
@@ -137,15 +175,15 @@ def raw_comments(spark, sf_dir) -> DataFrame:
         ident.alias("id"),
         link.alias("link_id"),
         parent.alias("parent_id"),
-        F.col("o_orderpriority").alias("subreddit"),
+        spelling.alias("subreddit"),
         created.alias("created_utc"),
         author.alias("author"),
         (F.floor("l_quantity").cast("bigint") - 10).alias("score"),
         body.alias("body"),
         _text(
             '{"id": "', ident, '", "link_id": "', link, '", "parent_id": "', parent,
-            '", "subreddit": "', F.col("o_orderpriority"), '", "created_utc": ',
-            created.cast("string"), ', "author": "', author, '", "score": ',
+            '", "subreddit": "', spelling, '", "created_utc": ',
+            created.cast("string"), extra, ', "author": "', author, '", "score": ',
             (F.floor("l_quantity").cast("bigint") - 10).cast("string"), ', "body": "', body, '"}',
         ).alias("archive_json"),
         (created + 60).alias("fetched_at"),

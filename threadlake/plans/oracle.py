@@ -30,15 +30,20 @@ fx_named AS (
   SELECT *, k || '-' || n AS id, 't3_' || k AS link_id,
     CASE WHEN k % 97 = 0 AND n = 1 THEN 't1_' || k || '-2' WHEN n = 1 THEN 't3_' || k
       ELSE 't1_' || k || '-' || (CASE WHEN k % 2 = 1 THEN n // 2 ELSE n - 1 END) END AS parent_id,
-    o_orderpriority AS subreddit, t AS created_utc, 'u' || l_suppkey AS author,
+    CASE WHEN (k + n) % 10 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS subreddit,
+    t AS created_utc, 'u' || l_suppkey AS author,
+    CASE n % 4 WHEN 1 THEN ', "edited": 1e2' WHEN 2 THEN ', "z": ' || t || '.0, "a": [1.50, {"replies": 2}]'
+      ELSE '' END AS kept,
+    CASE n % 4 WHEN 0 THEN ', "replies": ""' WHEN 1 THEN
+      ', "replies": {"kind": "Listing", "data": [{"body": "a \\"]} b", "replies": {}}, 1.50]}' ELSE '' END AS cut,
     CAST(floor(l_quantity) AS BIGINT) - 10 AS score, 'line ' || n || ' of order ' || k AS body
   FROM fx_line),
 fx_raw AS (
   SELECT id, link_id, parent_id, subreddit, created_utc, author, score, body,
     '{"id": "' || id || '", "link_id": "' || link_id || '", "parent_id": "' || parent_id
       || '", "subreddit": "' || subreddit || '", "created_utc": ' || created_utc
-      || ', "author": "' || author || '", "score": ' || score || ', "body": "' || body || '"}'
-      AS archive_json,
+      || kept || cut || ', "author": "' || author || '", "score": ' || score || ', "body": "' || body || '"}'
+      AS archive_json, cut,
     created_utc + 60 AS fetched_at, k, o_custkey AS custkey,
     row_number() OVER (PARTITION BY id ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity,
       l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS copy
@@ -137,10 +142,11 @@ fx_windows AS (
   FROM fx_specs)"""
 
 _THREADS = _COMMENTS + """,
+fx_folded AS (SELECT * REPLACE (lower(subreddit) AS subreddit) FROM fx_comments),
 fx_parent AS (
   SELECT c.subreddit, c.link_id, c.id, c.created_utc, p.id AS parent,
     c.parent_id LIKE 't1\\_%' ESCAPE '\\' AND p.id IS NULL AS is_orphan
-  FROM fx_comments c LEFT JOIN fx_comments p
+  FROM fx_folded c LEFT JOIN fx_folded p
     ON p.subreddit = c.subreddit AND p.link_id = c.link_id AND c.parent_id = 't1_' || p.id),
 fx_tree AS (
   SELECT subreddit, link_id, id, parent, id AS root_id, 0 AS depth,
@@ -156,7 +162,7 @@ fx_nodes AS (
     row_number() OVER (PARTITION BY subreddit, link_id ORDER BY path) AS pos
   FROM fx_tree),
 fx_unplaced AS (
-  SELECT subreddit, link_id, id FROM fx_comments c
+  SELECT subreddit, link_id, id FROM fx_folded c
   WHERE NOT EXISTS (SELECT 1 FROM fx_nodes n WHERE n.id = c.id))"""
 
 _RAW_POSTS = """
@@ -261,6 +267,16 @@ ORACLE: dict[str, str] = {
     "dedup_first_wins": _sql(
         "SELECT id, link_id, subreddit, created_utc, author, score FROM fx_comments", _COMMENTS
     ),
+    "set_aside_rows": _sql(
+        """SELECT k, CASE k % 11 WHEN 2 THEN 'no json ' || k ELSE '{"id": "' || k || '"'
+            || CASE k % 11 WHEN 4 THEN '' WHEN 5 THEN ', "subreddit": ""' ELSE ', "subreddit": "s"' END
+            || ', "created_utc": ' || CASE k % 11 WHEN 0 THEN 'null' WHEN 1 THEN '"soon"' WHEN 3 THEN t || '000000'
+              WHEN 6 THEN '-5' WHEN 7 THEN '"NaN"' ELSE t END || '}' END AS value,
+          CASE WHEN k % 11 IN (0, 1, 7) THEN 'no time' WHEN k % 11 = 2 THEN 'no json'
+            WHEN k % 11 IN (3, 6) THEN 'time out of range' ELSE 'no community' END AS problem
+        FROM (SELECT k, CAST(created_utc AS VARCHAR) AS t FROM fx_posts) WHERE k % 11 < 8""",
+        _POSTS,
+    ),
     "existing_ids": _sql(
         "SELECT DISTINCT id FROM fx_raw r WHERE EXISTS (SELECT 1 FROM fx_stored s WHERE s.id = r.id)",
         _COMMENTS,
@@ -336,8 +352,8 @@ ORACLE: dict[str, str] = {
         _COMMENTS,
     ),
     "csv_counts": _sql(
-        """SELECT subreddit, 'posts' AS export, count(*) AS n_rows FROM fx_posts GROUP BY 1
-        UNION ALL SELECT subreddit, 'comments', count(*) FROM fx_comments GROUP BY 1""",
+        """SELECT lower(subreddit) AS subreddit, 'posts' AS export, count(*) AS n_rows FROM fx_posts GROUP BY 1
+        UNION ALL SELECT lower(subreddit), 'comments', count(*) FROM fx_comments GROUP BY 1""",
         _POSTS,
         _COMMENTS,
     ),
@@ -379,6 +395,16 @@ ORACLE: dict[str, str] = {
               FROM fx_customer)))""",
         _REQUESTS,
     ),
+    "slice_plan": _sql(
+        f"""SELECT row_number() OVER (ORDER BY first) - 1 AS slice,
+          CAST(CASE WHEN row_number() OVER (ORDER BY first) = 1 THEN {SINCE} ELSE first * 86400 END AS BIGINT) AS start,
+          CAST(coalesce(lead(first) OVER (ORDER BY first) * 86400, {BEFORE}) AS BIGINT) AS end, n_rows
+        FROM (SELECT part, min(day) AS first, CAST(sum(n) AS BIGINT) AS n_rows FROM (
+            SELECT day, n, (sum(n) OVER (ORDER BY day) - n) * 8 // sum(n) OVER () AS part
+            FROM (SELECT created_utc // 86400 AS day, count(*) AS n FROM fx_posts WHERE {_IN_WINDOW} GROUP BY 1))
+          GROUP BY part)""",
+        _POSTS,
+    ),
     "shard_assign": _sql(
         f"""SELECT id, created_utc, CAST(CASE WHEN {_IN_WINDOW}
           THEN least((created_utc - {SINCE}) // (({BEFORE} - {SINCE}) // 8), 7) END AS BIGINT) AS shard
@@ -387,8 +413,8 @@ ORACLE: dict[str, str] = {
     ),
     "keyset_pages": _sql(
         """, ranked AS (
-          SELECT subreddit, created_utc, (row_number() OVER (
-            PARTITION BY subreddit ORDER BY created_utc, id) - 1) // 100 AS page FROM fx_posts),
+          SELECT lower(subreddit) AS subreddit, created_utc, (row_number() OVER (
+            PARTITION BY lower(subreddit) ORDER BY created_utc, id) - 1) // 100 AS page FROM fx_posts),
         crowded AS (
           SELECT subreddit, max(page) AS page FROM ranked GROUP BY subreddit, created_utc
           HAVING count(*) > 100)
@@ -428,12 +454,12 @@ ORACLE: dict[str, str] = {
     "thread_unplaced": _threads("SELECT *, 'cycle' AS reason FROM fx_unplaced"),
     "thread_json": _threads(
         """, shaped AS (
-          SELECT n.*, c.archive_json, lag(n.depth) OVER w AS before, lead(n.depth) OVER w AS after
+          SELECT n.*, replace(c.archive_json, c.cut, '') AS archive_json, lag(n.depth) OVER w AS before, lead(n.depth) OVER w AS after
           FROM fx_nodes n JOIN fx_comments c USING (id)
           WINDOW w AS (PARTITION BY n.subreddit, n.link_id ORDER BY n.pos)),
         heads AS (
           SELECT DISTINCT subreddit, link_id,
-            '{"link_id": "' || substr(link_id, 4) || '", "tree": [' AS head FROM fx_comments)
+            '{"link_id": "' || substr(link_id, 4) || '", "tree": [' AS head FROM fx_folded)
         SELECT subreddit, link_id, coalesce(pos, 1) AS pos,
           CASE WHEN pos IS NULL THEN head || ']}' || chr(10) ELSE
             CASE WHEN pos = 1 THEN head WHEN before >= depth THEN ', ' ELSE '' END
@@ -446,7 +472,7 @@ ORACLE: dict[str, str] = {
         """SELECT subreddit, CAST(grouping(subreddit) AS INTEGER) AS is_overall,
           count(DISTINCT link_id) AS posts_with_threads, count(*) AS comments_total,
           count(*) FILTER (id IN (SELECT id FROM fx_nodes)) AS comments_in_tree
-        FROM fx_comments GROUP BY ROLLUP (subreddit)"""
+        FROM fx_folded GROUP BY ROLLUP (subreddit)"""
     ),
     "thread_chains": """SELECT 'talk' AS subreddit, 't3_' || conv_id AS link_id,
           conv_id || '-' || turn AS id,
@@ -487,17 +513,20 @@ ORACLE: dict[str, str] = {
         _OUTCOME,
     ),
     "stats_overall": _sql(f"SELECT {_COUNTS} FROM {_TAGGED}", *_STORES),
-    "stats_by_subreddit": _sql(f"SELECT subreddit, {_COUNTS} FROM {_TAGGED} GROUP BY 1", *_STORES),
+    "stats_by_subreddit": _sql(
+        f"SELECT lower(subreddit) AS subreddit, {_COUNTS} FROM {_TAGGED} GROUP BY 1", *_STORES
+    ),
     "stats_rollup": _sql(
-        f"""SELECT subreddit, CAST(grouping(subreddit) AS INTEGER) AS is_overall, {_COUNTS}
-        FROM {_TAGGED} GROUP BY ROLLUP (subreddit)""",
+        f"""SELECT name AS subreddit, CAST(grouping(name) AS INTEGER) AS is_overall, {_COUNTS}
+        FROM (SELECT *, lower(subreddit) AS name FROM {_TAGGED}) GROUP BY ROLLUP (name)""",
         *_STORES,
     ),
     "ingest_report": _sql(
-        """SELECT subreddit, 'comments' AS kind, count(*) AS fetched, count(DISTINCT id) AS distinct_ids,
-          count(DISTINCT id) FILTER (id NOT IN (SELECT id FROM fx_stored)) AS new_rows
+        """SELECT lower(subreddit) AS subreddit, 'comments' AS kind, count(*) AS fetched,
+          count(DISTINCT CASE WHEN k % 101 <> 0 THEN id END) AS distinct_ids,
+          count(DISTINCT id) FILTER (k % 101 <> 0 AND id NOT IN (SELECT id FROM fx_stored)) AS new_rows
         FROM fx_raw GROUP BY 1
-        UNION ALL SELECT subreddit, 'posts', count(*), count(*), count(*) FROM fx_posts GROUP BY 1""",
+        UNION ALL SELECT lower(subreddit), 'posts', count(*), count(*), count(*) FROM fx_posts GROUP BY 1""",
         _POSTS,
         _COMMENTS,
     ),

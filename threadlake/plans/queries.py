@@ -14,13 +14,14 @@ from threadlake.functions import (
     parse_count,
     parse_timespec,
     strip_fullname,
-    tag_attribute,
+    with_attributes,
 )
-from threadlake.operators import coverage, live, membership, shards, stats, threads, upsert
+from threadlake.operators import coverage, live, membership, shards, slices, stats, threads, upsert
 from threadlake.operators.dedup import first_wins
 from threadlake.operators.normalize import normalize_comments, normalize_meta, normalize_posts
 from threadlake.scratch import write_table
 from threadlake.schemas import COMMENT_CSV, POST_CSV
+from threadlake.sources.archive import placed_lines
 from threadlake.sources import rows_by_subreddit, scan_page, scan_window, thread_scan
 
 from . import fixtures as fx
@@ -85,11 +86,8 @@ def comments_grouped(spark, d):
 @query
 def page_attr_extract(spark, d):
     pages = fx.table(spark, d, "pages")
-    return pages.select(
-        "page_id",
-        tag_attribute("html", "html", "lang").alias("lang"),
-        tag_attribute("html", "meta", "charset").alias("charset"),
-    )
+    wanted = {"lang": ("html", "lang"), "charset": ("meta", "charset")}
+    return with_attributes(pages, "html", wanted, keep=["page_id"])
 
 
 # Normalisation, dedup, merges
@@ -109,6 +107,12 @@ def normalize_raw_comments(spark, d):
 
 
 
+@query
+def set_aside_rows(spark, d):
+    lines = placed_lines(fx.landed_lines(spark, d), "posts")
+    return lines.where(F.col("problem").isNotNull()).select(F.col("line_place").alias("k"), "value", "problem")
+
+
 @query
 def dedup_first_wins(spark, d):
     rows = first_wins(fx.raw_comments(spark, d), ["id"], ["arrival"])
@@ -210,6 +214,11 @@ def shard_bounds(spark, d):
     return shards.shard_bounds(rows)
 
 
+@query
+def slice_plan(spark, d):
+    return slices.slice_plan(fx.posts(spark, d), SINCE, BEFORE, 8)
+
+
 @query
 def shard_assign(spark, d):
     slot = shards.shard_of("created_utc", SINCE, BEFORE, 8)
@@ -272,14 +281,13 @@ def thread_nodes(spark, d):
 
 @query
 def sibling_rank(spark, d):
-    linked = write_table(threads.link_parents(_thread_store(spark, d)).drop("is_orphan"), "linked")
-    return threads.sibling_rank(linked)
+    return threads.sibling_rank(threads.link_parents(_thread_store(spark, d)).drop("is_orphan"))
 
 
 @query
 def thread_unplaced(spark, d):
     comments = _thread_store(spark, d)
-    return threads.unplaced_comments(comments, threads.build_forest(comments))
+    return threads.unplaced_comments(comments, threads.resolve(comments))
 
 
 @query
@@ -290,7 +298,7 @@ def thread_json(spark, d):
 
 @query
 def thread_totals(spark, d):
-    return threads.thread_totals(threads.build_forest(_thread_store(spark, d)))
+    return threads.thread_totals(threads.resolve(_thread_store(spark, d)))
 
 
 # Conversations are long chains, the other shape of thread
@@ -388,7 +396,8 @@ def stats_rollup(spark, d):
 @query
 def ingest_report(spark, d):
     batch = fx.raw_comments(spark, d).withColumn("kind", F.lit("comments"))
-    batch = batch.select("kind", "subreddit", "id").unionAll(
+    ident = F.when(F.col("k") % 101 != 0, F.col("id")).alias("id")  # some come without one
+    batch = batch.select("kind", "subreddit", ident).unionAll(
         fx.posts(spark, d).select(F.lit("posts").alias("kind"), "subreddit", "id")
     )
     store = fx.stored_comments(spark, d).select(F.lit("comments").alias("kind"), "id")

@@ -48,6 +48,22 @@ COMMENT_TREES = _layout(
     ("fetched_at", LongType),
 )
 
+THREAD_LINES = _layout(
+    ("community", StringType),
+    ("link_id", StringType),
+    ("subreddit", StringType),
+    ("pos", LongType),
+    ("text", StringType),
+)
+
+THREAD_POSTS = _layout(
+    ("community", StringType),
+    ("link_id", StringType),
+    ("subreddit", StringType),
+    ("comments", LongType),
+    ("in_tree", LongType),
+)
+
 SUBREDDIT_META = _layout(
     ("subreddit", StringType),
     ("subscribers", LongType),

@@ -9,9 +9,11 @@ from .archive import (
     spread,
     thread_scan,
 )
+from .landing import Landing
 from .store import Store
 
 __all__ = [
+    "Landing",
     "Store",
     "landed_archive",
     "landed_records",

@@ -8,9 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.functions import int_or_zero, month_of_epoch
-from threadlake.functions.numbers import to_bigint
-from threadlake.functions.times import MAX_EPOCH
+from threadlake.functions import int_or_zero, line_problem, month_of_epoch
 
 # Order in which landed lines arrived: file by file, then along the file.
 ARRIVAL = ["file_time", "file_path", "block_start", "line_place"]
@@ -41,45 +39,33 @@ def with_line_place(records: DataFrame) -> DataFrame:
     return records.withColumn("line_place", F.monotonically_increasing_id())
 
 
-def landed_archive(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Landed lines of one kind as an archive to load from: kind, subreddit, created_utc, id, value,
-    problem and the columns of ARRIVAL.
+def placed_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """Landed lines of one kind (``value``, the columns of ARRIVAL, and the folder's ``subreddit`` if
+    there is one) as an archive to load from: kind, subreddit, created_utc, id, value, problem and the
+    columns of ARRIVAL. Batches of a stream and whole archives are read alike.
 
     The community is the record's own, or that of its folder. The time is taken as stored rows
-    take it. ``problem`` says why a line can be placed in no window (NULL for all others): no JSON
-    object, no readable time, a time out of range, or no community.
+    take it. ``problem`` says why a line can be placed in no window (``line_problem``).
     """
-    lines = landed_records(spark, path)
     folder = F.col("subreddit") if "subreddit" in lines.columns else F.lit(None).cast("string")
     fields = F.from_json("value", "id string, subreddit string, created_utc string")
-    records = lines.select(
+    records = lines.select(folder.alias("_folder"), "value", *ARRIVAL, F.explode(F.array(fields)).alias("_r"))
+    community = F.coalesce(F.nullif(F.col("_r.subreddit"), F.lit("")), "_folder")
+    return records.select(
         F.lit(kind).alias("kind"),
-        folder.alias("_folder"),
-        "value",
-        *ARRIVAL,
-        F.explode(F.array(fields)).alias("_r"),
-    ).select(
-        "kind",
-        F.coalesce(F.nullif(F.col("_r.subreddit"), F.lit("")), "_folder").alias("subreddit"),
+        community.alias("subreddit"),
         int_or_zero("_r.created_utc").alias("created_utc"),
-        to_bigint("_r.created_utc").isNull().alias("_unread"),
-        F.col("_r.created_utc").try_cast("double").alias("_time"),
         F.col("_r.id").alias("id"),
         "value",
         *ARRIVAL,
+        line_problem("value", "_r.created_utc", community).alias("problem"),
     )
-    # Infinite and NaN times are none; finite ones beyond BIGINT are out of range.
-    finite = F.coalesce(F.abs("_time") < float("inf"), F.lit(False))
-    no_time = F.col("_unread") & ~finite
-    problem = (
-        F.when(no_time & F.get_json_object("value", "$").isNull(), "no json")
-        .when(no_time, "no time")
-        .when(
-            F.col("_unread") | ~F.col("created_utc").between(0, MAX_EPOCH - 1), "time out of range"
-        )
-        .when(F.coalesce("subreddit", F.lit("")) == "", "no community")
-    )
-    return records.withColumn("problem", problem).drop("_unread", "_time")
+
+
+def landed_archive(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A landed folder as an archive, read and parsed anew by every job that uses it. ``Landing``
+    converts each file once instead."""
+    return placed_lines(landed_records(spark, path), kind)
 
 
 def spread(records: DataFrame) -> DataFrame:

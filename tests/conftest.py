@@ -6,6 +6,9 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from threadlake.session import local_session  # noqa: E402
+from threadlake.sources import id_index  # noqa: E402
+
+id_index.BUCKETS = 8  # tests write small tables
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -42,14 +42,14 @@ def test_jsonl_appends(spark, tmp_path):
     append_jsonl(posts(spark, ("c", "S", 3, "x")), str(tmp_path), "posts")
     append_jsonl(posts(spark), str(tmp_path), "posts")
     append_jsonl(posts(spark, ("d", "S", 3, "x")), str(tmp_path), "posts", enabled=False)
-    lines = "".join(content(tmp_path / "posts.jsonl" / "subreddit=S" / "*.txt")).splitlines()
+    lines = "".join(content(tmp_path / "posts.jsonl" / "subreddit=s" / "*.txt")).splitlines()
     assert sorted(lines) == ['{"id": "a", "t": "q\\""}', '{"id": "b", "t": "é"}', '{"id": "c", "t": "x"}']
 
 
 def test_tree_lines(spark, tmp_path):
     trees = spark.createDataFrame([('p"1', "S", "[{}]")], "link_id string, subreddit string, tree_json string")
     append_trees(trees, str(tmp_path))
-    (text,) = content(tmp_path / "comment_trees.jsonl" / "subreddit=S" / "*.txt")
+    (text,) = content(tmp_path / "comment_trees.jsonl" / "subreddit=s" / "*.txt")
     assert json.loads(text) == {"link_id": 'p"1', "tree": [{}]}
 
 
@@ -61,7 +61,7 @@ def test_thread_lines(spark, tmp_path):
         ]
         df = spark.createDataFrame(rows, COMMENTS)
         write_threads(thread_json(df, build_forest(df), block_nodes=2), str(tmp_path))
-        lines = "".join(content(tmp_path / "threads.jsonl" / "subreddit=S" / "*.txt")).split("\n")
+        lines = "".join(content(tmp_path / "threads.jsonl" / "subreddit=s" / "*.txt")).split("\n")
         assert not lines[-1].strip()
         return [json.loads(x) for x in lines[:-1]]
 
@@ -79,7 +79,7 @@ def test_line_of_a_large_post(spark, tmp_path):
         "concat('{\"id\": \"', id, '\"}') as archive_json",
     )
     write_threads(thread_json(df, build_forest(df)), str(tmp_path))
-    (line, rest) = "".join(content(tmp_path / "threads.jsonl" / "subreddit=S" / "*.txt")).split("\n")
+    (line, rest) = "".join(content(tmp_path / "threads.jsonl" / "subreddit=s" / "*.txt")).split("\n")
     chain = lambda i: {"id": str(i), "replies": [chain(i + 1)] if i % 5 < 4 else []}
     assert json.loads(line) == {"link_id": "p", "tree": [chain(i) for i in range(0, 25_000, 5)]}
     assert not rest.strip()

@@ -125,7 +125,7 @@ def test_trees_and_reports_are_not_sorted(spark, small):
 
 
 def test_totals_carry_no_paths_and_pages_are_passed_once(spark, small):
-    assert "path" not in plan(entry.queries()["thread_totals"](spark, small))
+    assert not re.search(r"\bpath#|array<struct", plan(entry.queries()["thread_totals"](spark, small)))
     text = plan(entry.queries()["page_attr_extract"](spark, small))
     assert text.count("regexp_extract_all(html") == 1 and "ReadSchema: struct<page_id:bigint,html:string>" in text
 
@@ -148,7 +148,8 @@ def test_one_slice_reads_its_own_files(spark, tmp_path):
         )
     text = plan(read_slice(spark, str(tmp_path), slices[1].slice))
     assert re.search(rf"PartitionFilters: \[[^]]*\(slice#\d+ = {slices[1].slice}\)", text)
-    assert len(read_slice(spark, str(tmp_path), 1).inputFiles()) < len(spark.read.parquet(f"{tmp_path}/rows").inputFiles())
+    files = read_slice(spark, str(tmp_path), 1).select(F.input_file_name().alias("f")).distinct()
+    assert all("slice=1/" in r.f for r in files.collect())
     assert write_slices(rows.limit(0), str(tmp_path / "none"), 0, 10, 3).count() == 0
 
 

@@ -106,7 +106,7 @@ class IdIndex:
         placed.write.mode(mode).partitionBy("bucket").parquet(f"{self.folder}/ids")
         piece = F.pmod(F.hash("id"), F.lit(slices)).alias("slice")
         filters = rows.groupBy("bucket", piece).applyInArrow(_filter, _FILTER)
-        filters.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{self.folder}/filters")
+        filters.write.mode(mode).partitionBy("bucket").parquet(f"{self.folder}/filters")
 
     def _read(self, what: str, layout: str) -> DataFrame:
         return self.spark.read.schema(layout).parquet(f"{self.folder}/{what}")

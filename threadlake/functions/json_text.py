@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ._columns import as_column, as_literal
 
-# A JSON text as a row of tokens that leaves nothing out: strings, brackets, marks, blanks, the rest.
-_TOKENS = r'"(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|\s++|[^\s"\[\]{}:,]++|"'
+# A JSON text as a row of tokens that leaves nothing out: strings, keys with their colon, brackets,
+# commas with the blanks behind them, and what lies between.
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?|[\[\]{}]|,\s*+|[^"\[\]{},]++|"'
 
 
 def json_default(doc: Column | str, path: str, default) -> Column:
@@ -33,45 +34,35 @@ def json_quote(text: Column | str) -> Column:
 def _field_places(doc: Column, field: str) -> Column:
     """Where a field of the outermost object begins and ends: (start, end) pairs of characters.
 
-    A pass over the tokens that remembers the depth, the last comma at depth 1, whether a key is
-    due, and where the field in hand began. The field goes with the comma before it or, if it is
-    the first one, with the comma behind it and the blanks that follow.
+    A pass over the tokens that remembers the depth, the last comma at depth 1 and where the field in
+    hand began. The field goes with the comma before it or, if it is the first one, with the comma
+    behind it.
     """
     state = F.struct(
         F.lit(0).alias("at"),
         F.lit(0).alias("depth"),
         F.lit(-1).alias("comma"),
-        F.lit(False).alias("key_due"),
         F.lit(-1).alias("start"),
-        F.lit(False).alias("trims"),
         F.array().cast("array<struct<start:int,end:int>>").alias("found"),
     )
 
     def step(s: Column, token: Column) -> Column:
-        opens, closes = token.isin("{", "["), token.isin("}", "]")
-        outer = s["depth"] == 1
-        comma, blank = outer & (token == ","), F.trim(token, F.lit(" \t\r\n")) == ""
-        ends = outer & ((token == ",") | (token == "}")) & (s["start"] >= 0) & ~s["trims"]
-        first = s["comma"] < 0
-        begins = outer & s["key_due"] & (token == f'"{field}"')
-        # The first field also takes the comma behind it and the blanks after that.
-        trims = ends & first & (token == ",")
-        trimmed = s["trims"] & ~blank
-        cut = F.when(
-            ends & ~trims, F.struct(s["start"].alias("start"), s["at"].alias("end"))
-        ).when(trimmed, F.struct(s["start"].alias("start"), s["at"].alias("end")))
-        start = F.when(ends & ~trims, -1).when(trimmed, -1).otherwise(s["start"])
+        at, outer, first = s["at"], s["depth"] == 1, s["comma"] < 0
+        after = at + F.length(token)
+        comma = outer & token.startswith(",")
+        ends = outer & (s["start"] >= 0) & (token.startswith(",") | (token == "}"))
+        takes_comma = ends & first & comma
+        cut = F.struct(s["start"].alias("start"), F.when(takes_comma, after).otherwise(at).alias("end"))
+        begins = outer & token.startswith(f'"{field}"') & token.endswith(":")
         return F.struct(
-            (s["at"] + F.length(token)).alias("at"),
-            (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
-            F.when(comma & ~trims, s["at"]).otherwise(s["comma"]).alias("comma"),
-            F.when((opens & (s["depth"] == 0)) | comma, F.lit(True))
-            .when(blank, s["key_due"])
-            .otherwise(F.lit(False))
-            .alias("key_due"),
-            F.when(begins, F.when(first, s["at"]).otherwise(s["comma"])).otherwise(start).alias("start"),
-            F.when(trims, F.lit(True)).when(trimmed, F.lit(False)).otherwise(s["trims"]).alias("trims"),
-            F.when(cut.isNotNull(), F.concat(s["found"], F.array(cut))).otherwise(s["found"]).alias("found"),
+            after.alias("at"),
+            F.when(token.isin("{", "["), s["depth"] + 1)
+            .when(token.isin("}", "]"), s["depth"] - 1)
+            .otherwise(s["depth"])
+            .alias("depth"),
+            F.when(comma & ~takes_comma, at).otherwise(s["comma"]).alias("comma"),
+            F.when(begins, F.when(first, at).otherwise(s["comma"])).when(ends, -1).otherwise(s["start"]).alias("start"),
+            F.when(ends, F.concat(s["found"], F.array(cut))).otherwise(s["found"]).alias("found"),
         )
 
     tokens = F.regexp_extract_all(doc, F.lit(_TOKENS), F.lit(0))

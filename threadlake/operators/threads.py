@@ -8,10 +8,10 @@ dealt by ``skew``.
 2. ``resolve``: which comments a root leads to. Open replies jump over one another, the distance
    doubling every round; a reply whose target is not open has been led to. Only open replies are
    looked at, so what is left when a round frees none are cycles and what hangs below them.
-3. ``build_forest``: order, depth and root by one walk. The walk enters and leaves every comment
-   once; each of its steps knows the step before it. Sums along the walk back to its start (comments
-   entered; entered less left; nearest top comment) are place, depth and root. They are found by
-   list ranking: about one step in ``SPACING`` is a splitter, picked by a hash; every step jumps, in
+3. ``build_forest``: order, depth and root by one walk through each post in reading order. Every
+   comment knows the one before it and how much deeper or higher that lies. Sums along the walk back to
+   its start (comments passed; steps down less steps up; nearest top comment) are place, depth and
+   root. They are found by list ranking: about one step in ``SPACING`` is a splitter, picked by a hash; every step jumps, in
    doubling distances, until it meets a splitter or the start; then the splitters, which are few, do
    the same among themselves, and each step adds what its splitter has found. Neither trees of any
    depth nor flat posts of any size are treated in a way of their own, and nothing but numbers and
@@ -41,19 +41,25 @@ from .skew import HOT_ROWS, lookup, neighbours_in_groups, rank_in_groups
 # Keys run from many values to few: sorts compare the first key first, and a community name decides
 # next to nothing.
 POST = ["link_id", "subreddit"]
-SPACING = 64  # steps of a walk between splitters, on average; results do not depend on it
+SPACING = 256  # steps of a walk between splitters, on average; results do not depend on it
 BLOCK_NODES = 10_000  # comments whose neighbours are found in one window; results do not depend on it
 
 
 class Forest(NamedTuple):
     """``placed``: subreddit, link_id, id, parent, root_id, depth, pos (1.. in reading order).
-    ``unplaced``: subreddit, link_id, id, parent of comments no root leads to. Both are written, in
+    ``unplaced``: subreddit, link_id, id, parent of comments no root leads to. Both rest on tables in
     ``scratch``. From ``resolve``, ``placed`` has no root, depth and place."""
 
     placed: DataFrame
     unplaced: DataFrame
     scratch: Scratch
 
+    def written(self) -> Forest:
+        """The same with ``placed`` written, for more than one use."""
+        if hasattr(self.placed, "_scratch_path"):
+            return self
+        return self._replace(placed=self.scratch.write(self.placed, "placed"))
+
 
 def _community() -> Column:
     return F.lower("subreddit").alias("subreddit")
@@ -131,7 +137,7 @@ def resolve(comments: DataFrame, hot_rows: int = HOT_ROWS) -> Forest:
 def build_forest(comments: DataFrame, hot_rows: int = HOT_ROWS, spacing: int = SPACING) -> Forest:
     scratch = Scratch(comments.sparkSession, "threads")
     linked, _ = _linked(comments, scratch, hot_rows)
-    steps = scratch.write(_walk(linked, scratch, hot_rows), "steps")
+    steps = scratch.write(_walk(linked, hot_rows), "steps")
     ranked = _ranked(steps, scratch, spacing)
     entered = ranked.where(F.col("at") % 2 == 0).select(
         F.call_function("div", F.col("at"), F.lit(2).cast("bigint")).alias("node"),
@@ -140,58 +146,57 @@ def build_forest(comments: DataFrame, hot_rows: int = HOT_ROWS, spacing: int = S
         F.col("top").alias("root_id"),
     )
     placed = linked.join(entered, "node").select(*POST, "id", "parent", "root_id", "depth", "pos")
-    placed = scratch.write(placed, "placed")
     loose = linked.join(entered.select("node"), "node", "left_anti").select(*POST, "id", "parent")
-    loose = scratch.write(loose, "unplaced")
     return Forest(placed, loose, scratch)
 
 
-def _walk(linked: DataFrame, scratch: Scratch, hot_rows: int) -> DataFrame:
-    """Steps of the walk: ``at`` is 2 * node for entering a comment, 2 * node + 1 for leaving it;
-    ``to`` is the step before (NULL at the start of a post), and what this step itself adds to the
-    sums."""
+def _walk(linked: DataFrame, hot_rows: int) -> DataFrame:
+    """Steps of the walk: ``at`` is 2 * node for coming to a comment, 2 * node + 1 for having passed all
+    its replies, if it has any; ``to`` is the step before (NULL at the start of a post); the rest is
+    what the step itself adds to the sums.
+
+    A comment is passed with its last reply, or by coming to it if it has none: its ``exit``. Before a
+    first reply stands the coming to its parent, before any other one the exit of its elder sibling.
+    """
     family = ["parent_node", *POST]
-    kin = linked.select(*family, "node", "id", "created_utc")
-    kin = scratch.write(
-        neighbours_in_groups(kin, family, ["created_utc", "id"], "node", hot_rows, rows=linked.count()).select(
-            "node", "parent_node", "_before", "_is_last", "id"
-        ),
-        "kin",
+    parents = linked.where(F.col("parent_node").isNotNull()).select(F.col("parent_node").alias("node")).distinct()
+    kin = linked.select(*family, "node", "id", "created_utc").join(
+        parents.withColumn("_has_replies", F.lit(1)), "node", "left"
     )
-    last_replies = kin.where(F.col("_is_last") & F.col("parent_node").isNotNull()).select(
-        F.col("parent_node").alias("node"), F.col("node").alias("_reply")
+    kin = kin.withColumn("exit", F.col("node") * 2 + F.coalesce("_has_replies", F.lit(0)))
+    kin = neighbours_in_groups(kin, family, ["created_utc", "id"], "exit", hot_rows, rows=linked.count())
+    one, parent = F.lit(1).cast("bigint"), F.col("parent_node")
+    comes = F.struct(
+        (F.col("node") * 2).alias("at"),
+        F.coalesce("_before", parent * 2).alias("to"),
+        one.alias("entered"),
+        one.alias("level"),
+        F.when(parent.isNull(), F.col("id")).alias("top"),
     )
-    both = kin.join(last_replies, "node", "left")
-    enter, leave = F.col("node") * 2, F.col("node") * 2 + 1
-    one, top = F.lit(1).cast("bigint"), F.when(F.col("parent_node").isNull(), F.col("id"))
-    steps = F.array(
-        F.struct(
-            enter.alias("at"),
-            F.coalesce(F.col("_before") * 2 + 1, F.col("parent_node") * 2).alias("to"),
-            one.alias("entered"),
-            one.alias("level"),
-            top.alias("top"),
-        ),
-        F.struct(
-            leave.alias("at"),
-            F.coalesce(F.col("_reply") * 2 + 1, enter).alias("to"),
-            (one - 1).alias("entered"),
-            (-one).alias("level"),
-            F.lit(None).cast("string").alias("top"),
-        ),
+    # Passed by coming to it, a comment without replies leaves the level as it was.
+    stays = F.col("_before").isNotNull() & (F.col("_before") % 2 == 0)
+    comes = comes.withField("level", F.when(stays, one - 1).otherwise(one))
+    passes = F.struct(
+        (parent * 2 + 1).alias("at"),
+        F.col("exit").alias("to"),
+        (one - 1).alias("entered"),
+        F.when(F.col("exit") % 2 == 0, -one - 1).otherwise(-one).alias("level"),
+        F.lit(None).cast("string").alias("top"),
     )
-    return both.select(F.explode(steps).alias("s")).select("s.*")
+    steps = F.array_compact(F.array(comes, F.when(F.col("_is_last") & parent.isNotNull(), passes)))
+    return kin.select(F.explode(steps).alias("s")).select("s.*")
 
 
-def _beyond(steps: DataFrame) -> DataFrame:
-    """Steps as the targets of others: what is added by going on from ``to``."""
-    return steps.select(
-        F.col("at").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("to", "entered", "level", "top")]
-    )
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _added(joined: DataFrame) -> DataFrame:
-    return joined.select(
+def _jumped(steps: DataFrame, targets: DataFrame) -> DataFrame:
+    """Steps moved on to where the steps they point at point; what both have found is added up."""
+    beyond = targets.select(
+        F.col("at").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("to", "entered", "level", "top")]
+    )
+    return steps.join(beyond, "to").select(
         "at",
         F.col("_to").alias("to"),
         (F.col("entered") + F.col("_entered")).alias("entered"),
@@ -201,15 +206,14 @@ def _added(joined: DataFrame) -> DataFrame:
 
 
 def _jump_until(steps: DataFrame, arrived: Column, targets: Column, scratch: Scratch) -> list[DataFrame]:
-    """Steps moved back along the walk in doubling distances until ``arrived``; those that never do
-    (the walk is a ring there) are left out. Only steps that are ``targets`` are jumped to. No two
-    steps have the same target, so no join key repeats."""
+    """Steps moved on in doubling distances until ``arrived``; those that never do (they run in a
+    ring) are left out. Only steps that are ``targets`` are jumped to. No two steps have the same
+    target, so no join key repeats."""
     done, live = [steps.where(arrived)], steps.where(~arrived)
     n = None
     while True:
-        pool = reduce(DataFrame.unionByName, [*done, live])
-        moved = live.join(_beyond(pool.where(targets)), "to")
-        moved, left = scratch.write_counted(_added(moved), "steps", ~arrived)
+        pool = _union([*done, live]).where(targets)
+        moved, left = scratch.write_counted(_jumped(live, pool), "steps", ~arrived)
         done.append(moved.where(arrived))
         if not left or left == n:
             return done
@@ -223,14 +227,11 @@ def _ranked(steps: DataFrame, scratch: Scratch, spacing: int) -> DataFrame:
         return F.pmod(F.xxhash64(step), F.lit(spacing)) == 0
 
     start = F.col("to").isNull()
-    near = reduce(
-        DataFrame.unionByName,
-        _jump_until(steps, F.coalesce(splits("to"), F.lit(False)) | start, ~splits("at"), scratch),
-    )
+    met = F.coalesce(splits("to"), F.lit(False)) | start
+    near = _union(_jump_until(steps, met, ~splits("at"), scratch))
     splitters = scratch.write(near.where(splits("at")), "splitters")
-    far = reduce(DataFrame.unionByName, _jump_until(splitters, start, F.lit(True), scratch))
-    rest = near.where(~start)
-    return near.where(start).unionByName(_added(rest.join(_beyond(far), "to")))
+    far = _union(_jump_until(splitters, start, F.lit(True), scratch))
+    return near.where(start).unionByName(_jumped(near.where(~start), far))
 
 
 def sibling_rank(nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -283,6 +284,7 @@ def thread_json(
     A post's texts in the order of ``pos``, joined with or without blanks, are its JSON object and
     a line feed. A post whose comments all hang in cycles has one fragment, an empty tree.
     """
+    forest = forest.written()
     size = F.lit(block_nodes).cast("bigint")
     sizes = forest.placed.groupBy(*POST).agg(F.count("*").alias("_size"))
     placed = lookup(

@@ -114,7 +114,7 @@ def run_threads(
         if not rebuild:
             columns = ["subreddit", "community", "link_id", "id", "parent_id", "created_utc", "archive_json"]
             comments = scratch.write(comments.select(*columns).join(mine, keys, "left_semi"), "comments")
-        forest = build_forest(comments)
+        forest = build_forest(comments).written()
         named = F.col("subreddit").alias("community")  # threads name a community in lower case
         store.change("thread_lines", thread_json(comments, forest).select(named, "*"))
         store.change("thread_posts", post_counts(forest).select(named, "*"))

@@ -159,7 +159,8 @@ def raw_comments(spark, sf_dir) -> DataFrame:
     author = _text("u", F.col("l_suppkey").cast("string"))
     # Numbers in more than one form, and replies as they land: empty, or a whole tree.
     extra = (
-        F.when(n % 4 == 0, _text(', "replies": ""'))
+        F.when(k % 4 != 1, "")
+        .when(n % 4 == 0, _text(', "replies": ""'))
         .when(n % 4 == 1, _text(', "edited": 1e2, "replies": {"kind": "Listing", "data": [{"body": "a \\"]} b", "replies": {}}, 1.50]}'))
         .when(n % 4 == 2, _text(', "z": ', created.cast("string"), '.0, "a": [1.50, {"replies": 2}]'))
         .otherwise("")

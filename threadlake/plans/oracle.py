@@ -32,9 +32,9 @@ fx_named AS (
       ELSE 't1_' || k || '-' || (CASE WHEN k % 2 = 1 THEN n // 2 ELSE n - 1 END) END AS parent_id,
     CASE WHEN (k + n) % 10 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS subreddit,
     t AS created_utc, 'u' || l_suppkey AS author,
-    CASE n % 4 WHEN 1 THEN ', "edited": 1e2' WHEN 2 THEN ', "z": ' || t || '.0, "a": [1.50, {"replies": 2}]'
+    CASE CASE WHEN k % 4 = 1 THEN n % 4 ELSE 3 END WHEN 1 THEN ', "edited": 1e2' WHEN 2 THEN ', "z": ' || t || '.0, "a": [1.50, {"replies": 2}]'
       ELSE '' END AS kept,
-    CASE n % 4 WHEN 0 THEN ', "replies": ""' WHEN 1 THEN
+    CASE CASE WHEN k % 4 = 1 THEN n % 4 ELSE 3 END WHEN 0 THEN ', "replies": ""' WHEN 1 THEN
       ', "replies": {"kind": "Listing", "data": [{"body": "a \\"]} b", "replies": {}}, 1.50]}' ELSE '' END AS cut,
     CAST(floor(l_quantity) AS BIGINT) - 10 AS score, 'line ' || n || ' of order ' || k AS body
   FROM fx_line),

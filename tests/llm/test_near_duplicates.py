@@ -125,8 +125,10 @@ def test_components(spark):
     assert found == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_classes_equal_all_pairs(spark, documents):
+@pytest.mark.parametrize("few", [nd.FEW_PAIRS, 0])  # 0: members get hubs of their own until none helps
+def test_classes_equal_all_pairs(spark, documents, monkeypatch, few):
     """Copies, near copies of near copies, families around a text that is not there, and noise."""
+    monkeypatch.setattr(nd, "FEW_PAIRS", few)
     rng = random.Random(5)
     rows = []
 

@@ -5,9 +5,13 @@
    are compared with one of them, the hub: n - 1 comparisons, not n * n / 2.
 3. Links (similarity of ``least`` or more) are joined to classes.
 4. Members that are in another class than their hub are left over; they may be linked to other
-   members of the bucket, and two exact bounds find those (see ``_left_over``): what a text shares
+   members of the bucket, and two exact bounds find those (see ``_LeftOver``): what a text shares
    with others beyond the hub's shingles must make up for what it lacks, so only pairs that share
-   one of the rarest such shingles, or whose other text is smaller than the hub, are compared.
+   one of the rarest such shingles, or whose other text is smaller than the hub, can be linked.
+   Shingles that only one class holds make no pairs. Where the pairs were many more than the members,
+   the members that share such a shingle are first compared with one of them, a hub of their own,
+   and joined to classes, as often as this finds links; only what is in different classes after
+   that is compared pair by pair.
 
 So a group of copies with a third of all texts costs comparisons in proportion to its size, no
 bucket is capped, and no link within a bucket between texts of different classes is missed. Two texts with similarity 0.8
@@ -27,15 +31,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlake.llm import bagminhash
 from threadlake.llm.frames import add_columns, text_of
+from threadlake.operators.skew import lookup
 from threadlake.scratch import Scratch
 
 
+FEW_PAIRS = 4  # pairs per member that are compared at once; the classes do not depend on it
+
+
 @dataclass(frozen=True)
 class Settings:
     bands: int = 20
@@ -43,11 +51,35 @@ class Settings:
     least: float = 0.8
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of each batch as stars around the smallest node of what they join: fewer edges, and
+    fewer rounds for ``components``."""
+    for batch in batches:
+        above: dict = {}
+
+        def top(x):
+            path = []
+            while (y := above.get(x, x)) != x:
+                path.append(x)
+                x = y
+            for z in path:
+                above[z] = x
+            return x
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = sorted((top(a), top(b)))
+            above[b] = a
+        nodes = [x for x in above if above[x] != x]
+        columns = [pa.array(c, batch.schema.types[0]) for c in (nodes, [top(x) for x in nodes])]
+        yield pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); a component is its smallest node.
 
-    Alternating large-star and small-star steps, each a few joins and aggregations over the edges,
-    until nothing changes. Nothing but a count and a checksum reaches the driver.
+    Each batch of edges becomes a forest of stars; then alternating large-star and small-star steps,
+    each a few joins and aggregations over the edges, until nothing changes. Nothing but a count and
+    a checksum reaches the driver.
     """
 
     def written(e: DataFrame) -> tuple[DataFrame, tuple]:
@@ -56,9 +88,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         table = scratch.write(e.observe(seen, *sums), "edges")
         return table, (seen.get.get("n"), seen.get.get("x"))
 
-    edges = edges.where(F.col("a") != F.col("b"))
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now, state = written(edges.distinct())
+    kind = edges.schema["a"].dataType.simpleString()
+    edges = edges.where(F.col("a") != F.col("b")).select("a", "b")
+    now, state = written(edges.mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -129,12 +161,12 @@ def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _left_over(placed: DataFrame, distance: DataFrame, settings: Settings) -> DataFrame:
+class _LeftOver:
     """Pairs (a, b) that may be linked although their hub does not join their classes.
 
     Let y share ``common`` shingles with the hub, and let ``found`` of those it has beyond the hub
-    be in some other text of that hub. A text z with as many as ``size`` shingles is linked to y
-    only if they share least / (1 + least) * (size(y) + size(z)) of them.
+    be in a text of that hub that is in another class. A text z with as many as ``size`` shingles is
+    linked to y only if they share least / (1 + least) * (size(y) + size(z)) of them.
 
     * If z shares none of what y has beyond the hub, they share no more than ``common``, so z must
       be no larger than common * (1 + 1 / least) - size(y). Such pairs are found by size.
@@ -143,64 +175,99 @@ def _left_over(placed: DataFrame, distance: DataFrame, settings: Settings) -> Da
       and behind their first common one both must still hold as many as the pair needs.
 
     And as 1 - similarity is a metric, their distances to the hub differ by no more than 1 - least.
+
+    ``placed``: hub, key, d, size, common, component, over; ``distance``: hub, key, rest.
     """
-    least, reach = settings.least, 1 - settings.least + 1e-9
-    over = placed.where("over")
-    hubs = over.select("hub").distinct()
-    group = placed.join(hubs, "hub", "left_semi")
-    group = group.select("hub", "key", "d", "size", "common", "over", "component").distinct()
-    smallest = group.groupBy("hub").agg(F.min("size").alias("smallest"))
-
-    listed = distance.select("hub", "key", "rest").join(hubs, "hub", "left_semi")
-    beyond = listed.select("hub", "key", F.explode("rest").alias("shingle"))
-    held = (
-        beyond.groupBy("hub", "shingle")
-        .agg(F.count("*").alias("n"), F.min("key").alias("x"), F.max("key").alias("y"))
-        .where(F.col("x") != F.col("y"))
-        .drop("x", "y")
-    )
-    share = least / (1 + least)
-    by_text = Window.partitionBy("hub", "key")
-    found = (
-        beyond.join(held, ["hub", "shingle"])
-        .withColumn("found", F.count("*").over(by_text))
-        .withColumn("place", F.row_number().over(by_text.orderBy("n", "shingle")))
-        .groupBy("hub", "key", "shingle", "found")
-        .agg(F.min("place").alias("place"))
-        .join(group, ["hub", "key"])
-    )
-    needed = F.ceil(share * (F.col("size") + F.col("smallest")) - F.col("common") - 1e-6)
-    rarest = found.where("over").join(smallest, "hub")
-    rarest = rarest.where(F.col("place") <= F.col("found") - F.greatest(needed, F.lit(1)) + 1)
 
-    def side(rows: DataFrame, name: str, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
+    def __init__(self, placed: DataFrame, distance: DataFrame, settings: Settings, scratch: Scratch) -> None:
+        self.least, self.scratch = settings.least, scratch
+        share = self.share = settings.least / (1 + settings.least)
+        hubs = placed.where("over").select("hub").distinct()
+        self.group = placed.join(hubs, "hub", "left_semi")
+        self.smallest = self.group.groupBy("hub").agg(F.min("size").alias("smallest"))
+        beyond = self.group.join(distance.select("hub", "key", "rest"), ["hub", "key"])
+        beyond = beyond.select(*self.group.columns, F.explode("rest").alias("shingle"))
+        # A shingle that the members of one class alone hold makes no pair.
+        held = (
+            beyond.groupBy("hub", "shingle")
+            .agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+            .where(F.col("x") != F.col("y"))
+            .drop("x", "y")
+        )
+        by_text = Window.partitionBy("hub", "key")
+        found = (
+            beyond.join(held, ["hub", "shingle"])
+            .withColumn("found", F.count("*").over(by_text))
+            .withColumn("place", F.row_number().over(by_text.orderBy("n", "shingle")))
+            .groupBy(*self.group.columns, "shingle", "found")
+            .agg(F.min("place").alias("place"))
+            .join(self.smallest, "hub")
+        )
+        needed = F.ceil(share * (F.col("size") + F.col("smallest")) - F.col("common") - 1e-6)
+        rare = F.col("over") & (F.col("place") <= F.col("found") - F.greatest(needed, F.lit(1)) + 1)
+        self.found = scratch.write(found.withColumn("rare", rare), "found")
+
+    def _side(self, rows: DataFrame, name: str, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
         columns = ("key", "d", "size", "common", "component", *more)
         return rows.select("hub", *keys, *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    linkable = (
-        (F.col("component_y") != F.col("component_z"))
-        & (F.abs(F.col("d_y") - F.col("d_z")) <= reach)
-        & (F.least("size_y", "size_z") >= least * F.greatest("size_y", "size_z") - 1e-6)
-    )
-    # From their first common shingle on, both must hold as many as the pair needs.
-    places = ("found", "place")
-    needed = share * (F.col("size_y") + F.col("size_z")) - F.least("common_y", "common_z")
-    behind = F.least(F.col("found_y") - F.col("place_y"), F.col("found_z") - F.col("place_z"))
-    sharing = side(rarest, "y", "shingle", more=places)
-    sharing = sharing.join(side(found, "z", "shingle", more=places), ["hub", "shingle"])
-    sharing = sharing.where(behind + 1 >= needed - 1e-6)
-
-    limit = F.col("common") * (1 + 1 / least) - F.col("size")
-    roomy = group.where("over").join(smallest, "hub").where(F.col("smallest") <= limit + 1e-6)
-    small = F.least("common_y", "common_z") >= share * (F.col("size_y") + F.col("size_z")) - 1e-6
-    smaller = side(roomy, "y").join(side(group, "z"), "hub").where(small)
-    return (
-        sharing.where(linkable)
-        .select("key_y", "key_z")
-        .unionByName(smaller.where(linkable).select("key_y", "key_z"))
-        .select(F.greatest("key_y", "key_z").alias("a"), F.least("key_y", "key_z").alias("b"))
-        .distinct()
-    )
+    def _linkable(self) -> Column:
+        reach = 1 - self.least + 1e-9
+        return (
+            (F.col("component_y") != F.col("component_z"))
+            & (F.abs(F.col("d_y") - F.col("d_z")) <= reach)
+            & (F.least("size_y", "size_z") >= self.least * F.greatest("size_y", "size_z") - 1e-6)
+        )
+
+    def _enough(self) -> Column:
+        """From their first common shingle on, both must hold as many as the pair needs."""
+        needed = self.share * (F.col("size_y") + F.col("size_z")) - F.least("common_y", "common_z")
+        behind = F.least(F.col("found_y") - F.col("place_y"), F.col("found_z") - F.col("place_z"))
+        return behind + 1 >= needed - 1e-6
+
+    def _pairs(self, joined: DataFrame) -> DataFrame:
+        return joined.select(
+            F.greatest("key_y", "key_z").alias("a"), F.least("key_y", "key_z").alias("b")
+        ).distinct()
+
+    def work(self) -> tuple[int, int]:
+        """Rows of members that look for partners, and of the pairs they would make."""
+        sums = self.found.groupBy("hub", "shingle").agg(
+            F.count_if("rare").alias("rare"), F.count("*").alias("n")
+        )
+        row = sums.agg(F.sum("rare"), F.sum(F.col("rare") * (F.col("n") - 1))).first()
+        return row[0] or 0, row[1] or 0
+
+    def with_own_hubs(self) -> DataFrame:
+        """Each such member with one holder of its shingle, the one nearest to the hub."""
+        places = ("found", "place")
+        centre = F.min_by(F.struct("key", "d", "size", "common", "component", *places), F.struct("d", "key"))
+        centres = self.found.groupBy("hub", "shingle").agg(centre.alias("c"))
+        centres = self._side(centres.select("hub", "shingle", "c.*"), "z", "shingle", more=places)
+        rare = self._side(self.found.where("rare"), "y", "shingle", more=places)
+        return self._pairs(rare.join(centres, ["hub", "shingle"]).where(self._linkable()))
+
+    def all(self) -> DataFrame:
+        """Every pair that may be linked."""
+        places = ("found", "place")
+        sharing = self._side(self.found.where("rare"), "y", "shingle", more=places)
+        sharing = sharing.join(self._side(self.found, "z", "shingle", more=places), ["hub", "shingle"])
+        sharing = sharing.where(self._enough() & self._linkable())
+        limit = F.col("common") * (1 + 1 / self.least) - F.col("size")
+        roomy = self.group.where("over").join(self.smallest, "hub").where(F.col("smallest") <= limit + 1e-6)
+        needed = self.share * (F.col("size_y") + F.col("size_z"))
+        small = F.least("common_y", "common_z") >= needed - 1e-6
+        smaller = self._side(roomy, "y").join(self._side(self.group, "z"), "hub").where(small & self._linkable())
+        columns = ("key_y", "key_z")
+        return self._pairs(sharing.select(*columns).unionByName(smaller.select(*columns)))
+
+
+def _placed(distance: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members with their hubs and classes; ``over`` where these differ. A hub may have very many."""
+    hubs = distance.select(F.col("hub").alias("key")).distinct()
+    of_hub = _with_class(hubs, classes).select(F.col("key").alias("hub"), F.col("component").alias("hub_class"))
+    rows = lookup(_with_class(distance.drop("rest"), classes), of_hub, ["hub"], "inner")
+    return rows.withColumn("over", F.col("component") != F.col("hub_class")).drop("hub_class")
 
 
 def near_duplicates(
@@ -258,23 +325,28 @@ def near_duplicates(
         F.col("b").alias("hub"),
         (1 - F.col("similarity")).alias("d"),
         F.col("left_size").alias("size"),
-        "right_size",
         "common",
         "rest",
-    ).dropDuplicates(["key", "hub"])
-    placed = _with_class(members, classes).join(distance.drop("rest"), ["key", "hub"], "left")
-    of_hub = _with_class(
-        members.select("hub").distinct().select(F.col("hub").alias("key")), classes
-    ).select(F.col("key").alias("hub"), F.col("component").alias("hub_class"))
-    placed = placed.join(of_hub, "hub").where(F.col("key") != F.col("hub"))
-    placed = placed.withColumn("over", F.col("component") != F.col("hub_class"))
-    placed = scratch.write(placed, "placed")
-    if not placed.where("over").isEmpty():
-        more = compare(_left_over(placed, distance, settings), bodies)
-        more = scratch.write(more.where(F.col("similarity") >= settings.least), "more")
-        classes = components(links.unionByName(more.select("a", "b")), scratch)
-        scratch.drop(more)
-    scratch.drop(members, bodies, compared, placed)  # what follows reads none of them
+    )
+    while True:
+        placed = scratch.write(_placed(distance, classes), "placed")
+        if placed.where("over").isEmpty():
+            break
+        rest = _LeftOver(placed, distance, settings, scratch)
+        rows, pairs = rest.work()
+        whole = pairs <= FEW_PAIRS * max(rows, 1)
+        more = compare(rest.all() if whole else rest.with_own_hubs(), bodies)
+        more = scratch.write(more.where(F.col("similarity") >= settings.least).select("a", "b"), "more")
+        if not whole and more.isEmpty():
+            more, whole = scratch.write(
+                compare(rest.all(), bodies).where(F.col("similarity") >= settings.least).select("a", "b"), "more"
+            ), True
+        links = links.unionByName(more)
+        classes = components(links, scratch)
+        scratch.drop(rest.found, placed)
+        if whole:
+            break
+    scratch.drop(members, bodies)  # what follows reads none of them
 
     named = _with_class(texts.select("key", "first_id"), classes)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("class_id"))

@@ -228,20 +228,24 @@ def _terms(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _evidence(
-    docs: DataFrame, text: str, near: DataFrame, together: DataFrame, scratch: Scratch
+    docs: DataFrame, text: str, near: DataFrame, together: DataFrame, scratch: Scratch, apart: bool
 ) -> DataFrame:
     """In how many independent places the terms stand near the entities of ``together``.
 
-    entity, term, contexts; further terms of these entities are listed, too.
+    entity, term, contexts; further terms of these entities are listed, too. ``apart``: the texts are
+    known to hold no near-duplicates, so each is a class of its own.
     """
     near = near.join(together.select("entity").distinct(), "entity", "left_semi")
     keyed = docs.select(F.unhex(_row_key(text)).alias("key"), F.col(text).alias("text"))
     texts = keyed.join(near.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    texts = scratch.write(texts, "texts")
-    inner = Scratch(docs.sparkSession, "pii-classes")
-    classes = scratch.write(near_duplicates(texts, inner, "key", "text"), "classes")
-    inner.drop_all()
-    scratch.drop(texts)
+    if apart:
+        classes = near.select("key", F.col("key").alias("class_id")).distinct()
+    else:
+        texts = scratch.write(texts, "texts")
+        inner = Scratch(docs.sparkSession, "pii-classes")
+        classes = scratch.write(near_duplicates(texts, inner, "key", "text"), "classes")
+        inner.drop_all()
+        scratch.drop(texts)
     in_text = near.join(classes, "key").select(
         "entity", "class_id", "key", F.explode("terms").alias("term")
     )
@@ -251,7 +255,7 @@ def _evidence(
 
 
 def revealing_terms(
-    docs: DataFrame, text: str, settings: Settings, scratch: Scratch
+    docs: DataFrame, text: str, settings: Settings, scratch: Scratch, apart: bool = False
 ) -> DataFrame | None:
     """Per text (key) the terms that give an entity away: key, flagged array of (term, share).
 
@@ -286,7 +290,7 @@ def revealing_terms(
     )
     if together.isEmpty():
         return None
-    proven = _evidence(docs, text, near, together, scratch)
+    proven = _evidence(docs, text, near, together, scratch, apart)
     proven = proven.where(F.col("contexts") >= settings.least_contexts).select("entity", "term")
     together = scratch.write(together.join(proven, ["entity", "term"]), "proven")
     scratch.drop(written)
@@ -342,10 +346,14 @@ def sanitise(
     text: str = "text",
     settings: Settings = Settings(),
     keep_text: bool = True,
+    apart: bool = False,
 ) -> DataFrame:
-    """Add all spans (base and terms, in order) and the sanitised text (null for a null text)."""
+    """Add all spans (base and terms, in order) and the sanitised text (null for a null text).
+
+    ``apart`` says that no two texts are near-duplicates, which then need not be looked for.
+    """
     given = docs.drop("_flagged")
-    terms = revealing_terms(given, text, settings, scratch)
+    terms = revealing_terms(given, text, settings, scratch, apart)
     none = F.lit(None).cast("array<struct<term:string,share:double>>")
     if terms is None:
         marked = given.withColumn("_flagged", none)

@@ -1,5 +1,8 @@
+import random
 import time
 
+import pytest
+
 from threadlake.llm import main_text
 
 PROSE = "One two three, four five six seven, eight nine ten eleven twelve thirteen. " * 3
@@ -70,3 +73,92 @@ def test_frame(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in out.collect())
     assert got == [(1, "a, b", 4), (1, "a, b", 4), (2, "", 0)]
     assert main_text.extract(pages.limit(0)).count() == 0
+
+
+STORY = "This is a sentence of an article, long enough to be one, with commas, and it goes on for a while. "
+SHORT = "A short last remark, no more."
+
+
+def test_sections_of_an_article_stay_together():
+    sections = [f"<section><h2>Part {i}</h2><p>{STORY * 3}</p></section>" for i in range(2)]
+    page = f"<body><nav><a href=x>menu</a></nav><div>{''.join(sections)}<section><h2>End</h2><p>{SHORT}</p></section></div></body>"
+    text = main_text.main_text(page)
+    assert "Part 0" in text and text.endswith(f"End {SHORT}") and "menu" not in text
+    page = page.replace("<section>", '<div class="part">').replace("</section>", "</div>")
+    assert main_text.main_text(page) == text
+
+
+def test_nothing_competes_with_the_only_article():
+    for around in ("{}", "<main>{}</main>"):
+        article = around.format(f"<article><p>{STORY}</p></article>")
+        page = f'<body>{article}<div class="user-reviews"><p>{"They wrote this, and that. " * 40}</p></div></body>'
+        assert main_text.main_text(page) == STORY.strip()
+
+
+def test_a_promotion_longer_than_the_story_is_not_taken_back():
+    promo = "".join(f"<p>Buy this, {STORY}</p>" for _ in range(5))
+    page = f'<body><div><p>{STORY}</p></div><div class="promo">{promo}</div></body>'
+    assert main_text.main_text(page) == STORY.strip()
+    wrapped = f'<body><p>Home</p><div class="with-sidebar widget">{promo}</div></body>'
+    assert main_text.main_text(wrapped).count("Buy this") == 5
+
+
+def test_lists_of_links_stay_inside_an_article():
+    sources = "".join(f"<li><a href=/{i}>Source number {i}</a></li>" for i in range(4))
+    page = f'<article><p>{STORY}</p><div class="ad-hoc">An ad-hoc table.</div><ul>{sources}</ul><ul class="related">{sources}</ul></article>'
+    text = main_text.main_text(page)
+    assert text == f"{STORY.strip()} An ad-hoc table. " + " ".join(f"Source number {i}" for i in range(4))
+
+
+def test_a_heading_before_its_container_is_kept():
+    page = f"<body><h1>The title</h1><div><p>{STORY * 2}</p></div><h2>After it</h2></body>"
+    assert main_text.main_text(page) == f"The title {(STORY * 2).strip()}"
+
+
+def recursive_points(node):
+    """Points of an element straight from the rules: (tag, own text, linked, children)."""
+
+    def numbers(n):
+        t, x, l, kids = n
+        chars = len(x) - x.count(" ")
+        inner = [numbers(k) for k in kids]
+        return chars + sum(i[0] for i in inner), chars * l + sum(i[1] for i in inner)
+
+    def points(n):
+        t, x, l, kids = n
+        total, links = numbers(n)
+        chars = len(x) - x.count(" ")
+        own = (x.count(",") + min(chars / 100, 3) + (chars >= 25)) * (1 - links / total) if chars else 0.0
+        below = 0.0
+        for k in kids:
+            k_points, k_given = points(k)
+            below += k_points / 2 + k_given
+        if t in main_text.PARAGRAPHS:
+            return below, own
+        return below + own, 0.0
+
+    return points(node)
+
+
+def test_scores_equal_the_recursive_ones():
+    rng = random.Random(8)
+    words = ["word", "other, word", "x" * 30, "a, b, c"]
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "p", "blockquote", "h2"])
+        text = " ".join(rng.choices(words, k=rng.randrange(6)))
+        linked = rng.random() < 0.2
+        kids = [] if depth == 0 or tag in ("p", "h2") else [tree(depth - 1) for _ in range(rng.randrange(4))]
+        return tag, text, linked, kids
+
+    def html(node):
+        tag, text, linked, kids = node
+        body = f"<a href=x>{text}</a>" if linked else text
+        return f"<{tag}>{body}{''.join(map(html, kids))}</{tag}>"
+
+    for _ in range(60):
+        node = ("div", "", False, [tree(3) for _ in range(3)])
+        elements, pieces = main_text._parse(html(node))
+        main_text._score(elements, pieces)
+        outer = elements[1]
+        assert outer.points == pytest.approx(recursive_points(node)[0])

@@ -2,11 +2,13 @@
 
 Markup is read into a tree of elements (unclosed and wrongly closed tags included). Subtrees that
 are never article text (menus, adverts, forms, comments and the like, by tag, role, class or id)
-are set aside. What only a class, an id or a form tells is taken back where it holds most of the
-paragraph points, or the page's only article (see ``_take_back``). Every paragraph earns points for its length and commas; they go to the element that
-holds it in full, and up the tree halved at every level. An element's points are discounted by its
-link density. The best container is kept (the whole article, where it lies in one) with those of
-its siblings that score alike; blocks inside it that are mostly links are left out.
+are set aside. What only a class, an id or a form tells is taken back where no prose would remain
+without it (see ``_take_back``). Every paragraph earns points for its length and commas; they go to
+the element that holds it in full, and up the tree halved at every level. An element's points are
+discounted by its link density. On a page with one article (or main element) that is kept, and no
+block outside competes with it. Otherwise the best container is kept (the whole article, where it
+lies in one), with those of its siblings that score alike, are of its kind (sections, or elements of
+the same class) or head it. Blocks that are mostly links are left out, but not inside an article.
 
 One pass over the markup and two over the tree, without recursion, so cost is linear however long
 or deep a page is. A null or empty page gives an empty text, and so does one without text. Pages
@@ -51,6 +53,10 @@ NAMES = frozenset(
 HEADER = frozenset(["header"])
 #: Those of NAMES that hold long text which is not the article.
 TALK = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Values that hold one of NAMES by chance.
+PHRASES = frozenset(["ad-hoc"])
+HEADINGS = frozenset("h1 h2 h3".split())
+LEAST_PROSE = 50  # characters but blanks of a paragraph that is surely no label
 #: With one of these, a name says something about the element ("comments-open"), not what it is.
 STATES = frozenset("has no with without open closed".split())
 
@@ -77,7 +83,7 @@ _SCOPES = frozenset("ul ol dl table body article section main div".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "block", "aside", "named", "linked", "article", "own", "chars",
+    __slots__ = ("tag", "parent", "block", "aside", "named", "kind", "linked", "article", "own", "chars",
                  "commas", "links", "points", "kept")
 
     def __init__(self, tag: str, parent: _Element | None, aside: bool) -> None:
@@ -85,6 +91,7 @@ class _Element:
         self.block = parent.block if parent is not None and tag in INLINE else self
         self.aside = aside or (parent is not None and parent.aside)
         self.named = ""
+        self.kind = ""  # its class
         self.linked = tag == "a" or (parent is not None and parent.linked)
         self.article = self if tag in ("article", "main") else parent and parent.article
         self.own = self.chars = self.commas = self.links = 0
@@ -115,6 +122,7 @@ def _named(tag: str, attributes: str, in_article: bool) -> str:
     for name, *values in _MARKS.findall(attributes):
         if name.lower() in ("class", "id"):
             value = next((v for v in values if v), "").lower()
+            value = " ".join(v for v in value.split() if v not in PHRASES)
             words = set(_SPLIT.split(value))
             if words & TALK:
                 parts = (set(_SPLIT.split(v)) for v in value.split())
@@ -125,6 +133,13 @@ def _named(tag: str, attributes: str, in_article: bool) -> str:
     return named
 
 
+def _class_of(attributes: str) -> str:
+    for name, *values in _MARKS.findall(attributes):
+        if name.lower() == "class":
+            return next((v for v in values if v), "").strip().lower()
+    return ""
+
+
 def _parse(html: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
     """Elements in page order, and the text pieces with their element; " " parts blocks."""
     root = _Element("html", None, False)
@@ -201,6 +216,7 @@ def _parse(html: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
         parent = stack[-1]
         element = _Element(tag, parent, _set_aside(tag, attributes, parent.article is not None))
         element.named = _named(tag, attributes, parent.article is not None)
+        element.kind = _class_of(attributes) if len(attributes) > 2 else ""
         elements.append(element)
         if tag in RAW:
             found = _RAW_END[tag].search(html, at)
@@ -225,10 +241,11 @@ def _prose(chars: int, commas: int) -> float:
 def _take_back(elements: list[_Element], pieces: list[tuple[_Element, str]]) -> None:
     """Set elements aside by name, unless their paragraph points tell that they hold the content.
 
-    A named element stays when it has over twice the points of what else stays in its article or
-    main element, or on the page (if no article stays there); when it holds an article or main
-    element and none stays, a quarter of them is enough. Talk is looked at last and needs 20 times
-    the points. Outer elements come first.
+    A named element stays when it has paragraph points and no prose, that is no paragraph of
+    ``LEAST_PROSE`` characters, stays without it in its article or main element, or on the page (if
+    no article stays there). One that holds an article or main element stays if none does without
+    it and it has a quarter of the points that stay. Talk is looked at last. Outer elements come
+    first.
     """
     if not any(e.named for e in elements):
         return
@@ -241,11 +258,12 @@ def _take_back(elements: list[_Element], pieces: list[tuple[_Element, str]]) ->
             count[1] += chars * element.linked
             count[2] += text.count(",")
     # Points under each named element (None: the page) with none nearer, and in its articles; sums
-    # with named elements inside, but talk; points in each article that no name in it holds.
+    # with named elements inside, but talk; prose in each article that no name in it holds.
     near: dict[_Element, _Element | None] = {}
     direct: dict[_Element | None, float] = {None: 0.0}
     articles: dict[_Element | None, float] = {None: 0.0}
-    stays: dict[_Element, float] = {}
+    prose: dict[_Element | None, float] = {None: 0.0}  # points of long paragraphs alone
+    staying_prose: dict[_Element, float] = {}
     for element in elements:
         parent = element.parent
         near[element] = element if element.named else parent and near[parent]
@@ -253,10 +271,12 @@ def _take_back(elements: list[_Element], pieces: list[tuple[_Element, str]]) ->
         points = _prose(chars, commas) * (1 - linked / chars) if chars else 0.0
         name, article = near[element], element.article
         direct[name] = direct.get(name, 0.0) + points
+        long = points if chars >= LEAST_PROSE else 0.0
+        prose[name] = prose.get(name, 0.0) + long
+        if article is not None and near[article] is name:
+            staying_prose[article] = staying_prose.get(article, 0.0) + long
         if article is not None:
             articles[name] = articles.get(name, 0.0) + points
-            if near[article] is name:
-                stays[article] = stays.get(article, 0.0) + points
     gain, holds = dict(direct), dict(articles)
     named = [e for e in elements if e.named]
     for element in reversed(named):
@@ -265,35 +285,33 @@ def _take_back(elements: list[_Element], pieces: list[tuple[_Element, str]]) ->
             gain[outer] += gain[element]
             holds[outer] = holds.get(outer, 0.0) + holds.get(element, 0.0)
     back: set[_Element | None] = {None}
-    page, in_articles = direct[None], articles[None]
+    page, in_articles, page_prose = direct[None], articles[None], prose[None]
     for kind in ("block", "talk"):
         for element in named:
             article, points = element.article, gain[element]
             if element.named != kind or near[element.parent] not in back or not points:
                 continue
-            rest = page if article is None else stays.get(article, 0.0)
-            much = points > (20 if kind == "talk" else 2) * rest
-            if article is None and holds.get(element) and kind != "talk":
-                much = much or (not in_articles and points * 4 >= rest)
-            elif article is None:
-                much = much and not in_articles
+            if article is not None:
+                much = not staying_prose.get(article)
+            elif holds.get(element) and kind != "talk":
+                much = not in_articles and (points * 4 >= page or not page_prose)
+            else:
+                much = not in_articles and not page_prose
             if much:
                 back.add(element)
                 page += direct[element]
+                page_prose += prose[element]
                 in_articles += articles.get(element, 0.0)
                 if article is not None:
-                    stays[article] = stays.get(article, 0.0) + direct[element]
+                    staying_prose[article] = staying_prose.get(article, 0.0) + prose[element]
     for element in elements:
         parent = element.parent
         gone = bool(element.named) and element not in back
         element.aside = element.aside or gone or (parent is not None and parent.aside)
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    elements, pieces = _parse(html)
-    _take_back(elements, pieces)
+def _score(elements: list[_Element], pieces: list[tuple[_Element, str]]) -> None:
+    """Points, characters and links of every element, children before parents."""
     for element, text in pieces:
         if text != " " and not element.aside:
             chars = len(text) - text.count(" ")
@@ -319,6 +337,18 @@ def main_text(html: str | None) -> str:
         if block is element:
             parent.chars += element.chars
             parent.links += element.links
+
+
+def _best(elements: list[_Element]) -> tuple[_Element | None, float]:
+    """The best container and its score; the page's one article or main element, if there is one."""
+    for tag in ("article", "main"):
+        alone = [e for e in elements if e.tag == tag and e.points > 0 and not e.aside and e.parent.article is None]
+        inside = [e for e in elements if e.tag == tag and e.points > 0 and not e.aside]
+        for found in (alone, inside):
+            if len(found) == 1:
+                outer = found[0].parent.article
+                if outer is None or 4 * found[0].points >= outer.points:
+                    return found[0], found[0].points * (1 - _density(found[0]))
     best, most = None, 0.0
     for element in elements:
         if element.aside or element.block is not element or element.tag in PARAGRAPHS:
@@ -328,19 +358,37 @@ def main_text(html: str | None) -> str:
             best, most = element, score
     if best is not None and best.article is not None:
         best = best.article
+    return best, most
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    elements, pieces = _parse(html)
+    _take_back(elements, pieces)
+    _score(elements, pieces)
+    best, most = _best(elements)
     kept = best if best is not None else elements[0]
     kept.kept = True
-    if best is not None and best.tag not in ("article", "main"):
+    whole = best is not None and best.tag in ("article", "main")
+    if best is not None and not whole:
+        heads = True  # until the best element is passed
         for element in elements:
+            heads = heads and element is not best
             if element.parent is best.parent and element is not best and not element.aside:
                 score = element.points * (1 - _density(element))
                 plain = element.tag in PARAGRAPHS and element.chars > 80
-                if (score >= 0.2 * most and score > 1) or (plain and _density(element) < 0.25):
-                    element.kept = True
+                alike = element.tag == best.tag and element.kind == best.kind and (element.tag == "section" or element.kind)
+                element.kept = (
+                    (score >= 0.2 * most and score > 1)
+                    or (plain and _density(element) < 0.25)
+                    or bool(alike and _density(element) < 0.5)
+                    or (heads and element.tag in HEADINGS)
+                )
     for element in elements[1:]:
         element.kept = element.kept or element.parent.kept
     for element in elements[1:]:
-        mostly_links = element.tag in ("ul", "ol", "div", "section", "table", "dl")
+        mostly_links = not whole and element.tag in ("ul", "ol", "div", "section", "table", "dl")
         if mostly_links and _density(element) > 0.5 and element is not kept:
             element.aside = True
         elif element.parent.aside:

@@ -8,10 +8,13 @@ from threadlake.llm import warc
 from threadlake.scratch import Scratch
 
 
+BOUND = 1500  # bytes of an archive: a few records
+
+
 def archive(spark, rows, **options):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, Payload string")
     path = Scratch(spark, "test-warc").folder("archives")
-    warc.write_archives(warc.plan_records(pages, **options), path, 3)
+    warc.write_archives(warc.plan_records(pages, **options), path, BOUND)
     return path
 
 
@@ -47,12 +50,24 @@ def test_round_trip(spark):
 
 def test_archives_are_plain_gzip_with_one_member_per_record(spark):
     path = archive(spark, [(i, "u", f"page {i}" * i, "") for i in range(20)])
-    files = [p for p in Path(path.removeprefix("file:")).iterdir() if p.name.startswith("part-")]
-    assert len(files) >= 7  # three records in a file at most
-    data = files[0].read_bytes()
-    members = list(warc._members(memoryview(data)))
-    assert gzip.decompress(data) == b"".join(members) and len(members) <= 3
-    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+    files = list(Path(path.removeprefix("file:")).glob("archive=*/part-*"))
+    assert len(files) >= 5 and all(f.stat().st_size <= BOUND for f in files)
+    for data in (f.read_bytes() for f in files):
+        members = list(warc._members(memoryview(data)))
+        assert gzip.decompress(data) == b"".join(members)
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+    # All that fits is in one archive: no two neighbours of a task would fit into one.
+    sizes = {int(f.parent.name[8:]): f.stat().st_size for f in files}
+    assert all(sizes[n] + sizes[n + 1] > BOUND for n in sizes if n + 1 in sizes)
+
+
+def test_a_record_beyond_the_bound_has_an_archive_of_its_own(spark):
+    rows = [(i, "u", "".join(map(chr, range(300, 300 + 3000 * (i % 2)))), "") for i in range(6)]
+    path = archive(spark, rows)
+    files = list(Path(path.removeprefix("file:")).glob("archive=*/part-*"))
+    large = [f for f in files if f.stat().st_size > BOUND]
+    assert large and all(len(list(warc._members(memoryview(f.read_bytes())))) == 1 for f in large)
+    assert warc.read_archives(spark, path).count() == 6
 
 
 def test_least_bytes_and_no_rows(spark):

@@ -7,8 +7,10 @@ system Spark writes to: each record is compressed into a gzip member of its own,
 laid one after another by Spark's text writer. That writer ends every line with a separator of at
 least one byte; the separator is set to NUL, and each member is handed over without its last byte,
 which is the high byte of the record's length and so NUL for records under 16 MiB. (A larger record
-is followed by an empty member, which ends in NUL too and which readers skip.) Files go through
-Spark's commit protocol, so a lost executor leaves no half archive.
+is followed by an empty member, which ends in NUL too and which readers skip.) An archive ends
+before it passes ``ARCHIVE_BYTES``, unless one record alone does, so that a task can hold the archive
+it reads; a record is at most one page. Files go through Spark's commit protocol, so a lost executor
+leaves no half archive.
 
 *Reading.* Each archive is read from front to back with incremental decompression: the header ends
 at the first empty line, ``Content-Length`` frames the block, and block digests are compared with
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,7 +41,7 @@ VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: All records bear one date: archives of equal input are equal.
 DATE = "1970-01-01T00:00:00Z"
-RECORDS_PER_FILE = 20_000
+ARCHIVE_BYTES = 64 << 20  # of compressed records; the reader's file source takes files up to 2 GiB
 _CHUNK = 1 << 16
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace
 
@@ -185,26 +188,37 @@ def plan_records(
     )
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            page_id, url, payload, revisit, refers_to = row
-            digest = digest_of(payload)
-            record = build_record(page_id, url, payload, digest, refers_to, revisit, len(payload))
-            out.append(_line(record))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["line"])
+def _lines(archive_bytes: int):
+    """Compressed records, each with the number of its archive: as many as fit, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, held = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            out, archives = [], []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                page_id, url, payload, revisit, refers_to = row
+                digest = digest_of(payload)
+                record = build_record(page_id, url, payload, digest, refers_to, revisit, len(payload))
+                line = _line(record)
+                if held and held + len(line) + 1 > archive_bytes:
+                    archive, held = archive + 1, 0
+                held += len(line) + 1
+                out.append(line)
+                archives.append(archive)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.binary()), pa.array(archives, pa.int64())], names=["line", "archive"]
+            )
+
+    return run
 
 
-def write_archives(
-    planned: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE
-) -> None:
-    """Write the rows of ``plan_records`` as archives into a new folder."""
-    lines = planned.mapInArrow(_lines, "line binary")
+def write_archives(planned: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the rows of ``plan_records`` as archives into a new folder: ``archive=<n>/<part>``."""
+    lines = planned.mapInArrow(_lines(archive_bytes), "line binary, archive bigint")
     (
-        lines.select(F.col("line").cast("string"))
+        lines.select(F.col("line").cast("string"), "archive")
         .write.option("lineSep", "\0")
-        .option("maxRecordsPerFile", records_per_file)
+        .partitionBy("archive")
         .text(path)
     )
 

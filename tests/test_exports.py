@@ -23,18 +23,18 @@ def posts(spark, *rows):
 def test_csv(spark, tmp_path):
     rows = posts(spark, ("b", "S", 2, 'say "é", ok'), ("a", "S", 1, " two\nlines "), ("c", "T", 3, None))
     write_csv(rows, str(tmp_path), "posts")
-    texts = content(tmp_path / "posts.csv" / "community=S" / "*.csv")
-    text = texts[0] + "".join(t.split("\n", 1)[1] for t in texts[1:])
+    texts = content(tmp_path / "posts.csv" / "community=S" / "*.txt")
+    text = texts[0] + "".join(t.split("\r\n", 1)[1] for t in texts[1:])
     expected = io.StringIO(newline="")
-    writer = csv.writer(expected, lineterminator="\n")
+    writer = csv.writer(expected, lineterminator="\r\n")
     writer.writerow(POSTS.names[:10] + ["live_score", "live_num_comments", "live_refreshed_at"])
     writer.writerow(["a", "S", 1, None, " two\nlines ", None, "", 1, None, 0, None, None, None])
     writer.writerow(["b", "S", 2, None, 'say "é", ok', None, "", 1, None, 0, None, None, None])
     assert text == expected.getvalue()
     # A second export replaces the communities it holds and leaves the others.
     write_csv(posts(spark, ("z", "S", 1, "new")), str(tmp_path), "posts")
-    assert [r["id"] for t in content(tmp_path / "posts.csv" / "community=S" / "*.csv") for r in csv.DictReader(io.StringIO(t))] == ["z"]
-    assert content(tmp_path / "posts.csv" / "community=T" / "*.csv")
+    assert [r["id"] for t in content(tmp_path / "posts.csv" / "community=S" / "*.txt") for r in csv.DictReader(io.StringIO(t, newline=""))] == ["z"]
+    assert content(tmp_path / "posts.csv" / "community=T" / "*.txt")
 
 
 def test_jsonl_appends(spark, tmp_path):
@@ -42,14 +42,14 @@ def test_jsonl_appends(spark, tmp_path):
     append_jsonl(posts(spark, ("c", "S", 3, "x")), str(tmp_path), "posts")
     append_jsonl(posts(spark), str(tmp_path), "posts")
     append_jsonl(posts(spark, ("d", "S", 3, "x")), str(tmp_path), "posts", enabled=False)
-    lines = "".join(content(tmp_path / "posts.jsonl" / "subreddit=s" / "*.txt")).splitlines()
+    lines = "".join(content(tmp_path / "posts.jsonl" / "subreddit=S" / "*.txt")).splitlines()
     assert sorted(lines) == ['{"id": "a", "t": "q\\""}', '{"id": "b", "t": "é"}', '{"id": "c", "t": "x"}']
 
 
 def test_tree_lines(spark, tmp_path):
     trees = spark.createDataFrame([('p"1', "S", "[{}]")], "link_id string, subreddit string, tree_json string")
     append_trees(trees, str(tmp_path))
-    (text,) = content(tmp_path / "comment_trees.jsonl" / "subreddit=s" / "*.txt")
+    (text,) = content(tmp_path / "comment_trees.jsonl" / "subreddit=S" / "*.txt")
     assert json.loads(text) == {"link_id": 'p"1', "tree": [{}]}
 
 

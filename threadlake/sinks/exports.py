@@ -6,6 +6,9 @@ files, in order from file to file, and a huge community is spread over many writ
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,25 +61,53 @@ def write_threads(fragments: DataFrame, path: str) -> None:
     )
 
 
+_CSV = {
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def _with_headers(header: str) -> Callable:
+    """A header in front of each community's lines in a task, which are one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = object()
+        for batch in batches:
+            folders, values = [], []
+            for folder, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if folder != last:
+                    folders.append(folder)
+                    values.append(header)
+                    last = folder
+                folders.append(folder)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(folders, pa.string()), pa.array(values, pa.string())], names=["community", "value"]
+            )
+
+    return run
+
+
 def write_csv(table: DataFrame, path: str, kind: str) -> None:
-    """Replace the flat export of a kind: header, quotes doubled, NULL as empty.
+    """Replace the flat export of a kind: a header in every file, lines that end in CRLF, quotes
+    doubled, NULL as empty, and values as they are.
 
-    Lines end in LF: with CRLF the writer would turn the line breaks inside values into CRLF too.
+    Lines are written as text: Spark's CSV writer would make every line break inside a value the one
+    that ends lines.
     """
+    names = CSV_COLUMNS[kind]
     rows = _ordered(table, "created_utc", "id").select(
-        F.col("subreddit").alias("_folder"), *CSV_COLUMNS[kind]
+        F.col("subreddit").alias("community"), F.to_csv(F.struct(*names), _CSV).alias("value")
     )
     (
-        rows.withColumnRenamed("_folder", "community")
+        rows.mapInArrow(_with_headers(",".join(names)), "community string, value string")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("community")
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(f"{path}/{kind}.csv")
+        .option("lineSep", "\r\n")
+        .text(f"{path}/{kind}.csv")
     )

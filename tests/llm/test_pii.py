@@ -1,5 +1,8 @@
+import math
+import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -143,7 +146,55 @@ def test_overlapping_spans_are_replaced_once():
     assert pii.sanitise_text(text, pii.in_order(spans), set()) == "call <CARD>w"
 
 
-@pytest.mark.parametrize("share, shown", [(0.8, "<TERM>"), (0.99, "")])
+@pytest.mark.parametrize("share, shown", [(0.8, "<NAME>"), (0.99, "")])
 def test_removed_or_generalised(share, shown):
     removed = {"bob"} if share >= pii.Settings().remove_at else set()
     assert pii.sanitise_text("hi Bob!", [("term", 3, 6)], removed) == f"hi {shown}!"
+
+
+def test_levels_of_generalisation():
+    for text, shown in (("hi bob!", "hi <WORD>!"), ("12 bob", "12 <MEASURE>"), ("hi bob 7", "hi <MEASURE> 7"), ("a Bob 7", "a <NAME> 7")):
+        start = text.lower().index("bob")
+        assert pii.sanitise_text(text, [("term", start, start + 3)], set()) == shown
+
+
+def plain_shares(rows, chosen):
+    """Largest share of each term that reveals an entity, counted in dictionaries. The texts are
+    unlike each other, so each is a class of its own."""
+    n, n_entity, n_both, n_term = len(rows), Counter(), Counter(), Counter()
+    for _, text in rows:
+        n_term.update({w.lower() for w in re.findall(r"[^\W\d_]{3,}", text)})
+        for c in pii.contexts(text, chosen):
+            n_entity[c["entity"]] += 1
+            n_both.update((c["entity"], t) for t in c["terms"])
+    found = {}
+    for (entity, term), both in n_both.items():
+        share = math.log(n * both / (n_term[term] * n_entity[entity]))
+        share /= max(math.log(n / n_entity[entity]), 1e-9)
+        if both >= chosen.least_contexts and share >= chosen.generalise_at:
+            found[term] = max(found.get(term, 0.0), share)
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_terms_equal_the_plain_version(spark, documents, seed):
+    rng, chosen = random.Random(seed), pii.Settings()
+    names = ["ann", "bertha", "carl", "dora", "emil", "frieda"]
+    rows = []
+    for i in range(90):
+        words = [f"{rng.choice('abcdefgh')}{rng.choice('ijklmnop')}{rng.choice('qrstuvwx')}{rng.choice('abcdefgh')}" for _ in range(40)]
+        for _ in range(rng.randrange(3)):
+            who = rng.randrange(6)
+            at = rng.randrange(len(words))
+            near = names[who] if rng.random() < 0.8 else rng.choice(names)
+            words[at:at] = [near, f"p{who}@host.example"] if rng.random() < 0.9 else [f"p{who}@host.example"]
+        if rng.random() < 0.1:
+            words.append(rng.choice(names))
+        rows.append((i, " ".join(words)))
+    want = plain_shares(rows, chosen)
+    out = pii.sanitise(documents(rows), Scratch(spark, "t")).collect()
+    found = {r.text[s.start : s.end].lower() for r in out for s in r.spans if s.kind == "term"}
+    assert want and found == set(want)
+    removed = {t for t, share in want.items() if share >= chosen.remove_at}
+    for r in out:
+        assert not removed & set(r.sanitised.lower().split())

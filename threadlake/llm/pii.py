@@ -14,7 +14,8 @@ with no other document). A term counts only when it stands near the entity in at
 made of the texts that hold entities in question) count as one, so that copies prove nothing, while
 a fixed phrase in unrelated texts does; a text counts as often as it has the term near the entity in
 different surroundings (the three words on either side), and a class as its richest text. Terms that
-disclose ``generalise_at`` or more become ``<TERM>``; at ``remove_at`` or more they are removed.
+disclose ``generalise_at`` or more become a more general term (``<NAME>`` for a capitalised word,
+``<MEASURE>`` for one beside a number, else ``<WORD>``); at ``remove_at`` or more they are removed.
 Base spans become ``<EMAIL>`` and so on; where spans overlap, the first one's label stands for all.
 
 A null or empty text has no spans and stays as it is. Repeated rows are separate documents (they
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from threadlake.llm.frames import add_columns, text_of
 from threadlake.llm.near_duplicates import near_duplicates
+from threadlake.operators.skew import lookup
 from threadlake.scratch import Scratch
 
 #: In the order that breaks ties between spans with one start.
@@ -325,13 +327,27 @@ def _term_spans(text: str, flagged: dict[str, float], base: list[Span]) -> list[
     ]
 
 
+_BESIDE_NUMBER = re.compile(r"[0-9][ \t]?\Z"), re.compile(r"[ \t]?[0-9]")
+
+
+def _more_general(text: str, start: int, end: int) -> str:
+    """What kind of word a term is, as far as it and its neighbours show."""
+    if text[start].isupper():
+        return "<NAME>"
+    if _BESIDE_NUMBER[0].search(text, max(start - 2, 0), start) or _BESIDE_NUMBER[1].match(text, end):
+        return "<MEASURE>"
+    return "<WORD>"
+
+
 def sanitise_text(text: str, spans: list[Span], removed: set[str]) -> str:
     out, done = [], 0
     for kind, start, end in spans:
         if start >= done:
             out.append(text[done:start])
-            gone = kind == "term" and text[start:end].lower() in removed
-            out.append("" if gone else f"<{kind.upper()}>")
+            if kind != "term":
+                out.append(f"<{kind.upper()}>")
+            elif text[start:end].lower() not in removed:
+                out.append(_more_general(text, start, end))
         done = max(done, end)
     return "".join(out) + text[done:]
 
@@ -359,7 +375,8 @@ def sanitise(
         marked = given.withColumn("_flagged", none)
     else:
         keyed = given.withColumn("_text_key", _row_key(text))
-        marked = keyed.join(terms.withColumnRenamed("key", "_text_key"), "_text_key", "left")
+        # Copies of one text may be very many.
+        marked = lookup(keyed, terms.withColumnRenamed("key", "_text_key"), ["_text_key"], "left")
         marked = marked.drop("_text_key")
 
     def apply(texts: pa.Array, flagged: pa.Array) -> list[pa.Array]:

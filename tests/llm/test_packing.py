@@ -86,3 +86,16 @@ def test_no_rows_and_clusters(spark, documents):
     docs = documents([(1, "A b, C!"), (2, "a  B c"), (3, "abd"), (4, None), (5, "?!")])
     keys = {r.doc_id: r.c for r in docs.select("doc_id", packing.cluster_of("text").alias("c")).collect()}
     assert keys[1] == keys[2] != keys[3] and keys[4] is None and keys[5] is None
+
+
+def test_sizes_by_the_word_rule(spark, documents):
+    rng = random.Random(7)
+    blanks = " \t\n\x0b\x0c\r"
+    texts = ["\na b\n", "\n", "\t", " \x0b", "", None, "a", "é x y", "a\x1cb c", "  z", "word " * 100_000]
+    texts += ["".join(rng.choice(blanks + "abé \x85") for _ in range(rng.randrange(20))) for _ in range(200)]
+    found = packing.with_sizes(documents(list(enumerate(texts)))).collect()
+    for r in found:
+        text = texts[r.doc_id] or ""
+        words = [w for w in text.translate({ord(b): " " for b in blanks}).split(" ") if w]
+        assert r["size"] == len(words), text
+    assert len(found) == len(texts)

@@ -32,11 +32,15 @@ def test_stages_equal_their_operators_one_by_one(spark, documents):
 
     known = stages["language"](spark, docs, "").toArrow()
     assert known.column_names == COLUMNS
-    model = language.fit(docs.where(~language.held_out()))
+    learnt = docs.where(~language.held_out())
+    model = language.fit(learnt)
+    least = language.least_score(learnt, model)
+    right = [r.score for r in language.identify(learnt, model).collect() if r.lang_pred == r.lang]
+    assert least == min(right) > 0
     want = [
         r.doc_id
         for r in language.identify(docs, model).collect()
-        if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_LANGUAGE_SCORE
+        if r.lang_pred != "und" and r.score >= least
     ]
     assert sorted(known["doc_id"].to_pylist()) == sorted(want)
     assert not {500, 501, 502} & set(want) and len(want) >= 150

@@ -217,26 +217,30 @@ def held_out(id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def sample_windows(
-    docs: DataFrame, settings: Settings, id: str = "doc_id", text: str = "text", lang: str = "lang"
-) -> list[tuple[str, bytes]]:
-    """The bounded training sample of ``docs``, in a fixed order."""
+def _sample(docs: DataFrame, settings: Settings, id: str, text: str, lang: str) -> tuple[DataFrame, int]:
+    """Labelled documents with letters, about ``documents_per_language`` of each language by a hash of
+    the id, as _id, _text and _lang; and the number of languages."""
     given = docs.select(
         F.col(id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")
     ).where(F.col("_lang").isNotNull())
     counts = {r["_lang"]: r["count"] for r in given.groupBy("_lang").count().collect()}
-    if not counts:
-        return []
     scale = 1 << 30
     share = F.create_map(
         *[
             F.lit(v)
-            for language, n in counts.items()
+            for language, n in (counts or {"": 1}).items()
             for v in (language, min(scale, scale * settings.documents_per_language // n + 1))
         ]
     )
     pick = F.pmod(F.xxhash64("_id", F.lit(settings.seed)), F.lit(scale))
-    picked = given.where(pick < share[F.col("_lang")]).where(F.col("_text").rlike(r"\p{L}"))
+    return given.where((pick < share[F.col("_lang")]) & F.col("_text").rlike(r"\p{L}")), len(counts)
+
+
+def sample_windows(
+    docs: DataFrame, settings: Settings, id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> list[tuple[str, bytes]]:
+    """The bounded training sample of ``docs``, in a fixed order."""
+    picked, languages = _sample(docs, settings, id, text, lang)
     data, width = F.col("_text").cast("binary"), settings.window
     room = F.greatest(F.octet_length(data) - (width - 1), F.lit(1))
     windows = [
@@ -245,10 +249,24 @@ def sample_windows(
     ]
     rows = picked.select("_lang", F.explode(F.array(*windows)).alias("window"))
     # Repeated ids are picked together, hence a bound of its own.
-    most = 2 * len(counts) * settings.documents_per_language * settings.windows_per_document
+    most = 2 * languages * settings.documents_per_language * settings.windows_per_document
     return sorted((r["_lang"], bytes(r["window"])) for r in rows.limit(most).collect())
 
 
+def least_score(
+    docs: DataFrame, model: Model | None, settings: Settings = Settings(), id: str = "doc_id",
+    text: str = "text", lang: str = "lang",
+) -> float:
+    """The least score with which a labelled document of ``docs`` is given its own language.
+
+    Taken over the bounded sample that the model may learn from, but whole texts. 0 where no
+    document is recognised.
+    """
+    picked, _ = _sample(docs, settings, id, text, lang)
+    right = identify(picked, model, "_text", keep_text=False).where(F.col("lang_pred") == F.col("_lang"))
+    return right.agg(F.min("score")).first()[0] or 0.0
+
+
 def fit(docs: DataFrame, settings: Settings = Settings(), **columns: str) -> Model | None:
     """A model learnt from the rows of ``docs``, or None where no row has a label and letters."""
     windows = sample_windows(docs, settings, **columns)

@@ -103,7 +103,9 @@ def test_comparison_equals_plain_one():
         assert found["rest_counts"][i] == sum((bag(a) - bag(b)).values())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_per_task", [nd.EDGES_PER_TASK, 20])
+def test_components(spark, monkeypatch, edges_per_task):
+    monkeypatch.setattr(nd, "EDGES_PER_TASK", edges_per_task)
     rng = random.Random(4)
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(90)]
     star = [("a", f"s{i}") for i in range(50)]

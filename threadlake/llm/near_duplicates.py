@@ -10,8 +10,8 @@
    one of the rarest such shingles, or whose other text is smaller than the hub, can be linked.
    Shingles that only one class holds make no pairs. Where the pairs were many more than the members,
    the members that share such a shingle are first compared with one of them, a hub of their own,
-   and joined to classes, as often as this finds links; only what is in different classes after
-   that is compared pair by pair.
+   and joined to classes, as often as this links many of them; only what is in different classes
+   after that is compared pair by pair.
 
 So a group of copies with a third of all texts costs comparisons in proportion to its size, no
 bucket is capped, and no link within a bucket between texts of different classes is missed. Two texts with similarity 0.8
@@ -41,7 +41,9 @@ from threadlake.operators.skew import lookup
 from threadlake.scratch import Scratch
 
 
-FEW_PAIRS = 4  # pairs per member that are compared at once; the classes do not depend on it
+# The classes depend on neither of these, but on the bounds alone.
+FEW_PAIRS = 4  # pairs per member that are compared at once
+LEAST_GAIN = 10  # members get hubs of their own again if one in so many was linked by the last ones
 
 
 @dataclass(frozen=True)
@@ -51,37 +53,49 @@ class Settings:
     least: float = 0.8
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of each batch as stars around the smallest node of what they join: fewer edges, and
-    fewer rounds for ``components``."""
-    for batch in batches:
-        above: dict = {}
+EDGES_PER_TASK = 100_000
 
-        def top(x):
-            path = []
-            while (y := above.get(x, x)) != x:
-                path.append(x)
-                x = y
-            for z in path:
-                above[z] = x
-            return x
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars around the smallest node of what they join."""
+    above: dict = {}
+    types = None
+
+    def top(x):
+        path = []
+        while (y := above.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for z in path:
+            above[z] = x
+        return x
+
+    for batch in batches:
+        types = batch.schema.types
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = sorted((top(a), top(b)))
             above[b] = a
-        nodes = [x for x in above if above[x] != x]
-        columns = [pa.array(c, batch.schema.types[0]) for c in (nodes, [top(x) for x in nodes])]
+    if types is not None:
+        nodes = [x for x in list(above) if top(x) != x]
+        columns = [pa.array(c, t) for c, t in zip((nodes, [top(x) for x in nodes]), types)]
         yield pa.RecordBatch.from_arrays(columns, names=["u", "v"])
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); a component is its smallest node.
 
-    Each batch of edges becomes a forest of stars; then alternating large-star and small-star steps,
-    each a few joins and aggregations over the edges, until nothing changes. Nothing but a count and
-    a checksum reaches the driver.
+    Tasks of about ``EDGES_PER_TASK`` edges make a forest of stars each, which is the result where one
+    task holds all edges. The forests are joined by alternating large-star and small-star steps, each
+    a few joins and aggregations over the edges, until nothing changes. Nothing but counts and a
+    checksum reaches the driver.
     """
 
+    def named(stars: DataFrame) -> DataFrame:
+        roots = stars.select("v").distinct().select(F.col("v").alias("node"), "v")
+        return stars.select(F.col("u").alias("node"), "v").unionByName(roots).select(
+            "node", F.col("v").alias("component")
+        )
+
     def written(e: DataFrame) -> tuple[DataFrame, tuple]:
         seen = Observation()
         sums = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")
@@ -90,7 +104,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     kind = edges.schema["a"].dataType.simpleString()
     edges = edges.where(F.col("a") != F.col("b")).select("a", "b")
-    now, state = written(edges.mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
+    tasks = max(1, -(-edges.count() // EDGES_PER_TASK))
+    forest = edges.coalesce(tasks).mapInArrow(_forest, f"u {kind}, v {kind}")
+    if tasks == 1:
+        return named(scratch.write(forest, "edges"))
+    now, state = written(forest.distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -107,10 +125,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now, same = after, change == state
         state = change
         if same:
-            roots = now.select("v").distinct().select(F.col("v").alias("node"), "v")
-            return now.select(F.col("u").alias("node"), "v").unionByName(roots).select(
-                "node", F.col("v").alias("component")
-            )
+            return named(now)
 
 
 _NUMBERS = ("similarity", "common", "left_size", "right_size")
@@ -328,24 +343,22 @@ def near_duplicates(
         "common",
         "rest",
     )
+    own_hubs = True
     while True:
         placed = scratch.write(_placed(distance, classes), "placed")
         if placed.where("over").isEmpty():
             break
         rest = _LeftOver(placed, distance, settings, scratch)
         rows, pairs = rest.work()
-        whole = pairs <= FEW_PAIRS * max(rows, 1)
-        more = compare(rest.all() if whole else rest.with_own_hubs(), bodies)
+        own_hubs = own_hubs and pairs > FEW_PAIRS * max(rows, 1)
+        more = compare(rest.with_own_hubs() if own_hubs else rest.all(), bodies)
         more = scratch.write(more.where(F.col("similarity") >= settings.least).select("a", "b"), "more")
-        if not whole and more.isEmpty():
-            more, whole = scratch.write(
-                compare(rest.all(), bodies).where(F.col("similarity") >= settings.least).select("a", "b"), "more"
-            ), True
         links = links.unionByName(more)
         classes = components(links, scratch)
         scratch.drop(rest.found, placed)
-        if whole:
+        if not own_hubs:
             break
+        own_hubs = more.count() * LEAST_GAIN >= rows
     scratch.drop(members, bodies)  # what follows reads none of them
 
     named = _with_class(texts.select("key", "first_id"), classes)

@@ -24,31 +24,40 @@ def run(spark, covered, since, before, ok=True):
     return plan, [(r.since, r.until) for r in after.collect()], after
 
 
-@pytest.mark.parametrize(
-    "before_run, request_, ok, plan, after",
-    [
-        ([], (0, 1000), True, [("full", 0, 1000)], [(0, 1000)]),
-        ([], (100, 1000), False, [("full", 100, 1000)], []),
-        ([(0, 1000)], (0, 2000), True, [("tail", 1000, 2000)], [(0, 2000)]),
-        ([(0, 1000)], (0, 1000), True, [], [(0, 1000)]),
-        ([(500, 1000)], (0, 1000), True, [("older", 0, 500)], [(0, 1000)]),
-        ([(500, 1000)], (0, 2000), True, [("older", 0, 500), ("tail", 1000, 2000)], [(0, 2000)]),
-        ([(500, 1000)], (0, 1000), False, [("older", 0, 500)], [(500, 1000)]),
-        ([(500, 1000)], (0, 100), True, [("older", 0, 500)], [(0, 1000)]),
-        ([(500, 1000)], (2000, 3000), True, [("tail", 1000, 3000)], [(500, 3000)]),
-        ([(500, 1000)], (600, 700), True, [], [(500, 1000)]),
-    ],
-)
-def test_cases(spark, before_run, request_, ok, plan, after):
-    got_plan, got_after, _ = run(spark, cover(spark, *before_run), *request_, ok=ok)
-    assert got_plan == plan and got_after == after
-
-
-def test_widening_twice(spark):
-    _, _, first = run(spark, cover(spark, (500, 1000)), 200, 1000)
-    plan, after, second = run(spark, first, 0, 1000)
-    assert plan == [("older", 0, 200)] and after == [(0, 1000)]
-    assert run(spark, second, 0, 1000)[0] == []
+# A cover of [40, 70) and requests that lie around it in every way, in hours of a made-up day.
+HELD = (40, 70)
+
+
+@pytest.mark.parametrize("since", [10, 40, 90])
+@pytest.mark.parametrize("length", [5, 30, 75])
+@pytest.mark.parametrize("ok", [True, False])
+def test_requests_around_a_cover(spark, since, length, ok):
+    before = since + length
+    expected, held = [], list(HELD)
+    if since < HELD[0]:
+        expected.append(("older", since, HELD[0]))
+        held[0] = since if ok else held[0]
+    if before > HELD[1]:
+        expected.append(("tail", HELD[1], before))
+        held[1] = before if ok else held[1]
+    got_plan, got_after, _ = run(spark, cover(spark, HELD), since, before, ok=ok)
+    assert got_plan == expected and got_after == [tuple(held)]
+
+
+@pytest.mark.parametrize("ok", [True, False])
+def test_a_first_request(spark, ok):
+    plan, after, _ = run(spark, cover(spark), 33, 77, ok=ok)
+    assert plan == [("full", 33, 77)] and after == ([(33, 77)] if ok else [])
+
+
+def test_widening_step_by_step(spark):
+    covered, reached = cover(spark, HELD), HELD
+    for since, before in ((31, 70), (8, 64), (8, 111)):
+        plan, after, covered = run(spark, covered, since, before)
+        assert len(plan) == 1
+        reached = min(reached[0], since), max(reached[1], before)
+        assert after == [reached]
+    assert run(spark, covered, 8, 111)[0] == []
 
 
 def test_kinds_are_apart_and_other_covers_stay(spark):

@@ -15,24 +15,27 @@ def batch(spark, *rows):
     return spark.createDataFrame(list(rows), "id string, body string, arrival bigint")
 
 
-def test_insert_and_dedup(spark):
-    empty = batch(spark).select("id", "body")
-    two = batch(spark, ("p1", "a", 1), ("p2", "b", 2))
-    assert fresh_records(two, empty, ["arrival"]).count() == 2
-    stored = upsert(empty, batch(spark, ("p1", "old", 1)), ["arrival"])
+def test_only_unknown_ids_are_fresh_and_stored_rows_stay(spark):
+    landed = batch(spark, ("oak", "new", 3), ("elm", "first", 1), ("elm", "second", 2), ("yew", "new", 4))
+    stored = batch(spark, ("oak", "kept", 0), ("fir", "kept", 0)).select("id", "body")
     for probe in (False, True):
-        assert ids(fresh_records(two, stored, ["arrival"], probe)) == ["p2"]
-    merged = upsert(stored, two, ["arrival"])
-    assert {r.id: r.body for r in merged.collect()} == {"p1": "old", "p2": "b"}
-    again = upsert(merged, two, ["arrival"])
-    assert sorted(again.collect()) == sorted(merged.collect())
-
-
-def test_existing_ids(spark):
-    stored = batch(spark, ("p1", "", 1), ("p2", "", 2))
-    assert ids(existing_ids(batch(spark, ("p1", "", 1), ("p1", "", 2), ("p3", "", 3)), stored)) == ["p1"]
+        fresh = fresh_records(landed, stored, ["arrival"], probe)
+        assert {r.id: r.body for r in fresh.collect()} == {"elm": "first", "yew": "new"}
+    merged = upsert(stored, landed, ["arrival"])
+    expected = {"oak": "kept", "fir": "kept", "elm": "first", "yew": "new"}
+    assert {r.id: r.body for r in merged.collect()} == expected and merged.count() == 4
+    assert fresh_records(landed, merged, ["arrival"]).count() == 0
+    assert ids(fresh_records(landed, stored.limit(0), ["arrival"])) == ["elm", "oak", "yew"]
+
+
+def test_ids_asked_of_the_store(spark):
+    stored = batch(spark, *[(f"s{n}", "", n) for n in range(0, 30, 3)])
+    asked = batch(spark, *[(f"s{n % 30}", "", n) for n in range(0, 60, 2)])
+    assert ids(existing_ids(asked, stored)) == sorted(f"s{n}" for n in range(0, 30, 6))
+    assert sorted({i for i in ids(absent_from(asked, stored, probe=True))}) == sorted(
+        f"s{n}" for n in range(0, 30, 2) if n % 3
+    )
     assert ids(existing_ids(batch(spark), stored)) == []
-    assert ids(absent_from(batch(spark, ("p1", "", 1), ("p3", "", 1)), stored, probe=True)) == ["p3"]
 
 
 def test_first_and_last_wins(spark):

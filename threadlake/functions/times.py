@@ -30,6 +30,7 @@ def parse_timespec(spec: Column | str, now, is_since) -> Column:
     text = F.lower(F.trim(raw))
     open_end = F.when(since, F.lit(ARCHIVE_EPOCH).cast("bigint")).otherwise(now)
 
+    # Fixed value: a relative time is a number and a unit.
     relative = r"^(\d+)\s*([ymdh])$"
     amount = F.regexp_extract(text, relative, 1).try_cast("bigint")
     unit = F.regexp_extract(text, relative, 2)

@@ -28,14 +28,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with a recognised language; learnt from the labelled ones not held out.
 
     Rejected are documents without a letter, and those with a lower score than any labelled document
-    of the training sample that is given its own language. Null and empty texts go; repeated rows
-    and ties of languages are treated alike.
+    not held out that is given its own language; all of these count. Null and empty texts go;
+    repeated rows and ties of languages are treated alike. All rows are labelled once and written.
     """
-    learnt = docs.where(~language.held_out())
-    model = language.fit(learnt)
-    least = language.least_score(learnt, model)
+    model = language.fit(docs.where(~language.held_out()))
     given, text = _renamed(docs)
-    found = language.identify(given, model, text)
+    id, lang = (given.columns[docs.columns.index(c)] for c in ("doc_id", "lang"))
+    found = Scratch(spark, "language").write(language.identify(given, model, text), "labelled")
+    least = language.least_right(found.where(~language.held_out(id)), text, lang)
     known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)
     return _restored(found.where(known), docs)
 

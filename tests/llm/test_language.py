@@ -96,3 +96,14 @@ def test_sample_is_bounded(documents, rows):
     sample = language.sample_windows(docs, few)
     assert len(sample) < 2 * 4 * 50 * 3 and all(len(w) <= few.window for _, w in sample)
     assert sample == language.sample_windows(docs.repartition(3), few)
+
+
+def test_the_least_score_counts_all_labelled_documents(documents, rows):
+    """Far more than the training sample holds: the lowest score lies outside it."""
+    model = language.train([("aa", b"abcdefg abc"), ("bb", b"hijklmn hij")], QUICK)
+    docs = documents([(i, "abc def " * 6, "aa") for i in range(8000)] + [(9001, "a", "aa"), (9002, "aah", "aa"), (9003, "1", "aa")])
+    scores = [r.score for r in language.identify(docs, model).collect() if r.lang_pred == r.lang]
+    assert language.least_score(docs, model) == min(scores) < max(scores)
+    for few in (docs.where("doc_id < 9001"), docs.where("doc_id >= 9002")):
+        assert language.least_score(few, model) >= min(scores)
+    assert language.least_score(docs.where("doc_id = 9003"), model) == 0.0

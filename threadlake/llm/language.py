@@ -253,18 +253,19 @@ def sample_windows(
     return sorted((r["_lang"], bytes(r["window"])) for r in rows.limit(most).collect())
 
 
-def least_score(
-    docs: DataFrame, model: Model | None, settings: Settings = Settings(), id: str = "doc_id",
-    text: str = "text", lang: str = "lang",
-) -> float:
-    """The least score with which a labelled document of ``docs`` is given its own language.
-
-    Taken over the bounded sample that the model may learn from, but whole texts. 0 where no
-    document is recognised.
-    """
-    picked, _ = _sample(docs, settings, id, text, lang)
-    right = identify(picked, model, "_text", keep_text=False).where(F.col("lang_pred") == F.col("_lang"))
-    return right.agg(F.min("score")).first()[0] or 0.0
+def least_right(found: DataFrame, text: str = "text", lang: str = "lang") -> float:
+    """The least score of a row of ``identify`` that is given its own label; 0 where there is none.
+
+    All rows count, whatever their number: labelled texts with letters.
+    """
+    right = (F.col("lang_pred") == F.col(lang)) & F.col(text).rlike(r"\p{L}")
+    return found.where(right).agg(F.min("score")).first()[0] or 0.0
+
+
+def least_score(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> float:
+    """The least score with which any labelled document of ``docs`` is given its own language."""
+    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    return least_right(identify(labelled, model, "_text"), "_text", "_lang")
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), **columns: str) -> Model | None:

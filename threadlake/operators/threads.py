@@ -8,7 +8,9 @@ dealt by ``skew``.
 2. ``resolve``: which comments a root leads to. Open replies jump over one another, the distance
    doubling every round; a reply whose target is not open has been led to. Only open replies are
    looked at, so what is left when a round frees none are cycles and what hangs below them.
-3. ``build_forest``: order, depth and root by one walk through each post in reading order. Every
+3. ``build_forest``: order, depth and root. Posts of at most ``TOGETHER`` comments are brought together,
+   one shuffle for all, and placed side by side in their tasks (``small_posts``). In a larger post
+   they follow from one walk through it in reading order, spread over many tasks. Every
    comment knows the one before it and how much deeper or higher that lies. Sums along the walk back to
    its start (comments passed; steps down less steps up; nearest top comment) are place, depth and
    root. They are found by list ranking: about one step in ``SPACING`` is a splitter, picked by a hash; every step jumps, in
@@ -36,29 +38,44 @@ from threadlake.functions import drop_json_field, json_quote, parent_kind, strip
 from threadlake.functions.names import COMMENT_KIND
 from threadlake.scratch import Scratch
 
-from .skew import HOT_ROWS, lookup, neighbours_in_groups, rank_in_groups
+from . import small_posts
+from .skew import HOT_ROWS, hot_keys, lookup, neighbours_in_groups, rank_in_groups, split_hot
 
 # Keys run from many values to few: sorts compare the first key first, and a community name decides
 # next to nothing.
 POST = ["link_id", "subreddit"]
 SPACING = 256  # steps of a walk between splitters, on average; results do not depend on it
+TOGETHER = 10_000  # comments of a post that one task places; results do not depend on it
 BLOCK_NODES = 10_000  # comments whose neighbours are found in one window; results do not depend on it
 
 
 class Forest(NamedTuple):
     """``placed``: subreddit, link_id, id, parent, root_id, depth, pos (1.. in reading order).
     ``unplaced``: subreddit, link_id, id, parent of comments no root leads to. Both rest on tables in
-    ``scratch``. From ``resolve``, ``placed`` has no root, depth and place."""
+    ``scratch``. From ``resolve``, ``placed`` has no root, depth and place. ``small``: rows of small
+    posts, written, with ``_size`` (placed comments of the post) and the depths ``_before`` and ``_after``
+    in reading order; ``large``: ``placed`` of the other posts, if there are any."""
 
     placed: DataFrame
     unplaced: DataFrame
     scratch: Scratch
+    small: DataFrame | None = None
+    large: DataFrame | None = None
 
     def written(self) -> Forest:
         """The same with ``placed`` written, for more than one use."""
-        if hasattr(self.placed, "_scratch_path"):
+        if hasattr(self.placed, "_scratch_path") or self.small is not None and self.large is None:
             return self
-        return self._replace(placed=self.scratch.write(self.placed, "placed"))
+        if self.large is None:
+            return self._replace(placed=self.scratch.write(self.placed, "placed"))
+        if hasattr(self.large, "_scratch_path"):
+            return self
+        large = self.scratch.write(self.large, "placed")
+        return self._replace(placed=_small_placed(self.small).unionByName(large), large=large)
+
+
+def _small_placed(small: DataFrame) -> DataFrame:
+    return small.where(F.col("pos").isNotNull()).drop("_size", "_before", "_after")
 
 
 def _community() -> Column:
@@ -71,17 +88,17 @@ def in_threads(comments: DataFrame) -> DataFrame:
     return named.withColumn("subreddit", F.lower("subreddit"))
 
 
+def _keys(comments: DataFrame) -> DataFrame:
+    """POST, id, created_utc, and the id a reply names (NULL for roots)."""
+    named = F.when(parent_kind("parent_id") == COMMENT_KIND, strip_fullname("parent_id"))
+    created = F.coalesce("created_utc", F.lit(0)).cast("bigint").alias("created_utc")
+    return in_threads(comments).select(*POST, "id", created, named.alias("_named"))
+
+
 def _linked(comments: DataFrame, scratch: Scratch, hot_rows: int) -> tuple[DataFrame, int]:
     """Numbered comments (POST, id, created_utc, node), the node and id of their parent (NULL for
     roots) and ``is_orphan``, written; and their number."""
-    named = F.when(parent_kind("parent_id") == COMMENT_KIND, strip_fullname("parent_id"))
-    nodes = in_threads(comments).select(
-        *POST,
-        "id",
-        F.coalesce("created_utc", F.lit(0)).cast("bigint").alias("created_utc"),
-        named.alias("_named"),
-        F.monotonically_increasing_id().alias("node"),
-    )
+    nodes = _keys(comments).withColumn("node", F.monotonically_increasing_id())
     nodes, n_replies = scratch.write_counted(nodes, "nodes", F.col("_named").isNotNull())
     known = nodes.select(*POST, F.col("id").alias("_named"), F.col("node").alias("_parent"))
     replies = nodes.where(F.col("_named").isNotNull())
@@ -135,7 +152,24 @@ def resolve(comments: DataFrame, hot_rows: int = HOT_ROWS) -> Forest:
 
 
 def build_forest(comments: DataFrame, hot_rows: int = HOT_ROWS, spacing: int = SPACING) -> Forest:
+    """The forest of ``comments``, a written table."""
+    keys = in_threads(comments)
+    large = hot_keys(keys, POST, min(hot_rows, TOGETHER))
     scratch = Scratch(comments.sparkSession, "threads")
+    few, many = (keys, None) if large is None else split_hot(keys, large, POST)
+    if few is None:
+        return _walked(many, scratch, hot_rows, spacing)
+    small = scratch.write(small_posts.placed(_keys(few), F.col("_named")), "small")
+    loose = small.where(F.col("pos").isNull()).select(*POST, "id", "parent")
+    if many is None:
+        return Forest(_small_placed(small), loose, scratch, small)
+    walked = _walked(many, scratch, hot_rows, spacing)
+    placed = _small_placed(small).unionByName(walked.placed)
+    return Forest(placed, loose.unionByName(walked.unplaced), scratch, small, walked.placed)
+
+
+def _walked(comments: DataFrame, scratch: Scratch, hot_rows: int, spacing: int) -> Forest:
+    """The forest by a walk through each post."""
     linked, _ = _linked(comments, scratch, hot_rows)
     steps = scratch.write(_walk(linked, hot_rows), "steps")
     ranked = _ranked(steps, scratch, spacing)
@@ -273,28 +307,11 @@ def thread_totals(forest: Forest) -> DataFrame:
     return rolled_up(post_counts(forest))
 
 
-def thread_json(
-    comments: DataFrame,
-    forest: Forest,
-    block_nodes: int = BLOCK_NODES,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """The line of each post as fragments: (subreddit, link_id, pos, text), one per placed comment.
-
-    A post's texts in the order of ``pos``, joined with or without blanks, are its JSON object and
-    a line feed. A post whose comments all hang in cycles has one fragment, an empty tree.
-    """
-    forest = forest.written()
+def _with_neighbours(placed: DataFrame, block_nodes: int, hot_rows: int) -> DataFrame:
+    """Placed comments with ``_size``, ``_before`` and ``_after``."""
     size = F.lit(block_nodes).cast("bigint")
-    sizes = forest.placed.groupBy(*POST).agg(F.count("*").alias("_size"))
-    placed = lookup(
-        forest.placed.select(*POST, "id", "depth", "pos"),
-        sizes,
-        POST,
-        "inner",
-        hot_rows,
-        rows=comments.count(),
-    )
+    sizes = placed.groupBy(*POST).agg(F.count("*").alias("_size"))
+    placed = lookup(placed.select(*POST, "id", "depth", "pos"), sizes, POST, "inner", hot_rows)
     # Neighbours are found on narrow rows, in blocks of a post; a block also sees the row on
     # either side of it.
     block = F.call_function("div", F.col("pos") - 1, size)
@@ -306,7 +323,7 @@ def thread_json(
         )
     )
     window = Window.partitionBy(*POST, "_block").orderBy("pos")
-    around = (
+    return (
         placed.select("*", block.alias("_own"), F.explode(seen_in).alias("_block"))
         .select(
             "*",
@@ -316,6 +333,27 @@ def thread_json(
         .where(F.col("_own") == F.col("_block"))
         .drop("_own", "_block")
     )
+
+
+def thread_json(
+    comments: DataFrame,
+    forest: Forest,
+    block_nodes: int = BLOCK_NODES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The line of each post as fragments: (subreddit, link_id, pos, text), one per placed comment.
+
+    A post's texts in the order of ``pos``, joined with or without blanks, are its JSON object and
+    a line feed. A post whose comments all hang in cycles has one fragment, an empty tree.
+    """
+    forest = forest.written()
+    columns = [*POST, "id", "depth", "pos", "_size", "_before", "_after"]
+    known = [] if forest.small is None else [forest.small.where(F.col("pos").isNotNull()).select(*columns)]
+    if forest.small is None or forest.large is not None:
+        rest = forest.placed if forest.small is None else forest.large
+        known.append(_with_neighbours(rest, block_nodes, hot_rows).select(*columns))
+    around = _union(known)
+    some = forest.placed.select(*POST).distinct()
     records = in_threads(comments).select(*POST, "id", drop_json_field("archive_json", "replies").alias("record"))
     shaped = around.join(records, ["id", *POST], "inner")
 
@@ -331,7 +369,7 @@ def thread_json(
         F.repeat(F.lit("]}"), closed.cast("int")),
         F.when(F.col("pos") == F.col("_size"), "]}\n").otherwise(""),
     )
-    nothing = forest.unplaced.select(*POST).distinct().join(sizes, POST, "left_anti")
+    nothing = forest.unplaced.select(*POST).distinct().join(some, POST, "left_anti")
     return shaped.select(*POST, "pos", text.alias("text")).unionByName(
         nothing.select(
             *POST, F.lit(1).cast("bigint").alias("pos"), F.concat(head, F.lit("]}\n")).alias("text")

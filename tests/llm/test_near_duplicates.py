@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,29 @@ def test_words_and_bags_equal_plain_ones(monkeypatch):
         assert sorted(weight[doc == i]) == sorted(bag(t).values())
 
 
+def test_memory_beside_a_batch_is_bounded():
+    rng = random.Random(4)
+    texts = pa.array([" ".join(prose(rng, 500)) for _ in range(5000)])  # 12 MB
+    pairs = pa.RecordBatch.from_arrays([texts] * 4, names=["a", "b", "text_a", "text_b"])
+    for work, most in (
+        (lambda: bagminhash.bands(texts, 20, 5), 70e6),
+        (lambda: [None for _ in nd._compare(True)(iter([pairs]))], 110e6),
+    ):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, peak
+
+
+def test_words_longer_than_many_blocks(monkeypatch):
+    texts = pa.array(["a b", "x" * 1000 + " y " + "z" * 999, "q" * 500, " " * 300 + "k"])
+    want = bagminhash.word_hashes(texts)
+    monkeypatch.setattr(bagminhash, "_BLOCK", 16)
+    found = bagminhash.word_hashes(texts)
+    assert found[0].tolist() == want[0].tolist() and found[1].tolist() == want[1].tolist() == [2, 3, 1, 1]
+
+
 def test_signatures_do_not_depend_on_the_batch():
     rng = random.Random(2)
     texts = [" ".join(prose(rng, n)) for n in (1, 3, 5, 8, 80, 400, 2000)] + ["a b c d e " * 500]

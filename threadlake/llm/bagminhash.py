@@ -27,10 +27,10 @@ SHINGLE = 5
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 21  # bytes hashed at a time
+_BLOCK = 1 << 18  # bytes hashed at a time: their places and values take some 50 times as many
 _POSITIONS = 1 << 16  # powers kept for places in a word
 _TEXT_BITS = 20
-_SLICE_BYTES, _SLICE_TEXTS = 8 << 20, 1 << 16
+_SLICE_BYTES, _SLICE_TEXTS = 2 << 20, 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,9 +72,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while at < len(data):
         stop = min(at + _BLOCK, len(data))
         if stop < len(data):  # end at a blank or at a text's end, so that no word is cut
-            text_end = offsets[np.searchsorted(offsets, stop)]
-            tail = np.flatnonzero(blank[data[stop:text_end]][: _BLOCK])
-            stop = stop + int(tail[0]) if len(tail) else int(text_end)
+            text_end = int(offsets[np.searchsorted(offsets, stop)])
+            while stop < text_end:
+                ahead = min(stop + _BLOCK, text_end)
+                tail = np.flatnonzero(blank[data[stop:ahead]])
+                if len(tail):
+                    stop += int(tail[0])
+                    break
+                stop = ahead
         part = data[at:stop]
         letters = ~blank[part]
         first = letters.copy()
@@ -170,11 +175,11 @@ def byte_lengths(texts: pa.Array) -> np.ndarray:
     return np.diff(_buffers(texts)[1])
 
 
-def slices(lengths: np.ndarray) -> list[slice]:
+def slices(lengths: np.ndarray, most: int = _SLICE_BYTES) -> list[slice]:
     """Neighbouring texts of bounded size together; a longer text comes alone."""
     out, start, held = [], 0, 0
     for i, n in enumerate(lengths.tolist()):
-        if i > start and (held + n > _SLICE_BYTES or i - start >= _SLICE_TEXTS):
+        if i > start and (held + n > most or i - start >= _SLICE_TEXTS):
             out.append(slice(start, i))
             start, held = i, 0
         held += n

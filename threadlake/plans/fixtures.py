@@ -142,8 +142,20 @@ def landed_lines(spark, sf_dir) -> DataFrame:
     )
 
 
-def raw_comments(spark, sf_dir) -> DataFrame:
-    """Comment rows as landed, copies of an id included; ``arrival`` orders the copies."""
+ARRIVAL = [
+    "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+    "l_tax", "l_returnflag", "l_linestatus",
+]
+
+
+def _order_lines(spark, sf_dir) -> DataFrame:
+    """Line items with what comments need of their orders."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    lines = spread(table(spark, sf_dir, "lineitem"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def _as_comments(lines: DataFrame) -> DataFrame:
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     key, line = k.cast("string"), n.cast("string")
     above = F.when(k % 2 == 1, F.floor(n / 2)).otherwise(n - 1).cast("string")
@@ -166,13 +178,7 @@ def raw_comments(spark, sf_dir) -> DataFrame:
         .otherwise("")
     )
     body = _text("line ", line, " of order ", key)
-    arrival = F.struct(
-        "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
-        "l_tax", "l_returnflag", "l_linestatus",
-    )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
-    lines = spread(table(spark, sf_dir, "lineitem"))
-    return lines.join(orders, k == F.col("o_orderkey")).select(
+    return lines.select(
         ident.alias("id"),
         link.alias("link_id"),
         parent.alias("parent_id"),
@@ -188,15 +194,23 @@ def raw_comments(spark, sf_dir) -> DataFrame:
             (F.floor("l_quantity").cast("bigint") - 10).cast("string"), ', "body": "', body, '"}',
         ).alias("archive_json"),
         (created + 60).alias("fetched_at"),
-        arrival.alias("arrival"),
+        F.struct(*ARRIVAL).alias("arrival"),
         k.alias("k"),
         F.col("o_custkey").alias("custkey"),
     )
 
 
+def raw_comments(spark, sf_dir) -> DataFrame:
+    """Comment rows as landed, copies of an id included; ``arrival`` orders the copies."""
+    return _as_comments(_order_lines(spark, sf_dir))
+
+
 def comments(spark, sf_dir) -> DataFrame:
-    """The comment store: first copy of every id."""
-    return first_wins(raw_comments(spark, sf_dir), ["id"], ["arrival"]).drop("arrival")
+    """The comment store: first copy of every id. An id is the order's and the line's number, so copies
+    are told apart on the line items, before their texts are made: these are not shuffled, and the
+    join has brought the lines of an order together."""
+    lines = first_wins(_order_lines(spark, sf_dir), ["l_orderkey", "l_linenumber"], ARRIVAL)
+    return _as_comments(lines).drop("arrival")
 
 
 def stored_comments(spark, sf_dir) -> DataFrame:

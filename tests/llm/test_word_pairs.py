@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -59,13 +60,17 @@ def code_of(word):
     return hash_of(word) >> 16 << 16 | last[-1] << 8 | (last[0] if len(last) > 1 else 0) if word else 0
 
 
+def unpacked(row):
+    return {k: word_model._unpack(pa.scalar(bytes(row[k]))) for k in row.asDict() if k != "bucket"}
+
+
 def plain_scores(fitted, totals, rows):
     """Pair by pair, from counts of the texts and the tables of repeated pairs."""
     counts = Counter(p for i, text in rows if learns(i) for p in pairs_of(text))
     words = Counter()
     for (_, w), c in counts.items():
         words[w] += c
-    f = {k: np.array(fitted[k], np.int64) for k in fitted.asDict() if k != "bucket"}
+    f = unpacked(fitted)
     place = {h: i for i, h in enumerate(f["words"].view(np.uint64).tolist())}
     word = np.repeat(np.arange(len(f["words"])), f["pairs"])
     live = np.repeat(word, f["lives"]).tolist()
@@ -153,16 +158,24 @@ def test_a_hot_word_and_folding_count_every_pair(spark, documents, monkeypatch):
     state, totals, _ = word_model.fit(given, Scratch(spark, "test"), Settings(whole=True, chunk_bytes=2000), 3)
     counts = Counter(p for _, text in rows for p in pairs_of(text))
     assert totals[0].n == sum(counts.values())
-    assert sum(sum(r["count"]) for r in state.collect()) == totals[0].n
-    assert sum(len(r["count3"]) for r in state.collect()) == sum(c > 1 for c in counts.values())
+    rows = [unpacked(r) for r in state.collect()]
+    assert sum(r["count"].sum() for r in rows) == totals[0].n
+    assert sum(len(r["count3"]) for r in rows) == sum(c > 1 for c in counts.values())
     seated = defaultdict(int)
     for (u, _), c in counts.items():
         seated[code_of(u)] += c
-    for r in state.collect():
-        for code, n in zip(np.array(r["asked"], np.int64).view(np.uint64).tolist(), r["customers"]):
+    for r in rows:
+        for code, n in zip(r["asked"].view(np.uint64).tolist(), r["customers"]):
             assert seated[code] == n
 
 
+@pytest.mark.parametrize("values", [[], [0], [3, 200], [70_000, 1], [-1, 5], [1 << 40], [0.5, -2.0]])
+def test_packed_values_come_back(values):
+    values = np.array(values)
+    found = word_model._unpack(pa.scalar(word_model._pack(values)))
+    assert found.tolist() == values.tolist()
+
+
 def test_nothing_to_learn_from_and_an_empty_table(spark, documents):
     ids = [i for i in range(50) if not learns(i)]
     for r in scored(spark, documents, [(i, "some words") for i in ids]).values():

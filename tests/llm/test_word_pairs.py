@@ -194,3 +194,14 @@ def test_op11_knows_the_whole_word_before(spark, documents, tmp_path):
     assert len(found) == len(rows) + len(mixed)
     right, wrong = (sum(found[i - k].score for i, _ in mixed) for k in (1000, 0))
     assert right > wrong + 0.1 * sum(found[i].n_tokens for i, _ in mixed)
+
+
+def test_frequent_pairs_are_found_by_their_first_bits():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    near = keys ^ np.uint64(1)  # the same first bits
+    wanted = np.concatenate([keys[::7], near, rng.integers(0, 1 << 64, 5000, dtype=np.uint64), keys[-1:]])
+    for some in (keys, keys[:1], keys[:0]):
+        place = {k: i for i, k in enumerate(some.tolist())}
+        found = word_model._Often(some, some, some).finder()(wanted)
+        assert found.tolist() == [place.get(k, -1) for k in wanted.tolist()]
